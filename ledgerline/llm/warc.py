@@ -16,15 +16,13 @@ CRLF = "\r\n"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, file string"
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Base32 of the payload's SHA-1: 160 bits are 32 letters of 5."""
-    hexed = F.concat(F.sha1(payload), F.lit("0"))
-
-    def letter(i: Column) -> Column:
-        three = F.conv(F.substring(hexed, F.floor(i * 5 / 4).cast("int") + 1, F.lit(3)), 16, 10).cast("int")
-        return F.substring(F.lit(BASE32), F.floor(three / F.pow(F.lit(2), 7 - i * 5 % 4)).cast("int") % 32 + 1, F.lit(1))
-
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), letter), "")
+def base32(hexed: Column) -> Column:
+    """Base32 of a SHA-1 in hex: each of its 8 runs of 5 digits, 20 bits, is 4 letters of 5."""
+    letters = []
+    for run in range(8):
+        bits = F.conv(F.substring(hexed, 5 * run + 1, 5), 16, 10).cast("int")
+        letters += [F.substring(F.lit(BASE32), F.shiftright(bits, shift).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for shift in (15, 10, 5, 0)]
+    return F.concat(*letters)
 
 
 def resolve(pages: DataFrame, *, id_col="page_id", url_col="url", payload_col="html", min_bytes: int = 0) -> DataFrame:
@@ -42,19 +40,20 @@ def resolve(pages: DataFrame, *, id_col="page_id", url_col="url", payload_col="h
         F.coalesce(F.col(payload_col), F.lit("")).alias("payload"),
         F.monotonically_increasing_id().alias("row"),
     )
-    rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", base32_sha1(F.col("payload")))
+    rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("sha1", F.sha1("payload"))
     originals = (
         rows.filter(F.col("payload_bytes") >= min_bytes)
-        .groupBy("payload_digest")
+        .groupBy("sha1")
         .agg(F.max(F.struct("page_id", "url", "row")).alias("original"))
     )
     revisits = (F.col("original").isNotNull()) & (F.col("original.row") != F.col("row"))
     return (
-        rows.join(originals, "payload_digest", "left")
+        rows.join(originals, "sha1", "left")
         .withColumn("record_type", F.when(revisits, "revisit").otherwise("response"))
         .withColumn("refers_to", F.when(revisits, F.col("original.page_id")))
         .withColumn("refers_url", F.when(revisits, F.col("original.url")))
-        .drop("original", "row")
+        .withColumn("payload_digest", base32(F.col("sha1")))
+        .drop("original", "row", "sha1")
     )
 
 
@@ -63,7 +62,7 @@ def _uri(page_id: Column) -> Column:
 
 
 def write_archives(resolved: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 2000) -> None:
-    """One WARC file a partition and ``records_per_file`` records, with headers made anew. A record of
+    """One compressed WARC file a partition and ``records_per_file`` records, with headers made anew. A record of
     the text writer is a WARC record, and its line separator the two empty lines that end one."""
     response = F.col("record_type") == "response"
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(CRLF + CRLF))
@@ -87,7 +86,7 @@ def write_archives(resolved: DataFrame, path: str, date: str = "2024-01-01T00:00
         field("Content-Length", F.octet_length(block).cast("string")),
     )
     record = F.concat(header, F.lit(CRLF), block).alias("value")
-    resolved.select(record).write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", records_per_file).text(path)
+    resolved.select(record).write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -118,12 +117,13 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import base64
+        import gzip
         import hashlib
 
         for batch in batches:
             for file, content in zip(batch["path"], batch["content"], strict=True):
                 out = []
-                for fields, block in parse(content):
+                for fields, block in parse(gzip.decompress(content)):
                     head, _, payload = block.partition(b"\r\n\r\n")
                     digest = fields["warc-payload-digest"].removeprefix("sha1:")
                     size = int(_fields(head)["content-length"])
