@@ -261,7 +261,7 @@ def pack(pieces: DataFrame, *, id_col="doc_id", capacity=CAPACITY) -> DataFrame:
     names = ["length", "first", "sequence", "each", "offset"]
     table_of = spark.sparkContext.broadcast([plan[c].to_numpy() for c in names])
 
-    parts = lengths.select("length", F.ceil(F.col("count") / 512).alias("parts"))
+    parts = lengths.select("length", F.ceil(F.col("count") / 128).alias("parts"))
     dealt = pieces.join(F.broadcast(parts), "length")  # at most ``capacity`` rows
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.col("parts"))).drop("parts")
     before = dealt.groupBy("length", "part").count()
