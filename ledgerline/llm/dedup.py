@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -150,21 +150,21 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
 
 
 def fingerprint(text: Column) -> Column:
-    return F.md5(F.coalesce(text, F.lit("")))
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
 def _candidates(members: DataFrame, ends: int) -> DataFrame:
-    """(key, a, b): every text of a bucket (key, fp) with ``ends`` texts of the bucket, the least in as many
+    """(key, a, b): every text of a bucket (key, uid) with ``ends`` texts of the bucket, the least in as many
     orders. A bucket of n texts gives at most ``ends`` times n pairs, and its ends come from sums made
     before the shuffle."""
-    order = [F.col("fp"), *(F.sha1(F.concat(F.col("fp"), F.lit(f" {i}"))) for i in range(1, ends))]
-    found = members.groupBy("key").agg(F.count("*").alias("n"), *(F.min_by("fp", o).alias(f"e{i}") for i, o in enumerate(order)))
+    order = [F.col("uid"), *(F.xxhash64("uid", F.lit(i)) for i in range(1, ends))]
+    found = members.groupBy("key").agg(F.count("*").alias("n"), *(F.min_by("uid", o).alias(f"e{i}") for i, o in enumerate(order)))
     found = found.filter("n > 1").select("key", F.array_distinct(F.array(*(f"e{i}" for i in range(ends)))).alias("ends"))
-    return members.join(found, "key").select("key", F.col("fp").alias("b"), F.explode("ends").alias("a")).filter("a <> b")
+    return members.join(found, "key").select("key", F.col("uid").alias("b"), F.explode("ends").alias("a")).filter("a <> b")
 
 
 def rare_tokens(texts: DataFrame, least: float) -> DataFrame:
-    """(key, fp): for each text (fp, text) its rarest words, one in five and one more at the similarity 0.8.
+    """(key, uid): for each text (uid, text) its rarest words, one in five and one more at the similarity 0.8.
 
     Two texts that are ``least`` alike share all but that part of their words, so they share one of these keys
     whatever the order of the words, and with the rarest first few others do.
@@ -172,20 +172,22 @@ def rare_tokens(texts: DataFrame, least: float) -> DataFrame:
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for fp, text in zip(batch["fp"], batch["text"], strict=True):
+            for uid, text in zip(batch["uid"], batch["text"], strict=True):
                 codes = occurrence_kmers(word_codes(text), 1)
-                yield pd.DataFrame({"fp": fp, "key": codes.view(np.int64), "n": len(codes)})
+                yield pd.DataFrame({"uid": uid, "key": codes.view(np.int64), "n": len(codes)})
 
-    each = saved(texts.select("fp", "text").mapInPandas(tokens, "fp string, key long, n int"), "dedup-tokens")
-    often = each.groupBy("key").agg(F.count("*").alias("often"))
-    rank = F.row_number().over(Window.partitionBy("fp").orderBy("often", "key"))
-    ranked = each.join(often.filter("often > 1"), "key", "left").withColumn("often", F.coalesce("often", F.lit(1))).withColumn("rank", rank)
-    return ranked.filter(F.col("rank") <= F.floor(F.col("n") * (1 - least) + 1e-9) + 1).filter("often > 1").select("key", "fp")
+    each = saved(texts.select("uid", "text").mapInPandas(tokens, "uid long, key long, n int"), "dedup-tokens")
+    often = each.groupBy("key").agg(F.count("*").alias("often")).filter("often > 1")
+    own = Window.partitionBy("uid")  # a text's words
+    shared = each.join(often, "key")
+    # Words of one text only come first and meet nobody.
+    rank = F.row_number().over(own.orderBy("often", "key")) + F.col("n") - F.count("*").over(own)
+    return shared.withColumn("rank", rank).filter(F.col("rank") <= F.floor(F.col("n") * (1 - least) + 1e-9) + 1).select("key", "uid")
 
 
-def near_links(texts: DataFrame, text_of: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """(a, b, similarity): verified links between distinct texts (fp, sketch), enough to connect all texts
-    that are alike and share a bucket. ``text_of``: (fp, text), each once.
+def near_links(texts: DataFrame, text_of: Callable[[DataFrame], DataFrame], least: float = SIMILARITY) -> DataFrame:
+    """(a, b, similarity): verified links between distinct texts (uid, sketch), enough to connect all texts
+    that are alike and share a bucket. ``text_of``: from uids to (uid, text).
 
     The texts of a bucket are compared with two of them. Buckets where some text matched neither are
     gone through again: their texts are put into buckets by their rarest words, which texts that are
@@ -194,7 +196,7 @@ def near_links(texts: DataFrame, text_of: DataFrame, least: float = SIMILARITY)
     """
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: dict[str, np.ndarray] = {}
+        kept: dict[int, np.ndarray] = {}
         for batch in batches:
             out = []
             for a, left, right in zip(batch["a"], batch["text_a"], batch["text_b"], strict=True):
@@ -205,33 +207,34 @@ def near_links(texts: DataFrame, text_of: DataFrame, least: float = SIMILARITY)
             batch["similarity"] = pd.array(out, dtype="Float64")
             yield batch[["a", "b", "similarity"]]
 
-    waiting = texts.select("fp", F.posexplode("sketch").alias("j", "h")).select(F.xxhash64("j", "h").alias("key"), "fp")
-    judged, rounds = None, 0
+    waiting = texts.select("uid", F.posexplode("sketch").alias("j", "h")).select(F.xxhash64("j", "h").alias("key"), "uid")
+    judged, held, rounds = None, None, 0
     while True:
         rounds += 1
         met = saved(_candidates(waiting, min(2 ** max(1, rounds - 1), 32)), "dedup-met")
+        if held is None:
+            held = saved(text_of(met.select(F.explode(F.array("a", "b")).alias("uid")).distinct()), "dedup-held")
         pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if judged is not None:
             pairs = pairs.join(judged, ["a", "b"], "left_anti")
         # Only texts that are in a pair are moved; pairs are split where one text has many.
-        with_b = pairs.join(text_of.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b")
-        with_both = with_b.join(text_of.select(F.col("fp").alias("a"), F.col("text").alias("text_a")), "a")
-        new = saved(with_both.select("a", "b", "text_a", "text_b").mapInPandas(verify, "a string, b string, similarity double"), "dedup-judged")
+        with_b = pairs.join(held.select(F.col("uid").alias("b"), F.col("text").alias("text_b")), "b")
+        with_both = with_b.join(held.select(F.col("uid").alias("a"), F.col("text").alias("text_a")), "a")
+        new = saved(with_both.select("a", "b", "text_a", "text_b").mapInPandas(verify, "a long, b long, similarity double"), "dedup-judged")
         judged = new if judged is None else judged.union(new)
         good = judged.filter("similarity is not null")
         if new.filter("similarity is null").isEmpty():
             return good
-        lo, hi = F.least("a", "b"), F.greatest("a", "b")
-        hit = met.withColumn("lo", lo).withColumn("hi", hi).join(good.select(F.col("a").alias("lo"), F.col("b").alias("hi"), F.lit(1).alias("hit")), ["lo", "hi"], "left")
-        members = hit.groupBy("key", F.col("b").alias("fp")).agg(F.max("hit").alias("hit"))
-        unmatched = saved(members.filter("hit is null").select("key", "fp"), "dedup-unmatched")
+        hit = met.select("key", "b", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).join(
+            good.select(F.col("a").alias("lo"), F.col("b").alias("hi"), F.lit(1).alias("hit")), ["lo", "hi"], "left"
+        )
+        members = hit.groupBy("key", F.col("b").alias("uid")).agg(F.max("hit").alias("hit"))
+        unmatched = saved(members.filter("hit is null").select("key", "uid"), "dedup-unmatched")
         if rounds == 1:
-            open_ = unmatched.groupBy("key").agg(F.count("*").alias("n")).filter("n > 0").select("key")
-            again = saved(members.join(open_, "key", "left_semi").select("fp").distinct(), "dedup-again")
-            waiting = saved(rare_tokens(text_of.join(again, "fp", "left_semi"), least), "dedup-buckets")
+            again = members.join(unmatched.select("key").distinct(), "key", "left_semi").select("uid").distinct()
+            waiting = saved(rare_tokens(held.join(again, "uid", "left_semi"), least), "dedup-buckets")
         else:
-            ends = met.select("key", F.col("a").alias("fp")).distinct()
-            waiting = unmatched.join(ends, ["key", "fp"], "left_anti")
+            waiting = unmatched.join(met.select("key", F.col("a").alias("uid")).distinct(), ["key", "uid"], "left_anti")
         if waiting.isEmpty():
             return good
 
@@ -253,22 +256,24 @@ def classes(docs: DataFrame, *, id_col="doc_id", text_col="text", least: float =
             yield batch[["id", "fp", "sketch"]]
 
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("fp", fingerprint(F.col("text")))
-    rows = saved(picked.mapInPandas(sketch, f"id {kind}, fp string, sketch array<bigint>"), "dedup-rows")
-    texts = saved(rows.groupBy("fp").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch")), "dedup-texts")
-    paired = texts.select("fp", "id", F.posexplode("sketch").alias("j", "h"))
-    shared = paired.groupBy("j", "h").agg(F.count("*").alias("n"), F.min("fp").alias("x")).filter("n > 1").select("j", "h")
-    wanted = paired.join(shared, ["j", "h"], "left_semi").select("fp", "id").distinct()
-    # One row of each text that shares a bucket: the one with the least id, and one of those if rows repeat.
-    held = picked.alias("p").join(wanted.alias("w"), (F.col("p.fp") == F.col("w.fp")) & F.col("p.id").eqNullSafe(F.col("w.id")), "left_semi")
-    text_of = saved(held.select("fp", "text").groupBy("fp").agg(F.first("text").alias("text")), "dedup-held")
-    links = saved(near_links(texts.join(text_of.select("fp"), "fp", "left_semi"), text_of, least), "dedup-links")
+    rows = saved(picked.mapInPandas(sketch, f"id {kind}, fp binary, sketch array<bigint>"), "dedup-rows")
+    texts = rows.groupBy("fp").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch"))
+    texts = saved(texts.withColumn("uid", F.monotonically_increasing_id()), "dedup-texts")
+
+    def text_of(uids: DataFrame) -> DataFrame:
+        """One row of each text: the one with the least id, and one of those if rows repeat."""
+        wanted = texts.join(uids, "uid").select(F.col("fp").alias("want fp"), F.col("id").alias("want id"), "uid")
+        found = picked.join(wanted, (F.col("fp") == F.col("want fp")) & F.col("id").eqNullSafe(F.col("want id")))
+        return found.select("uid", "text").groupBy("uid").agg(F.first("text").alias("text"))
+
+    links = saved(near_links(texts.select("uid", "sketch"), text_of, least), "dedup-links")
     roots = components(links, "a", "b", "dedup-components")
-    degree = links.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("uid")).groupBy("uid").agg(F.count("*").alias("n_links"))
     labelled = (
-        texts.select("fp", "id")
-        .join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-        .join(degree, "fp", "left")
-        .withColumn("root", F.coalesce("root", "fp"))
+        texts.select("uid", "fp", "id")
+        .join(roots.withColumnRenamed("node", "uid"), "uid", "left")
+        .join(degree, "uid", "left")
+        .withColumn("root", F.coalesce("root", "uid"))
         .withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
     )
     labelled = saved(labelled, "dedup-labelled")
