@@ -18,6 +18,8 @@ K = 5
 #: sketch with about J**2: of pairs with J = 0.5 fewer than one in 10,000 has no sketch in common.
 SKETCHES = 32
 MINIMA = 2
+#: Bins of the word counts that rule out pairs before their texts are fetched.
+BAG = 64
 #: Least edit similarity: 1 - edits / words of the longer text.
 SIMILARITY = 0.8
 
@@ -185,8 +187,19 @@ def rare_tokens(texts: DataFrame, least: float) -> DataFrame:
     return shared.withColumn("rank", rank).filter(F.col("rank") <= F.floor(F.col("n") * (1 - least) + 1e-9) + 1).select("key", "uid")
 
 
+def _bag_bound(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) with near: whether word counts allow the similarity. Texts whose counts, summed in BAG bins,
+    differ by more than the edits allowed either way are further apart than that."""
+    both = pairs.join(bags.select(F.col("uid").alias("a"), F.col("bag").alias("x")), "a").join(bags.select(F.col("uid").alias("b"), F.col("bag").alias("y")), "b")
+    total = lambda c: F.aggregate(c, F.lit(0), lambda s, v: s + v)
+    more = total(F.zip_with("x", "y", lambda p, q: F.greatest(p - q, F.lit(0))))
+    less = total(F.zip_with("x", "y", lambda p, q: F.greatest(q - p, F.lit(0))))
+    allowed = F.floor(F.greatest(total("x"), total("y")) * (1 - least) + 1e-9)
+    return both.select("a", "b", (F.greatest(more, less) <= allowed).alias("near"))
+
+
 def near_links(texts: DataFrame, text_of: Callable[[DataFrame], DataFrame], least: float = SIMILARITY) -> DataFrame:
-    """(a, b, similarity): verified links between distinct texts (uid, sketch), enough to connect all texts
+    """(a, b, similarity): verified links between distinct texts (uid, sketch, bag), enough to connect all texts
     that are alike and share a bucket. ``text_of``: from uids to (uid, text).
 
     The texts of a bucket are compared with two of them. Buckets where some text matched neither are
@@ -217,10 +230,12 @@ def near_links(texts: DataFrame, text_of: Callable[[DataFrame], DataFrame], leas
         pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if judged is not None:
             pairs = pairs.join(judged, ["a", "b"], "left_anti")
+        pairs = saved(_bag_bound(pairs, texts.select("uid", "bag"), least), "dedup-pairs")
         # Only texts that are in a pair are moved; pairs are split where one text has many.
-        with_b = pairs.join(held.select(F.col("uid").alias("b"), F.col("text").alias("text_b")), "b")
+        with_b = pairs.filter("near").join(held.select(F.col("uid").alias("b"), F.col("text").alias("text_b")), "b")
         with_both = with_b.join(held.select(F.col("uid").alias("a"), F.col("text").alias("text_a")), "a")
         new = saved(with_both.select("a", "b", "text_a", "text_b").mapInPandas(verify, "a long, b long, similarity double"), "dedup-judged")
+        new = new.union(pairs.filter("not near").select("a", "b", F.lit(None).cast("double")))
         judged = new if judged is None else judged.union(new)
         good = judged.filter("similarity is not null")
         if new.filter("similarity is null").isEmpty():
@@ -252,12 +267,14 @@ def classes(docs: DataFrame, *, id_col="doc_id", text_col="text", least: float =
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch["sketch"] = [order_minhash(word_codes(t)) for t in batch["text"]]
-            yield batch[["id", "fp", "sketch"]]
+            codes = [word_codes(t) for t in batch["text"]]
+            batch["sketch"] = [order_minhash(c) for c in codes]
+            batch["bag"] = [np.bincount((c % np.uint64(BAG)).astype(np.int64), minlength=BAG).astype(np.int32) for c in codes]
+            yield batch[["id", "fp", "sketch", "bag"]]
 
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("fp", fingerprint(F.col("text")))
-    rows = saved(picked.mapInPandas(sketch, f"id {kind}, fp binary, sketch array<bigint>"), "dedup-rows")
-    texts = rows.groupBy("fp").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch"))
+    rows = saved(picked.mapInPandas(sketch, f"id {kind}, fp binary, sketch array<bigint>, bag array<int>"), "dedup-rows")
+    texts = rows.groupBy("fp").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch"), F.first("bag").alias("bag"))
     texts = saved(texts.withColumn("uid", F.monotonically_increasing_id()), "dedup-texts")
 
     def text_of(uids: DataFrame) -> DataFrame:
@@ -266,7 +283,7 @@ def classes(docs: DataFrame, *, id_col="doc_id", text_col="text", least: float =
         found = picked.join(wanted, (F.col("fp") == F.col("want fp")) & F.col("id").eqNullSafe(F.col("want id")))
         return found.select("uid", "text").groupBy("uid").agg(F.first("text").alias("text"))
 
-    links = saved(near_links(texts.select("uid", "sketch"), text_of, least), "dedup-links")
+    links = saved(near_links(texts.select("uid", "sketch", "bag"), text_of, least), "dedup-links")
     roots = components(links, "a", "b", "dedup-components")
     degree = links.select(F.explode(F.array("a", "b")).alias("uid")).groupBy("uid").agg(F.count("*").alias("n_links"))
     labelled = (
