@@ -1,4 +1,188 @@
+"""Queries over the event trace."""
+
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ledgerline.functions.stats import nearest_rank
+from ledgerline.operators.keys import gap_sessions, latest_per_key
+
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str):
+    def add(f):
+        QUERIES[f.__name__] = f
+        SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+RANK = "list_sort(list(value) FILTER (value IS NOT NULL))[greatest(1, least(count(value), round_even({q} / 100.0::DOUBLE * count(value) + 0.5, 0)::BIGINT))]"
+
+
+@query(f"""SELECT event_type, count(*) AS n, count(*) FILTER (event_type = 'error') AS failed, {RANK.format(q=50)} AS p50,
+  {RANK.format(q=90)} AS p90, round(sum(value), 2) AS total FROM events GROUP BY event_type""")
+def metrics_by_kind(spark, d):
+    e = table(spark, d, "events")
+    return e.groupBy("event_type").agg(
+        F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("failed"),
+        nearest_rank(F.col("value"), 50).alias("p50"), nearest_rank(F.col("value"), 90).alias("p90"), F.round(F.sum("value"), 2).alias("total"),
+    )
+
+
+@query("SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY user_id ORDER BY n DESC, user_id LIMIT 15")
+def failures_top15(spark, d):
+    return table(spark, d, "events").filter("event_type = 'error'").groupBy("user_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "user_id").limit(15)
+
+
+@query("SELECT date_trunc('hour', ts + INTERVAL 7 HOUR)::TIMESTAMP AS hour, count(*) AS n FROM events GROUP BY 1 ORDER BY 1 DESC LIMIT 48")
+def throughput_hourly_local(spark, d):
+    local = table(spark, d, "events").select((F.col("ts") + F.expr("interval 7 hours")).alias("ts"))
+    return local.groupBy(F.window("ts", "1 hour")["start"].cast("timestamp_ntz").alias("hour")).agg(F.count("*").alias("n")).orderBy(F.desc("hour")).limit(48)
+
+
+@query("""WITH s AS (SELECT *, coalesce(sum((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM events),
+w AS (SELECT *, max(CASE WHEN event_type = 'view' THEN ts END) OVER (PARTITION BY user_id, g ORDER BY ts, event_id) AS seen FROM s)
+SELECT event_id, user_id, (epoch_us(ts) - epoch_us(seen))::BIGINT AS wait_us FROM w WHERE event_type = 'purchase'""")
+def queue_wait_asof(spark, d):
+    """The wait of each purchase since the user's last view, if no purchase used that view up."""
+    own = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, d, "events").withColumn("g", F.coalesce(F.sum((F.col("event_type") == "purchase").cast("int")).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    seen = F.max(F.when(F.col("event_type") == "view", F.col("ts"))).over(Window.partitionBy("user_id", "g").orderBy("ts", "event_id"))
+    return e.withColumn("seen", seen).filter("event_type = 'purchase'").select("event_id", "user_id", F.expr("timestampdiff(MICROSECOND, seen, ts)").alias("wait_us"))
+
+
+@query("""SELECT user_id, count(*) AS n, min(ts) AS first_at, max(ts) AS last_at, count(*) FILTER (event_type = 'view') AS views,
+  count(*) FILTER (event_type = 'purchase') AS purchases, round(sum(value) FILTER (event_type = 'purchase'), 2) AS spent FROM events GROUP BY user_id""")
+def page_rollup(spark, d):
+    bought = F.col("event_type") == "purchase"
+    return table(spark, d, "events").groupBy("user_id").agg(
+        F.count("*").alias("n"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"), F.count_if(F.col("event_type") == "view").alias("views"),
+        F.count_if(bought).alias("purchases"), F.round(F.sum(F.when(bought, F.col("value"))), 2).alias("spent"),
+    )
+
+
+@query("SELECT user_id, event_id, event_type, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def latest_event_per_user(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_id", "event_type", "ts")
+    return latest_per_key(e, ["user_id"], F.desc("ts"), F.desc("event_id"))
+
+
+@query("""SELECT event_id, row_number() OVER (PARTITION BY ts::DATE ORDER BY ts, event_id) - 1 AS ahead,
+  strftime(ts, 'BATCH-%Y%m%d-') || lpad((row_number() OVER (PARTITION BY ts::DATE ORDER BY ts, event_id))::VARCHAR, 6, '0') AS code FROM events""")
+def queue_position(spark, d):
+    """Place in the day's queue, and a code a day with it."""
+    n = F.row_number().over(Window.partitionBy(F.to_date("ts")).orderBy("ts", "event_id"))
+    code = F.concat(F.date_format("ts", "'BATCH-'yyyyMMdd'-'"), F.lpad(n.cast("string"), 6, "0"))
+    return table(spark, d, "events").select("event_id", (n - 1).cast("long").alias("ahead"), code.alias("code"))
+
+
+@query("""WITH g AS (SELECT *, coalesce(ts - lag(ts) OVER w > INTERVAL 10 MINUTE, false)::INT AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g)
+SELECT user_id, session::BIGINT AS session, count(*) AS n, min(ts) AS first_at, max(ts) AS last_at FROM s GROUP BY ALL""")
+def gap_sessions_per_user(spark, d):
+    s = gap_sessions(table(spark, d, "events"), "user_id", "ts", 600, "event_id")
+    return s.groupBy("user_id", "session").agg(F.count("*").alias("n"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"))
+
+
+@query("""WITH g AS (SELECT *, coalesce(ts - lag(ts) OVER w >= INTERVAL 10 MINUTE, false)::INT AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g)
+SELECT user_id, min(ts) AS start_at, max(ts) + INTERVAL 10 MINUTE AS end_at, count(*) AS n FROM s GROUP BY user_id, session""")
+def session_window_batch(spark, d):
+    s = table(spark, d, "events").groupBy("user_id", F.session_window("ts", "10 minutes").alias("w")).agg(F.count("*").alias("n"))
+    return s.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start_at"), F.col("w.end").cast("timestamp_ntz").alias("end_at"), "n")
+
+
+@query("""SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS start_at, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2""")
+def tumbling_windows(spark, d):
+    w = F.window("ts", "15 minutes")["start"].cast("timestamp_ntz")
+    return table(spark, d, "events").groupBy(w.alias("start_at"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@query("""SELECT time_bucket(INTERVAL 1 HOUR, ts) - to_hours(k::INT) AS start_at, count(*) AS n FROM events, range(2) t(k) GROUP BY 1""")
+def sliding_windows(spark, d):
+    w = F.window("ts", "2 hours", "1 hour")["start"].cast("timestamp_ntz")
+    return table(spark, d, "events").groupBy(w.alias("start_at")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH spans AS (SELECT event_id AS span_id, user_id, ts AS a, ts + INTERVAL 1 HOUR AS b FROM events WHERE event_type = 'signup'),
+c AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'click')
+SELECT c.event_id, arg_max(span_id, (a, span_id)) AS span_id FROM c JOIN spans s ON c.user_id = s.user_id AND c.ts BETWEEN a AND b GROUP BY c.event_id""")
+def span_containment(spark, d):
+    """The span that a call lies in: the last one to start. Hours are equality keys, so the range join has one."""
+    e = table(spark, d, "events")
+    hour = lambda c: F.date_trunc("hour", c.cast("timestamp"))
+    spans = e.filter("event_type = 'signup'").select(F.col("event_id").alias("span_id"), "user_id", F.col("ts").alias("a"), (F.col("ts") + F.expr("interval 1 hour")).alias("b"))
+    spans = spans.withColumn("h", F.explode(F.array_distinct(F.array(hour(F.col("a")), hour(F.col("b"))))))
+    calls = e.filter("event_type = 'click'").select("event_id", "user_id", "ts", hour(F.col("ts")).alias("h"))
+    met = calls.join(spans, ["user_id", "h"]).filter("ts between a and b")
+    return met.groupBy("event_id").agg(F.max(F.struct("a", "span_id"))["span_id"].alias("span_id"))
+
+
+@query("""WITH w AS (SELECT event_id, user_id, epoch_us(ts) - epoch_us(min(ts) OVER u) AS since, epoch_us(max(ts) OVER u) - epoch_us(min(ts) OVER u) AS span FROM events WINDOW u AS (PARTITION BY user_id))
+SELECT event_id, round(100.0::DOUBLE * since / nullif(span, 0), 4) AS left_pct FROM w""")
+def events_timeline_share(spark, d):
+    u = Window.partitionBy("user_id")
+    since, span = "timestampdiff(MICROSECOND, lo, ts)", "nullif(timestampdiff(MICROSECOND, lo, hi), 0)"
+    e = table(spark, d, "events").withColumn("lo", F.min("ts").over(u)).withColumn("hi", F.max("ts").over(u))
+    return e.select("event_id", F.round(F.expr(f"try_divide(100.0D * {since}, {span})"), 4).alias("left_pct"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, event_type || ':' || coalesce(json_extract_string(props, '$.k'), '?') AS label FROM events")
+def json_props_extract(spark, d):
+    k = F.get_json_object("props", "$.k")
+    return table(spark, d, "events").select("event_id", k.try_cast("long").alias("k"), F.concat_ws(":", "event_type", F.coalesce(k, F.lit("?"))).alias("label"))
+
+
+@query("""(SELECT event_id, ts, event_type FROM events WHERE event_type = 'error' AND ts BETWEEN TIMESTAMP '2024-01-10 00:00:00' AND TIMESTAMP '2024-01-12 00:00:00' ORDER BY ts DESC, event_id DESC LIMIT 20)
+UNION ALL (SELECT event_id, ts, event_type FROM events WHERE event_type = 'signup' AND ts BETWEEN TIMESTAMP '2024-01-10 00:00:00' AND TIMESTAMP '2024-01-12 00:00:00' ORDER BY ts DESC, event_id DESC LIMIT 20)""")
+def explore_window(spark, d):
+    """The newest of two kinds in a time window; the filter reaches the scan."""
+    inside = table(spark, d, "events").select("event_id", "ts", "event_type").filter("ts between timestamp_ntz'2024-01-10 00:00:00' and timestamp_ntz'2024-01-12 00:00:00'")
+    newest = lambda kind: inside.filter(F.col("event_type") == kind).orderBy(F.desc("ts"), F.desc("event_id")).limit(20)
+    return newest("error").union(newest("signup"))
+
+
+@query("""WITH price(event_type, usd) AS (VALUES ('view', 0.5), ('click', 1.25), ('purchase', 3.0))
+SELECT event_type, count(*) AS n, round(sum(value * usd::DOUBLE / 1000000.0::DOUBLE), 6) AS cost FROM events LEFT JOIN price USING (event_type) GROUP BY event_type""")
+def price_table_cost(spark, d):
+    """Unknown kinds have no price, and their cost stays null."""
+    price = spark.sql("SELECT * FROM VALUES ('view', 0.5D), ('click', 1.25D), ('purchase', 3.0D) AS t(event_type, usd)")
+    e = table(spark, d, "events").join(F.broadcast(price), "event_type", "left")  # three rows
+    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum(F.col("value") * F.col("usd") / 1000000.0), 6).alias("cost"))
+
+
+@query("""WITH d AS (SELECT user_id, event_type, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events)
+SELECT event_type, count(*) FILTER (nxt IS NULL) AS running, count(*) FILTER (nxt IS NOT NULL) AS done,
+  CASE WHEN count(nxt) < 3 THEN 90.0 ELSE round(median((epoch_us(nxt) - epoch_us(ts)) / 1000000.0::DOUBLE), 3) END AS pace_s,
+  ceil(count(*) / 3.0)::BIGINT AS rounds FROM d GROUP BY event_type""")
+def activity_eta(spark, d):
+    """Pace as the median of finished spans, 90 s below three of them, and rounds for three workers."""
+    nxt = F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    s = table(spark, d, "events").withColumn("nxt", nxt).withColumn("sec", F.expr("timestampdiff(MICROSECOND, ts, nxt) / 1000000.0D"))
+    pace = F.when(F.count("nxt") < 3, F.lit(90.0)).otherwise(F.round(F.median("sec"), 3))
+    return s.groupBy("event_type").agg(F.count_if(F.col("nxt").isNull()).alias("running"), F.count("nxt").alias("done"), pace.alias("pace_s"), F.ceil(F.count("*") / 3.0).alias("rounds"))
+
+
+@query("""WITH e AS (SELECT user_id, event_type FROM events), o AS (SELECT o_custkey FROM orders)
+SELECT DISTINCT user_id, event_type FROM e WHERE event_type = 'purchase' AND NOT EXISTS (SELECT 1 FROM o WHERE o_custkey = user_id)""")
+def new_items_antijoin(spark, d):
+    e = table(spark, d, "events").filter("event_type = 'purchase'").select("user_id", "event_type")
+    return e.join(table(spark, d, "orders").select(F.col("o_custkey").alias("user_id")), "user_id", "left_anti").distinct()
+
+
+@query("""SELECT ts::DATE AS day, count(*) AS n, count(*) FILTER (event_type IN ('view', 'click')) AS reads, count(DISTINCT user_id) AS users,
+  count(DISTINCT user_id) FILTER (event_type = 'purchase') AS buyers FROM events GROUP BY 1""")
+def daily_filtered_counts(spark, d):
+    return table(spark, d, "events").groupBy(F.to_date("ts").alias("day")).agg(
+        F.count("*").alias("n"), F.count_if(F.col("event_type").isin("view", "click")).alias("reads"), F.count_distinct("user_id").alias("users"),
+        F.count_distinct(F.when(F.col("event_type") == "purchase", F.col("user_id"))).alias("buyers"),
+    )
