@@ -204,7 +204,7 @@ def near_links(texts: DataFrame, text_of: Callable[[DataFrame], DataFrame], leas
 
     The texts of a bucket are compared with two of them. Buckets where some text matched neither are
     gone through again: their texts are put into buckets by their rarest words, which texts that are
-    alike share, and compared there with two ends, then those still without a match with four, eight, ...
+    alike share, and compared there with four ends, then those still without a match with 16 and 32,
     until no bucket has two of them.
     """
 
@@ -224,7 +224,7 @@ def near_links(texts: DataFrame, text_of: Callable[[DataFrame], DataFrame], leas
     judged, held, rounds = None, None, 0
     while True:
         rounds += 1
-        met = saved(_candidates(waiting, min(2 ** max(1, rounds - 1), 32)), "dedup-met")
+        met = saved(_candidates(waiting, (2, 4, 16)[rounds - 1] if rounds < 4 else 32), "dedup-met")
         if held is None:
             held = saved(text_of(met.select(F.explode(F.array("a", "b")).alias("uid")).distinct()), "dedup-held")
         pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
