@@ -1,0 +1,71 @@
+"""Every query of the library against its SQL on the small tables, and the operators against brute force."""
+
+import collections
+import glob
+import math
+import os
+import random
+
+import duckdb
+import pytest
+
+from ledgerline.plans import catalogue
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def plain(v):
+    if hasattr(v, "item"):
+        v = v.item()
+    return None if isinstance(v, float) and math.isnan(v) else round(v, 6) if isinstance(v, float) else v
+
+
+def rows_of(names, rows):
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    return collections.Counter(repr([plain(r[i]) for i in order]) for r in rows)
+
+
+@pytest.fixture(scope="module")
+def duck():
+    c = duckdb.connect()
+    for p in glob.glob(f"{FOLDER}/*.parquet"):
+        c.execute(f"create view {os.path.basename(p)[:-8]} as select * from '{p}'")
+    return c
+
+
+@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+def test_query_equals_its_sql(spark, duck, name):
+    df = catalogue.QUERIES[name](spark, FOLDER)
+    found = duck.execute(catalogue.SQL[name])
+    names = [x[0] for x in found.description]
+    assert sorted(names) == sorted(df.columns)
+    assert rows_of(df.columns, df.collect()) == rows_of(names, found.fetchall())
+
+
+def test_amounts(spark):
+    from ledgerline.functions.text import amount
+
+    cases = {"57,082": 57082.0, "12,5": 12.5, "1.078.330,": 1078330.0, "Rp 1.234,50": 1234.5, "1,234.50": 1234.5, "none": None, "": None, None: None, "7": 7.0, "0,125": 125.0}
+    df = spark.createDataFrame([(k, v) for k, v in cases.items()], "t string, want double")
+    for row in df.withColumn("got", amount(df.t)).collect():
+        assert row.got == row.want, row
+
+
+def test_near_join_finds_all_pairs_one_edit_apart(spark):
+    from ledgerline.operators.keys import near_join
+
+    rnd = random.Random(5)
+    a = ["".join(rnd.choice("ab1") for _ in range(rnd.randrange(0, 6))) for _ in range(80)]
+    b = ["".join(rnd.choice("ab1") for _ in range(rnd.randrange(0, 6))) for _ in range(80)]
+
+    def edits(x, y):
+        row = list(range(len(y) + 1))
+        for i, p in enumerate(x, 1):
+            new = [i]
+            for j, q in enumerate(y, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (p != q)))
+            row = new
+        return row[-1]
+
+    got = near_join(spark.createDataFrame([(x,) for x in set(a)], "a string"), spark.createDataFrame([(x,) for x in set(b)], "b string"), "a", "b")
+    assert {(r.a, r.b) for r in got.collect()} == {(x, y) for x in set(a) for y in set(b) if x and y and edits(x, y) <= 1}
