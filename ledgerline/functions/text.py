@@ -38,3 +38,21 @@ def ean_check_digit(twelve: Column) -> Column:
 def dots(number: Column) -> Column:
     """1234567.8 as 1.234.567,80: dots for thousands and a decimal comma."""
     return F.translate(F.format_number(number, 2), ",.", ".,")
+
+
+#: Month names as printed.
+MONTHS = ["Januari", "Februari", "Maret", "April", "Mei", "Juni", "Juli", "Agustus", "September", "Oktober", "November", "Desember"]
+
+
+def long_date(day: Column) -> Column:
+    """17 Agustus 1995."""
+    month = F.element_at(F.array(*map(F.lit, MONTHS)), F.month(day))
+    return F.concat_ws(" ", F.dayofmonth(day).cast("string"), month, F.year(day).cast("string"))
+
+
+def day_of(text: Column) -> Column:
+    """The day in a printed date of a four-figure year, year or day first, with / . or - between; others: null."""
+    year_first, day_first = r"^\s*([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})\s*$", r"^\s*([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4})\s*$"
+    part = lambda pattern, i: F.regexp_extract(text, pattern, i)
+    iso = F.when(F.rlike(text, F.lit(year_first)), F.concat_ws("-", *(part(year_first, i) for i in (1, 2, 3))))
+    return iso.when(F.rlike(text, F.lit(day_first)), F.concat_ws("-", *(part(day_first, i) for i in (3, 2, 1)))).try_cast("date")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import order_queries, trace_queries
+from . import match_queries, order_queries, stream_queries, trace_queries
 
-_PARTS = [trace_queries, order_queries]
+_PARTS = [trace_queries, order_queries, match_queries, stream_queries]
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 SQL = {name: sql for part in _PARTS for name, sql in part.SQL.items()}
