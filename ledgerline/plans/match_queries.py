@@ -110,11 +110,11 @@ def label_piles(spark, d):
     return found.withColumn("better", F.col("gained") > F.col("lost"))
 
 
-@query("""WITH w AS (SELECT DISTINCT p_partkey, p_brand, unnest(regexp_extract_all(lower(p_name), '[a-z0-9]+')) AS word FROM part)
-SELECT word, min(p_brand) AS brand, count(*) AS n FROM w GROUP BY 1 HAVING min(p_brand) = max(p_brand)""")
+@query("""WITH w AS (SELECT source, doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z]+'))) AS word FROM documents)
+SELECT word, min(source) AS source, count(*) AS n FROM w GROUP BY 1 HAVING min(source) = max(source)""")
 def store_own_words(spark, d):
-    """Words that the names of one brand have and no other brand's."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("p_name"), F.lit("([a-z0-9]+)")))
-    each = table(spark, d, "part").select("p_partkey", "p_brand", F.explode(words).alias("word")).distinct()
-    found = each.groupBy("word").agg(F.min("p_brand").alias("brand"), F.max("p_brand").alias("last"), F.count("*").alias("n"))
-    return found.filter("brand = last").drop("last")
+    """Words that the texts of one source have and no other source's, with the texts that have them."""
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Za-z]+)")))
+    each = table(spark, d, "documents").select("source", F.explode(words).alias("word"))
+    found = each.groupBy("word").agg(F.min("source").alias("source"), F.max("source").alias("last"), F.count("*").alias("n"))
+    return found.filter("source = last").drop("last")
