@@ -156,12 +156,12 @@ def fingerprint(text: Column) -> Column:
 
 
 def _candidates(members: DataFrame, ends: int) -> DataFrame:
-    """(key, a, b): every text of a bucket (key, uid) with ``ends`` texts of the bucket, the least in as many
-    orders. A bucket of n texts gives at most ``ends`` times n pairs, and its ends come from sums made
-    before the shuffle."""
-    order = [F.col("uid"), *(F.xxhash64("uid", F.lit(i)) for i in range(1, ends))]
-    found = members.groupBy("key").agg(F.count("*").alias("n"), *(F.min_by("uid", o).alias(f"e{i}") for i, o in enumerate(order)))
-    found = found.filter("n > 1").select("key", F.array_distinct(F.array(*(f"e{i}" for i in range(ends)))).alias("ends"))
+    """(key, a, b): every text of a bucket (key, uid) with ``ends`` texts of the bucket, the first in an order
+    that is the same in all buckets. A bucket of n texts gives at most ``ends`` times n pairs; its ends are found
+    before the shuffle, and are written, so that the join on a frequent key can be split."""
+    order = Window.partitionBy("key").orderBy(F.xxhash64("uid"), "uid")
+    first = members.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= ends)
+    found = saved(first.groupBy("key").agg(F.collect_list("uid").alias("ends")).filter(F.size("ends") > 1), "dedup-ends")
     return members.join(found, "key").select("key", F.col("uid").alias("b"), F.explode("ends").alias("a")).filter("a <> b")
 
 
@@ -204,8 +204,8 @@ def near_links(texts: DataFrame, text_of: Callable[[DataFrame], DataFrame], leas
 
     The texts of a bucket are compared with two of them. Buckets where some text matched neither are
     gone through again: their texts are put into buckets by their rarest words, which texts that are
-    alike share, and compared there with four ends, then those still without a match with 16 and 32,
-    until no bucket has two of them.
+    alike share, and compared there with four ends, then those still without a match with four times as
+    many each round, until no bucket has two of them: the rounds grow with the logarithm of a bucket.
     """
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -224,7 +224,7 @@ def near_links(texts: DataFrame, text_of: Callable[[DataFrame], DataFrame], leas
     judged, held, rounds = None, None, 0
     while True:
         rounds += 1
-        met = saved(_candidates(waiting, (2, 4, 16)[rounds - 1] if rounds < 4 else 32), "dedup-met")
+        met = saved(_candidates(waiting, 2 if rounds == 1 else 4 ** (rounds - 1)), "dedup-met")
         if held is None:
             held = saved(text_of(met.select(F.explode(F.array("a", "b")).alias("uid")).distinct()), "dedup-held")
         pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
