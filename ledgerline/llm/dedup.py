@@ -20,6 +20,11 @@ SKETCHES = 32
 MINIMA = 2
 #: Bins of the word counts that rule out pairs before their texts are fetched.
 BAG = 64
+#: Slots of the word weights that order a text's keys, and the texts they are counted on.
+WEIGHTS = 2**18
+SAMPLE_TEXTS = 2000
+#: Texts of a bucket that are compared with each other in one place.
+BLOCK = 128
 #: Least edit similarity: 1 - edits / words of the longer text.
 SIMILARITY = 0.8
 
@@ -165,26 +170,85 @@ def _candidates(members: DataFrame, ends: int) -> DataFrame:
     return members.join(found, "key").select("key", F.col("uid").alias("b"), F.explode("ends").alias("a")).filter("a <> b")
 
 
-def rare_tokens(texts: DataFrame, least: float) -> DataFrame:
-    """(key, uid): for each text (uid, text) its rarest words, one in five and one more at the similarity 0.8.
+def word_weights(texts: DataFrame) -> np.ndarray:
+    """How often the words of a bounded sample of texts (text) fall in each of WEIGHTS slots."""
+    sample = texts.select("text").orderBy(F.xxhash64("text"), "text").limit(SAMPLE_TEXTS).collect()
+    out = np.ones(WEIGHTS, dtype=np.float64)
+    for row in sample:
+        out += np.bincount((word_codes(row.text) % np.uint64(WEIGHTS)).astype(np.int64), minlength=WEIGHTS)
+    return out
 
-    Two texts that are ``least`` alike share all but that part of their words, so they share one of these keys
-    whatever the order of the words, and with the rarest first few others do.
-    """
 
-    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def rare_keys(codes: np.ndarray, weights: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """The text's rarest pairs of neighbouring words, so many that two texts that are ``least`` alike share one.
+
+    An edit takes at most k of a text's k-mers, an insertion k - 1. Of the shorter of two texts, d edits apart
+    and with a difference of x words, at most k * d - x k-mers are missing in the other, and of the longer at
+    most k * d; with one more, first in an order that all texts have in common, they meet. That holds in any
+    order; the weights only keep the buckets small. Pairs of words need a similarity of 0.75, below it words are taken.
+    """
+    k, n = 2 if least >= 0.75 else 1, len(codes)
+    kmers = occurrence_kmers(codes, k)
+    edits = int((1 - least) * n + 1e-9)
+    missing = k * edits
+    for x in range(1, n + 1):  # a longer partner may allow one edit more
+        more = int((1 - least) * (n + x) + 1e-9)
+        if more > edits:
+            missing = max(missing, k * more - x)
+            break
+    if missing + 1 >= len(kmers):
+        return kmers.view(np.int64)
+    each = weights[(codes % np.uint64(WEIGHTS)).astype(np.int64)]
+    weight = each if k == 1 else each[:-1] * each[1:]
+    return kmers[np.lexsort((kmers, weight))[: missing + 1]].view(np.int64)
+
+
+def near_in_cells(cells: DataFrame, least: float) -> DataFrame:
+    """(a, b): the pairs of texts of one cell (key, i, j, block, uid, root, words, bag) that are in different components
+    and that word counts allow to be alike. Cells are dealt evenly and compared where they land, so only these pairs
+    are moved. A cell of two blocks gives the pairs across them, one of a block all its pairs."""
+
+    def near(rows: pd.DataFrame) -> pd.DataFrame:
+        cell = rows[["key", "i", "j"]].to_numpy()
+        start = np.ones(len(rows), dtype=bool)
+        start[1:] = (cell[1:] != cell[:-1]).any(axis=1)
+        group = np.cumsum(start)
+        uid, root, block, words = (rows[c].to_numpy() for c in ("uid", "root", "block", "words"))
+        across = (rows["i"] != rows["j"]).to_numpy()
+        bags = np.frombuffer(b"".join(rows["bag"]), dtype=np.uint8).reshape(len(rows), BAG).astype(np.int16)
+        found, left, far = [], np.arange(len(rows)), 0
+        while len(left):
+            far += 1
+            left = left[left + far < len(rows)]
+            left = left[group[left] == group[left + far]]
+            x = left[(root[left] != root[left + far]) & ~(across[left] & (block[left] == block[left + far]))]
+            for at in range(0, len(x), 50_000):
+                p = x[at : at + 50_000]
+                q = p + far
+                allowed = np.floor(np.maximum(words[p], words[q]) * (1 - least) + 1e-9)
+                fits = np.abs(words[p] - words[q]) <= allowed
+                p, q, allowed = p[fits], q[fits], allowed[fits]
+                d = bags[p] - bags[q]
+                more = np.where(d > 0, d, 0).sum(1, dtype=np.int64)
+                fits = np.maximum(more, more - d.sum(1, dtype=np.int64)) <= allowed
+                found.append(np.stack([np.minimum(uid[p[fits]], uid[q[fits]]), np.maximum(uid[p[fits]], uid[q[fits]])], 1))
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None  # a cell that the next batch may go on with
         for batch in batches:
-            for uid, text in zip(batch["uid"], batch["text"], strict=True):
-                codes = occurrence_kmers(word_codes(text), 1)
-                yield pd.DataFrame({"uid": uid, "key": codes.view(np.int64), "n": len(codes)})
+            rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            last = (rest[["key", "i", "j"]] == rest[["key", "i", "j"]].iloc[-1]).all(axis=1).to_numpy()
+            first = int(last.argmax())
+            if first:
+                yield near(rest.iloc[:first])
+                rest = rest.iloc[first:].reset_index(drop=True)
+        if rest is not None and len(rest):
+            yield near(rest)
 
-    each = saved(texts.select("uid", "text").mapInPandas(tokens, "uid long, key long, n int"), "dedup-tokens")
-    often = each.groupBy("key").agg(F.count("*").alias("often")).filter("often > 1")
-    own = Window.partitionBy("uid")  # a text's words
-    shared = each.join(often, "key")
-    # Words of one text only come first and meet nobody.
-    rank = F.row_number().over(own.orderBy("often", "key")) + F.col("n") - F.count("*").over(own)
-    return shared.withColumn("rank", rank).filter(F.col("rank") <= F.floor(F.col("n") * (1 - least) + 1e-9) + 1).select("key", "uid")
+    dealt = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "uid")
+    return dealt.mapInPandas(whole, "a long, b long").distinct()
 
 
 def _bag_bound(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
@@ -198,14 +262,14 @@ def _bag_bound(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", (F.greatest(more, less) <= allowed).alias("near"))
 
 
-def near_links(texts: DataFrame, text_of: Callable[[DataFrame], DataFrame], least: float = SIMILARITY) -> DataFrame:
-    """(a, b, similarity): verified links between distinct texts (uid, sketch, bag), enough to connect all texts
-    that are alike and share a bucket. ``text_of``: from uids to (uid, text).
+def near_links(texts: DataFrame, keys: DataFrame, text_of: Callable[[DataFrame], DataFrame], least: float = SIMILARITY) -> DataFrame:
+    """(a, b, similarity): verified links between distinct texts (uid, sketch, bag) with ``keys`` (key, uid),
+    enough to connect all texts that are alike. ``text_of``: from uids to (uid, text).
 
-    The texts of a bucket are compared with two of them. Buckets where some text matched neither are
-    gone through again: their texts are put into buckets by their rarest words, which texts that are
-    alike share, and compared there with four ends, then those still without a match with four times as
-    many each round, until no bucket has two of them: the rounds grow with the logarithm of a bucket.
+    First the texts that share a sketch are compared with two of them, and what is alike is one component. Then
+    every pair of texts that shares a rare key and is not in one component is a candidate, in blocks of BLOCK texts.
+    Candidates that word counts don't rule out are aligned, a few of each text first; those that have come
+    to lie in one component are dropped after each round, and the rounds end when no candidate is left.
     """
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -220,38 +284,47 @@ def near_links(texts: DataFrame, text_of: Callable[[DataFrame], DataFrame], leas
             batch["similarity"] = pd.array(out, dtype="Float64")
             yield batch[["a", "b", "similarity"]]
 
-    waiting = texts.select("uid", F.posexplode("sketch").alias("j", "h")).select(F.xxhash64("j", "h").alias("key"), "uid")
-    judged, held, rounds = None, None, 0
-    while True:
-        rounds += 1
-        met = saved(_candidates(waiting, 2 if rounds == 1 else 4 ** (rounds - 1)), "dedup-met")
-        if held is None:
-            held = saved(text_of(met.select(F.explode(F.array("a", "b")).alias("uid")).distinct()), "dedup-held")
-        pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if judged is not None:
-            pairs = pairs.join(judged, ["a", "b"], "left_anti")
-        pairs = saved(_bag_bound(pairs, texts.select("uid", "bag"), least), "dedup-pairs")
+    def judge(pairs: DataFrame, held: DataFrame) -> DataFrame:
         # Only texts that are in a pair are moved; pairs are split where one text has many.
-        with_b = pairs.filter("near").join(held.select(F.col("uid").alias("b"), F.col("text").alias("text_b")), "b")
+        with_b = pairs.join(held.select(F.col("uid").alias("b"), F.col("text").alias("text_b")), "b")
         with_both = with_b.join(held.select(F.col("uid").alias("a"), F.col("text").alias("text_a")), "a")
-        new = saved(with_both.select("a", "b", "text_a", "text_b").mapInPandas(verify, "a long, b long, similarity double"), "dedup-judged")
-        new = new.union(pairs.filter("not near").select("a", "b", F.lit(None).cast("double")))
-        judged = new if judged is None else judged.union(new)
-        good = judged.filter("similarity is not null")
-        if new.filter("similarity is null").isEmpty():
-            return good
-        hit = met.select("key", "b", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).join(
-            good.select(F.col("a").alias("lo"), F.col("b").alias("hi"), F.lit(1).alias("hit")), ["lo", "hi"], "left"
-        )
-        members = hit.groupBy("key", F.col("b").alias("uid")).agg(F.max("hit").alias("hit"))
-        unmatched = saved(members.filter("hit is null").select("key", "uid"), "dedup-unmatched")
-        if rounds == 1:
-            again = members.join(unmatched.select("key").distinct(), "key", "left_semi").select("uid").distinct()
-            waiting = saved(rare_tokens(held.join(again, "uid", "left_semi"), least), "dedup-buckets")
-        else:
-            waiting = unmatched.join(met.select("key", F.col("a").alias("uid")).distinct(), ["key", "uid"], "left_anti")
-        if waiting.isEmpty():
-            return good
+        return saved(with_both.select("a", "b", "text_a", "text_b").mapInPandas(verify, "a long, b long, similarity double"), "dedup-judged")
+
+    def fetch(pairs: DataFrame) -> DataFrame:
+        return saved(text_of(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()), "dedup-held")
+
+    slots = texts.select("uid", F.posexplode("sketch").alias("j", "h")).select(F.xxhash64("j", "h").alias("key"), "uid")
+    met = _candidates(slots, 2).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = saved(_bag_bound(met, texts.select("uid", "bag"), least).filter("near").select("a", "b"), "dedup-pairs")
+    judged = judge(pairs, fetch(pairs))
+    good = judged.filter("similarity is not null")
+
+    def rooted() -> DataFrame:
+        roots = components(good, "a", "b", "dedup-rooted")
+        return texts.select("uid").join(roots.withColumnRenamed("node", "uid"), "uid", "left").select("uid", F.coalesce("root", "uid").alias("root"))
+
+    own = Window.partitionBy("key")
+    total = F.aggregate("bag", F.lit(0), lambda s, v: s + v)
+    # Counts over 255 are kept as 255, which can only bring two texts nearer.
+    as_bytes = F.unhex(F.array_join(F.transform("bag", lambda v: F.lpad(F.hex(F.least(v, F.lit(255))), 2, "0")), ""))
+    about = texts.select("uid", total.alias("words"), as_bytes.alias("bag")).join(rooted(), "uid")
+    mixed = keys.join(about.select("uid", "root"), "uid").withColumn("n", F.count("*").over(own)).withColumn("lo", F.min("root").over(own)).withColumn("hi", F.max("root").over(own))
+    mixed = mixed.filter("lo <> hi").withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("uid"), "blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    cells = mixed.select("key", "uid", "block", other.alias("other")).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "uid")
+    pairs = saved(near_in_cells(cells.join(about, "uid"), least).join(judged.select("a", "b"), ["a", "b"], "left_anti"), "dedup-pairs")
+    held, ends = None, 4
+    while not pairs.isEmpty():
+        held = fetch(pairs) if held is None else held
+        place = F.row_number().over(Window.partitionBy("b").orderBy(F.xxhash64("a"), "a"))
+        pairs = saved(pairs.withColumn("now", place <= ends), "dedup-pairs")
+        judged = judge(pairs.filter("now").select("a", "b"), held)
+        good = saved(good.union(judged.filter("similarity is not null")), "dedup-good")
+        roots = rooted()
+        ra, rb = roots.select(F.col("uid").alias("a"), F.col("root").alias("ra")), roots.select(F.col("uid").alias("b"), F.col("root").alias("rb"))
+        pairs = saved(pairs.filter("not now").join(ra, "a").join(rb, "b").filter("ra <> rb").select("a", "b"), "dedup-pairs")
+        ends *= 4
+    return good
 
 
 def classes(docs: DataFrame, *, id_col="doc_id", text_col="text", least: float = SIMILARITY) -> DataFrame:
@@ -270,10 +343,12 @@ def classes(docs: DataFrame, *, id_col="doc_id", text_col="text", least: float =
             codes = [word_codes(t) for t in batch["text"]]
             batch["sketch"] = [order_minhash(c) for c in codes]
             batch["bag"] = [np.bincount((c % np.uint64(BAG)).astype(np.int64), minlength=BAG).astype(np.int32) for c in codes]
-            yield batch[["id", "fp", "sketch", "bag"]]
+            batch["rare"] = [rare_keys(c, weights, least) for c in codes]
+            yield batch[["id", "fp", "sketch", "bag", "rare"]]
 
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("fp", fingerprint(F.col("text")))
-    rows = saved(picked.mapInPandas(sketch, f"id {kind}, fp binary, sketch array<bigint>, bag array<int>"), "dedup-rows")
+    weights = word_weights(picked)
+    rows = saved(picked.mapInPandas(sketch, f"id {kind}, fp binary, sketch array<bigint>, bag array<int>, rare array<bigint>"), "dedup-rows")
     texts = rows.groupBy("fp").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch"), F.first("bag").alias("bag"))
     texts = saved(texts.withColumn("uid", F.monotonically_increasing_id()), "dedup-texts")
 
@@ -283,7 +358,10 @@ def classes(docs: DataFrame, *, id_col="doc_id", text_col="text", least: float =
         found = picked.join(wanted, (F.col("fp") == F.col("want fp")) & F.col("id").eqNullSafe(F.col("want id")))
         return found.select("uid", "text").groupBy("uid").agg(F.first("text").alias("text"))
 
-    links = saved(near_links(texts.select("uid", "sketch", "bag"), text_of, least), "dedup-links")
+    # Keys of one row only meet nobody and go first; equal rows are one text after that.
+    once = rows.select("fp", F.explode("rare").alias("key")).withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
+    keys = saved(once.select("key", "fp").join(texts.select("fp", "uid"), "fp").select("key", "uid").distinct(), "dedup-keys")
+    links = saved(near_links(texts.select("uid", "sketch", "bag"), keys, text_of, least), "dedup-links")
     roots = components(links, "a", "b", "dedup-components")
     degree = links.select(F.explode(F.array("a", "b")).alias("uid")).groupBy("uid").agg(F.count("*").alias("n_links"))
     labelled = (

@@ -299,3 +299,32 @@ def test_edit_distance():
             row = new
         most = int(rng.integers(0, 15))
         assert dedup.edit_distance(a, b, most) == (row[-1] if row[-1] <= most else None)
+
+
+def brute_classes(texts):
+    """Least index of each text's class, by all pairs."""
+    codes, root = [dedup.word_codes(t) for t in texts], list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if find(i) != find(j) and dedup.similarity(codes[i], codes[j]) is not None:
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    return {i: find(i) for i in range(len(texts))}
+
+
+def test_near_dedup_one_large_group(spark):
+    """Many copies with many edits: texts that are not like a bucket's ends are still linked to each other."""
+    rng = np.random.default_rng(31)
+    words, texts = [f"w{i}" for i in range(100)], []
+    for n in range(400):
+        copy = list(words)
+        for at in rng.choice(100, rng.integers(8, 16), replace=False):
+            copy[at] = f"x{n}y{at}"
+        texts.append(" ".join(copy))
+    rows = {r.doc_id: r.class_id for r in dedup.classes(docs_of(spark, texts)).collect()}
+    assert rows == brute_classes(texts)
