@@ -20,6 +20,8 @@ SKETCHES = 32
 MINIMA = 2
 #: Bins of the word counts that rule out pairs before their texts are fetched.
 BAG = 64
+#: Finer bins, a byte each, for texts that share a rare key. Counts over 255 are kept as 255, which can only bring texts nearer.
+FINE = 256
 #: Slots of the word weights that order a text's keys, and the texts they are counted on.
 WEIGHTS = 2**18
 SAMPLE_TEXTS = 2000
@@ -77,7 +79,8 @@ def occurrence_kmers(codes: np.ndarray, k: int = K) -> np.ndarray:
     first = np.maximum.accumulate(np.where(new, np.arange(len(grams)), 0))
     number = np.empty(len(grams), dtype=np.uint64)
     number[order] = np.arange(len(grams)) - first
-    return _mix(grams + number)
+    # A first one keeps its hash, so that texts with and without repeats share it.
+    return np.where(number == 0, grams, _mix(grams + number))
 
 
 def order_minhash(codes: np.ndarray, sketches: int = SKETCHES, minima: int = MINIMA) -> np.ndarray:
@@ -215,7 +218,7 @@ def near_in_cells(cells: DataFrame, least: float) -> DataFrame:
         group = np.cumsum(start)
         uid, root, block, words = (rows[c].to_numpy() for c in ("uid", "root", "block", "words"))
         across = (rows["i"] != rows["j"]).to_numpy()
-        bags = np.frombuffer(b"".join(rows["bag"]), dtype=np.uint8).reshape(len(rows), BAG).astype(np.int16)
+        bags = np.frombuffer(b"".join(rows["bag"]), dtype=np.uint8).reshape(len(rows), FINE).astype(np.int16)
         found, left, far = [], np.arange(len(rows)), 0
         while len(left):
             far += 1
@@ -263,7 +266,7 @@ def _bag_bound(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
 
 
 def near_links(texts: DataFrame, keys: DataFrame, text_of: Callable[[DataFrame], DataFrame], least: float = SIMILARITY) -> DataFrame:
-    """(a, b, similarity): verified links between distinct texts (uid, sketch, bag) with ``keys`` (key, uid),
+    """(a, b, similarity): verified links between distinct texts (uid, sketch, bag, fine) with ``keys`` (key, uid),
     enough to connect all texts that are alike. ``text_of``: from uids to (uid, text).
 
     First the texts that share a sketch are compared with two of them, and what is alike is one component. Then
@@ -305,9 +308,7 @@ def near_links(texts: DataFrame, keys: DataFrame, text_of: Callable[[DataFrame],
 
     own = Window.partitionBy("key")
     total = F.aggregate("bag", F.lit(0), lambda s, v: s + v)
-    # Counts over 255 are kept as 255, which can only bring two texts nearer.
-    as_bytes = F.unhex(F.array_join(F.transform("bag", lambda v: F.lpad(F.hex(F.least(v, F.lit(255))), 2, "0")), ""))
-    about = texts.select("uid", total.alias("words"), as_bytes.alias("bag")).join(rooted(), "uid")
+    about = texts.select("uid", total.alias("words"), F.col("fine").alias("bag")).join(rooted(), "uid")
     mixed = keys.join(about.select("uid", "root"), "uid").withColumn("n", F.count("*").over(own)).withColumn("lo", F.min("root").over(own)).withColumn("hi", F.max("root").over(own))
     mixed = mixed.filter("lo <> hi").withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("uid"), "blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
@@ -344,12 +345,14 @@ def classes(docs: DataFrame, *, id_col="doc_id", text_col="text", least: float =
             batch["sketch"] = [order_minhash(c) for c in codes]
             batch["bag"] = [np.bincount((c % np.uint64(BAG)).astype(np.int64), minlength=BAG).astype(np.int32) for c in codes]
             batch["rare"] = [rare_keys(c, weights, least) for c in codes]
-            yield batch[["id", "fp", "sketch", "bag", "rare"]]
+            batch["fine"] = [np.minimum(np.bincount((c % np.uint64(FINE)).astype(np.int64), minlength=FINE), 255).astype(np.uint8).tobytes() for c in codes]
+            yield batch[["id", "fp", "sketch", "bag", "fine", "rare"]]
 
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("fp", fingerprint(F.col("text")))
     weights = word_weights(picked)
-    rows = saved(picked.mapInPandas(sketch, f"id {kind}, fp binary, sketch array<bigint>, bag array<int>, rare array<bigint>"), "dedup-rows")
-    texts = rows.groupBy("fp").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch"), F.first("bag").alias("bag"))
+    rows = picked.mapInPandas(sketch, f"id {kind}, fp binary, sketch array<bigint>, bag array<int>, fine binary, rare array<bigint>")
+    rows = saved(rows.withColumn("row", F.monotonically_increasing_id()), "dedup-rows")
+    texts = rows.groupBy("fp").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch"), F.first("bag").alias("bag"), F.first("fine").alias("fine"))
     texts = saved(texts.withColumn("uid", F.monotonically_increasing_id()), "dedup-texts")
 
     def text_of(uids: DataFrame) -> DataFrame:
@@ -359,9 +362,10 @@ def classes(docs: DataFrame, *, id_col="doc_id", text_col="text", least: float =
         return found.select("uid", "text").groupBy("uid").agg(F.first("text").alias("text"))
 
     # Keys of one row only meet nobody and go first; equal rows are one text after that.
-    once = rows.select("fp", F.explode("rare").alias("key")).withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
-    keys = saved(once.select("key", "fp").join(texts.select("fp", "uid"), "fp").select("key", "uid").distinct(), "dedup-keys")
-    links = saved(near_links(texts.select("uid", "sketch", "bag"), keys, text_of, least), "dedup-links")
+    met = rows.select("row", F.explode("rare").alias("key")).withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1").select("key", "row")
+    text_of_row = rows.select("row", "fp").join(texts.select("fp", "uid"), "fp").select("row", "uid")
+    keys = saved(met.join(text_of_row, "row").select("key", "uid").distinct(), "dedup-keys")
+    links = saved(near_links(texts.select("uid", "sketch", "bag", "fine"), keys, text_of, least), "dedup-links")
     roots = components(links, "a", "b", "dedup-components")
     degree = links.select(F.explode(F.array("a", "b")).alias("uid")).groupBy("uid").agg(F.count("*").alias("n_links"))
     labelled = (

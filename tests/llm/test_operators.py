@@ -328,3 +328,32 @@ def test_near_dedup_one_large_group(spark):
         texts.append(" ".join(copy))
     rows = {r.doc_id: r.class_id for r in dedup.classes(docs_of(spark, texts)).collect()}
     assert rows == brute_classes(texts)
+
+
+def test_near_dedup_pairs_at_the_threshold(spark):
+    """Pairs of 5 to 30 and of 200 words, with as many scattered edits as the similarity allows."""
+    rng, texts = np.random.default_rng(32), []
+    for n in [*range(5, 31), *[50, 200] * 10]:
+        words = [f"v{len(texts)}n{i}" for i in range(n)]
+        copy = list(words)
+        for at in (np.arange(n // 5) * 5 + 2) if n < 50 else rng.choice(n, n // 5, replace=False):
+            copy[at] = f"z{len(texts)}n{at}"
+        texts += [" ".join(words), " ".join(copy)]
+    rows = {r.doc_id: r.class_id for r in dedup.classes(docs_of(spark, texts)).collect()}
+    assert rows == {i: i // 2 * 2 for i in range(len(texts))}
+
+
+def test_rare_keys_meet():
+    rng = np.random.default_rng(33)
+    weights = rng.integers(1, 9, dedup.WEIGHTS).astype(float)
+    for _ in range(3000):
+        n = int(rng.integers(0, 40))
+        a = rng.integers(0, 50, n).astype(np.uint64)
+        b = a.tolist()
+        for _ in range(n // 5 + 1):
+            kind, at = rng.integers(0, 3), int(rng.integers(0, len(b) + 1))
+            b[at : at + (kind > 0)] = [int(rng.integers(0, 50))] if kind < 2 else []
+        b = np.array(b, dtype=np.uint64)
+        for least in (0.8, 0.6):
+            if dedup.similarity(a, b, least) is not None:
+                assert set(dedup.rare_keys(a, weights, least)) & set(dedup.rare_keys(b, weights, least))
