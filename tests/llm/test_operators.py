@@ -357,3 +357,16 @@ def test_rare_keys_meet():
         for least in (0.8, 0.6):
             if dedup.similarity(a, b, least) is not None:
                 assert set(dedup.rare_keys(a, weights, least)) & set(dedup.rare_keys(b, weights, least))
+
+
+def test_media_meets_all_of_a_bucket(spark):
+    """Images 3 and 4 share four corners, but each of these buckets has other least and greatest images."""
+    corner = lambda key, at: (1, at, at, 0, [key * 4 + t for t in range(4)])
+    images = {i: [] for i in (1, 2, 3, 4, 8, 9)}
+    for n, others in enumerate([(1, 9), (1, 9), (2, 8), (2, 8)]):
+        for i in (3, 4):
+            images[i].append(corner(n, 20 + 10 * n))
+        for i in others:  # two corners each: never enough votes
+            images[i].append(corner(n, 20 + 17 * n * i))
+    found = spark.createDataFrame(list(images.items()), f"uid long, corners array<{media.CORNER}>")
+    assert [tuple(r) for r in media.copy_links(found).distinct().collect()] == [(3, 4)]
