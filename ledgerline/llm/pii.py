@@ -16,10 +16,8 @@ KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
 #: A context counts if at least so many different identifiers of a kind were seen in it, ...
 SUPPORT = 3
-#: ... a form is accepted at this confidence, ...
+#: ... and a form is accepted at this confidence; accepted forms vouch for further contexts.
 ACCEPT = 0.75
-#: ... and accepted forms vouch for further contexts in so many rounds.
-ROUNDS = 3
 
 _local = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _host = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -127,7 +125,7 @@ def learn(found: DataFrame) -> DataFrame:
 
     The graph joins contexts and forms. A context's confidence is the sum of its forms' confidence over their number
     and one, if enough forms of it are sure; a form that is not a seed has one minus the product of its contexts'
-    doubts. Sums come from aggregations by context and by form.
+    doubts. Sums come from aggregations by context and by form. Confidence only rises, and rounds go on until none does.
     """
     edges = found.groupBy("kind", "context", "form").agg(F.max("seed").alias("seed"))
     useful = edges.groupBy("kind", "context").agg(F.count("*").alias("n"), F.sum(F.col("seed").cast("int")).alias("seeds")).filter("n > seeds").select("kind", "context")
@@ -135,7 +133,7 @@ def learn(found: DataFrame) -> DataFrame:
     edges = saved(edges.join(useful, ["kind", "context"], "left_semi"), "pii-edges")
     sure = edges.filter("seed").select("kind", "form").distinct().withColumn("p", F.lit(1.0))
     accepted = None
-    for _ in range(ROUNDS):
+    while True:
         scored = edges.join(sure, ["kind", "form"], "left").withColumn("p", F.coalesce("p", F.lit(0.0)))
         patterns = (
             scored.groupBy("kind", "context")
@@ -145,11 +143,15 @@ def learn(found: DataFrame) -> DataFrame:
         )
         forms = edges.filter("not seed").join(patterns, ["kind", "context"]).groupBy("kind", "form").agg((1 - F.exp(F.sum(F.log1p(-F.col("c"))))).alias("p"))
         new = saved(forms.filter(F.col("p") >= ACCEPT), "pii-forms")
-        if accepted is not None and new.count() == accepted.count():
+        if accepted is None:
+            risen = new
+        else:
+            old = accepted.select("kind", "form", F.col("p").alias("old"))
+            risen = new.join(old, ["kind", "form"], "left").filter("old is null or p > old + 1e-9")
+        if risen.isEmpty():
             return new.select("kind", "form")
         accepted = new
         sure = edges.filter("seed").select("kind", "form").distinct().withColumn("p", F.lit(1.0)).union(new.select("kind", "form", "p"))
-    return accepted.select("kind", "form")
 
 
 def find(docs: DataFrame, *, text_col: str = "text", keep_text: bool = True) -> DataFrame:

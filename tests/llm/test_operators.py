@@ -370,3 +370,10 @@ def test_media_meets_all_of_a_bucket(spark):
             images[i].append(corner(n, 20 + 17 * n * i))
     found = spark.createDataFrame(list(images.items()), f"uid long, corners array<{media.CORNER}>")
     assert [tuple(r) for r in media.copy_links(found).distinct().collect()] == [(3, 4)]
+
+
+def test_pii_learns_long_chains(spark):
+    """Forms of each level stand in contexts with those of the level before; only the first are seeds."""
+    rows = [("phone", f"f{level}n{n}", level == 0, f"c{max(at, 1)}n{c}") for level in range(7) for at in (level, level + 1) for c in range(5) for n in range(12)]
+    found = spark.createDataFrame(rows, "kind string, form string, seed boolean, context string")
+    assert {r.form for r in pii.learn(found).collect()} == {f"f{level}n{n}" for level in range(1, 7) for n in range(12)}
