@@ -40,6 +40,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Deletes what ``saved`` wrote of frames that nothing reads any more."""
+    for df in frames:
+        for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def components(edges: DataFrame, a: str, b: str, name: str = "components") -> DataFrame:
     """(node, root) for every node of the undirected edges a-b; root is the least node of its component.
 
@@ -70,6 +78,9 @@ def components(edges: DataFrame, a: str, b: str, name: str = "components") -> Da
             hooked.join(jump, "m").select("node", F.least("m", "far").alias("root"), F.col("root").alias("old")),
             f"{name}-labels",
         )
+        done = step.filter("root <> old").isEmpty()
+        discard(labels)
         labels = step.select("node", "root")
-        if step.filter("root <> old").isEmpty():
+        if done:
+            discard(both)
             return labels

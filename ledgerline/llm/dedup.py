@@ -8,30 +8,30 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, saved, table
+from .common import components, discard, saved, table
 
 K = 5
 #: Sketches a text, and minima in each. Texts that share a part J of their five-word shingles agree in one
-#: sketch with about J**2: of pairs with J = 0.5 fewer than one in 10,000 has no sketch in common.
-SKETCHES = 32
+#: sketch with about J**2. Of pairs of 200 words with scattered edits, 0.89 share a sketch at a similarity of
+#: 0.80, 0.99 at 0.85 and all at 0.90 (tests/llm holds these).
+SKETCHES = 64
 MINIMA = 2
-#: Bins of the word counts that rule out pairs before their texts are fetched.
-BAG = 64
-#: Finer bins, a byte each, for texts that share a rare key. Counts over 255 are kept as 255, which can only bring texts nearer.
-FINE = 256
-#: Slots of the word weights that order a text's keys, and the texts they are counted on.
-WEIGHTS = 2**18
-SAMPLE_TEXTS = 2000
-#: Texts of a bucket that are compared with each other in one place.
-BLOCK = 128
+#: A few edits can take every five-word shingle of a short text: texts of fewer words than the first number have
+#: sketches of shingles of as many words as the second says besides, as many as the third.
+SHORT = [(64, 2, 16), (12, 1, 8)]
+SLOTS = SKETCHES + sum(n for _, _, n in SHORT)
+#: Bins of the word counts that rule out pairs.
+BINS = 256
+#: Texts of a bucket that are compared in one place, with each other or with as many more. 0.01 GB at 2 kB a text.
+BLOCK = 2048
 #: Least edit similarity: 1 - edits / words of the longer text.
 SIMILARITY = 0.8
 
 _normal = re.compile(r"[^\W_]+").findall
-_seeds = np.random.default_rng(20240101).integers(1, 2**63, SKETCHES, dtype=np.uint64) * 2 + 1
+_seeds = np.random.default_rng(20240101).integers(0, 2**31, SKETCHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 class _Codes(dict):
@@ -83,18 +83,19 @@ def occurrence_kmers(codes: np.ndarray, k: int = K) -> np.ndarray:
     return np.where(number == 0, grams, _mix(grams + number))
 
 
-def order_minhash(codes: np.ndarray, sketches: int = SKETCHES, minima: int = MINIMA) -> np.ndarray:
+def order_minhash(codes: np.ndarray, sketches: int = SKETCHES, minima: int = MINIMA, k: int = K) -> np.ndarray:
     """For each hash function, the ``minima`` least k-mers in the order they have in the text, as one number."""
-    kmers = occurrence_kmers(codes)
-    seeds, out = _seeds[:sketches], []
+    kmers = occurrence_kmers(codes, k)
+    high = (kmers >> np.uint64(32)).astype(np.uint32)
+    out = []
     step = max(1, 2_000_000 // len(kmers))
     for at in range(0, sketches, step):
-        hashed = kmers[None, :] * seeds[at : at + step, None]
+        hashed = high[None, :] * _seeds[at : min(at + step, sketches), None]
         rows = np.arange(len(hashed))
         places = []
         for _ in range(min(minima, len(kmers))):
             places.append(least := hashed.argmin(1))
-            hashed[rows, least] = np.uint64(2**64 - 1)
+            hashed[rows, least] = np.uint32(2**32 - 1)
         sketch = np.zeros(len(hashed), dtype=np.uint64)
         for column in np.sort(np.stack(places), axis=0):
             sketch = _mix(sketch + kmers[column])
@@ -102,6 +103,12 @@ def order_minhash(codes: np.ndarray, sketches: int = SKETCHES, minima: int = MIN
     return np.concatenate(out).view(np.int64)
 
 
+def sketches_of(codes: np.ndarray) -> np.ndarray:
+    """The sketches of a text by slot; a short one has further slots."""
+    more = [order_minhash(codes, n, k=k) for words, k, n in SHORT if len(codes) < words]
+    return np.concatenate([order_minhash(codes), *more])
+
+
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     """Word edits from a to b, if no more than ``most``.
 
@@ -163,169 +170,112 @@ def fingerprint(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
-def _candidates(members: DataFrame, ends: int) -> DataFrame:
-    """(key, a, b): every text of a bucket (key, uid) with ``ends`` texts of the bucket, the first in an order
-    that is the same in all buckets. A bucket of n texts gives at most ``ends`` times n pairs; its ends are found
-    before the shuffle, and are written, so that the join on a frequent key can be split."""
-    order = Window.partitionBy("key").orderBy(F.xxhash64("uid"), "uid")
-    first = members.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= ends)
-    found = saved(first.groupBy("key").agg(F.collect_list("uid").alias("ends")).filter(F.size("ends") > 1), "dedup-ends")
-    return members.join(found, "key").select("key", F.col("uid").alias("b"), F.explode("ends").alias("a")).filter("a <> b")
+def _codes_of(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, dtype=np.uint32)
 
 
-def word_weights(texts: DataFrame) -> np.ndarray:
-    """How often the words of a bounded sample of texts (text) fall in each of WEIGHTS slots."""
-    sample = texts.select("text").orderBy(F.xxhash64("text"), "text").limit(SAMPLE_TEXTS).collect()
-    out = np.ones(WEIGHTS, dtype=np.float64)
-    for row in sample:
-        out += np.bincount((word_codes(row.text) % np.uint64(WEIGHTS)).astype(np.int64), minlength=WEIGHTS)
-    return out
+def links_across(cell: pd.DataFrame, least: float = SIMILARITY) -> list[tuple[int, int, float]]:
+    """(a, b, similarity): links between texts of a bucket, enough to connect those of the cell that are alike and have this
+    bucket's slot as the first one that they share.
+
+    ``cell`` has uid, root, block, slot, words, codes, sketch. Texts of one root are connected already. If the cell has two
+    blocks, only pairs across them are looked at. Word counts in BINS bins rule out a pair if they differ by more than the
+    edits allowed; what is left is aligned, unless links of this cell have connected it by then.
+    """
+    cell = cell.sort_values("words", kind="stable")
+    n, slot = len(cell), int(cell["slot"].iloc[0])
+    uid, root, block, words = (cell[c].to_numpy() for c in ("uid", "root", "block", "words"))
+    across = cell["i"].iloc[0] != cell["j"].iloc[0]
+    codes = [_codes_of(x) for x in cell["codes"]]
+    fine = np.stack([np.bincount(c % BINS, minlength=BINS) for c in codes]).astype(np.int32)
+    coarse = fine.reshape(n, 16, -1).sum(2, dtype=np.int32)
+    sketch = np.zeros((n, SLOTS), dtype=np.int64)
+    size = np.array([len(x) for x in cell["sketch"]])
+    for i, x in enumerate(cell["sketch"]):
+        sketch[i, : size[i]] = x
+    found, parent = [], {}
+
+    def head(x: int) -> int:
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    for far in range(1, n):
+        p = np.arange(n - far)
+        p = p[words[p + far] - words[p] <= np.floor(words[p + far] * (1 - least) + 1e-9)]
+        if not len(p):  # texts are in the order of their words
+            break
+        p = p[(root[p] != root[p + far]) & ~(across & (block[p] == block[p + far]))]
+        for at in range(0, len(p), 10_000):
+            x = p[at : at + 10_000]
+            y = x + far
+            for bags in (coarse, fine):
+                allowed = np.floor(words[y] * (1 - least) + 1e-9)
+                more = np.maximum(bags[y] - bags[x], 0).sum(1)  # the longer text has words[y] - words[x] more at least
+                fits = more <= allowed
+                x, y = x[fits], y[fits]
+            # A slot that one of the two lacks is no slot that they share.
+            both = (sketch[x] == sketch[y]) & (np.arange(sketch.shape[1]) < np.minimum(size[x], size[y])[:, None])
+            first = both.argmax(1) == slot
+            for u, v in zip(x[first].tolist(), y[first].tolist(), strict=True):
+                ru, rv = head(int(root[u])), head(int(root[v]))
+                if ru != rv and (alike := similarity(codes[u], codes[v], least)) is not None:
+                    parent[max(ru, rv)] = min(ru, rv)
+                    found.append((int(uid[u]), int(uid[v]), alike))
+    return found
 
 
-def rare_keys(codes: np.ndarray, weights: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
-    """The text's rarest pairs of neighbouring words, so many that two texts that are ``least`` alike share one.
+def near_links(slots: DataFrame, held_of: Callable[[DataFrame], DataFrame], least: float = SIMILARITY) -> DataFrame:
+    """(a, b, similarity): verified links between distinct texts, enough to connect all that share a sketch and are alike.
 
-    An edit takes at most k of a text's k-mers, an insertion k - 1. Of the shorter of two texts, d edits apart
-    and with a difference of x words, at most k * d - x k-mers are missing in the other, and of the longer at
-    most k * d; with one more, first in an order that all texts have in common, they meet. That holds in any
-    order; the weights only keep the buckets small. Pairs of words need a similarity of 0.75, below it words are taken.
+    ``slots`` has (slot, key, uid), a row a text and sketch; ``held_of`` takes uids to (uid, words, codes, sketch).
+
+    First each text is compared with the least and the greatest uid of each of its buckets, and what is alike is one
+    component. Then, in every bucket that still holds several components, all pairs of texts of different components are
+    compared where they meet, in cells of two blocks of the bucket at most; a pair that shares several buckets is looked at in
+    the first of them only. So each pair that shares a sketch is in one component or has been ruled out, and no partner is left
+    out, however large a bucket. Only links leave a cell. A bucket's cells grow with the square of the texts in it that are
+    *not* alike, divided by BLOCK squared.
     """
-    k, n = 2 if least >= 0.75 else 1, len(codes)
-    kmers = occurrence_kmers(codes, k)
-    edits = int((1 - least) * n + 1e-9)
-    missing = k * edits
-    for x in range(1, n + 1):  # a longer partner may allow one edit more
-        more = int((1 - least) * (n + x) + 1e-9)
-        if more > edits:
-            missing = max(missing, k * more - x)
-            break
-    if missing + 1 >= len(kmers):
-        return kmers.view(np.int64)
-    each = weights[(codes % np.uint64(WEIGHTS)).astype(np.int64)]
-    weight = each if k == 1 else each[:-1] * each[1:]
-    return kmers[np.lexsort((kmers, weight))[: missing + 1]].view(np.int64)
-
-
-def near_in_cells(cells: DataFrame, least: float) -> DataFrame:
-    """(a, b): the pairs of texts of one cell (key, i, j, block, uid, root, words, bag) that are in different components
-    and that word counts allow to be alike. Cells are dealt evenly and compared where they land, so only these pairs
-    are moved. A cell of two blocks gives the pairs across them, one of a block all its pairs."""
-
-    def near(rows: pd.DataFrame) -> pd.DataFrame:
-        cell = rows[["key", "i", "j"]].to_numpy()
-        start = np.ones(len(rows), dtype=bool)
-        start[1:] = (cell[1:] != cell[:-1]).any(axis=1)
-        group = np.cumsum(start)
-        uid, root, block, words = (rows[c].to_numpy() for c in ("uid", "root", "block", "words"))
-        across = (rows["i"] != rows["j"]).to_numpy()
-        bags = np.frombuffer(b"".join(rows["bag"]), dtype=np.uint8).reshape(len(rows), FINE).astype(np.int16)
-        found, left, far = [], np.arange(len(rows)), 0
-        while len(left):
-            far += 1
-            left = left[left + far < len(rows)]
-            left = left[group[left] == group[left + far]]
-            x = left[(root[left] != root[left + far]) & ~(across[left] & (block[left] == block[left + far]))]
-            for at in range(0, len(x), 50_000):
-                p = x[at : at + 50_000]
-                q = p + far
-                allowed = np.floor(np.maximum(words[p], words[q]) * (1 - least) + 1e-9)
-                fits = np.abs(words[p] - words[q]) <= allowed
-                p, q, allowed = p[fits], q[fits], allowed[fits]
-                d = bags[p] - bags[q]
-                more = np.where(d > 0, d, 0).sum(1, dtype=np.int64)
-                fits = np.maximum(more, more - d.sum(1, dtype=np.int64)) <= allowed
-                found.append(np.stack([np.minimum(uid[p[fits]], uid[q[fits]]), np.maximum(uid[p[fits]], uid[q[fits]])], 1))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+    ends = slots.groupBy("key").agg(F.count("*").alias("n"), F.min("uid").alias("lo"), F.max("uid").alias("hi")).filter("n > 1").drop("n")
+    met = saved(slots.join(ends, "key"), "dedup-met")
+    held = saved(held_of(met.select("uid").distinct()), "dedup-held")
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch["similarity"] = pd.array([similarity(_codes_of(x), _codes_of(y), least) for x, y in zip(batch["x"], batch["y"], strict=True)], dtype="Float64")
+            yield batch.loc[batch["similarity"].notna(), ["a", "b", "similarity"]]
+
+    to = lambda end: met.filter(F.col("uid") != F.col(end)).select(F.least("uid", end).alias("a"), F.greatest("uid", end).alias("b"))
+    pairs = saved(to("lo").union(to("hi")).distinct(), "dedup-pairs")
+    with_b = pairs.join(held.select(F.col("uid").alias("b"), F.col("codes").alias("y")), "b")
+    both = with_b.join(held.select(F.col("uid").alias("a"), F.col("codes").alias("x")), "a").select("a", "b", "x", "y")
+    near = saved(both.mapInPandas(verify, "a long, b long, similarity double"), "dedup-near")
+    discard(pairs)
+
+    roots = components(near, "a", "b", "dedup-rooted")
+    placed = saved(met.select("slot", "key", "uid").join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid")), "dedup-placed")
+    discard(met, roots)
+    mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    cells = placed.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("uid"), "blocks")).select("key", "slot", "uid", "root", "block", other)
+    cells = cells.select("key", "slot", "uid", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(held, "uid")
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None  # a cell that the next batch may go on with
         for batch in batches:
             rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            last = (rest[["key", "i", "j"]] == rest[["key", "i", "j"]].iloc[-1]).all(axis=1).to_numpy()
-            first = int(last.argmax())
-            if first:
-                yield near(rest.iloc[:first])
-                rest = rest.iloc[first:].reset_index(drop=True)
-        if rest is not None and len(rest):
-            yield near(rest)
-
-    dealt = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "uid")
-    return dealt.mapInPandas(whole, "a long, b long").distinct()
-
-
-def _bag_bound(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) with near: whether word counts allow the similarity. Texts whose counts, summed in BAG bins,
-    differ by more than the edits allowed either way are further apart than that."""
-    both = pairs.join(bags.select(F.col("uid").alias("a"), F.col("bag").alias("x")), "a").join(bags.select(F.col("uid").alias("b"), F.col("bag").alias("y")), "b")
-    total = lambda c: F.aggregate(c, F.lit(0), lambda s, v: s + v)
-    more = total(F.zip_with("x", "y", lambda p, q: F.greatest(p - q, F.lit(0))))
-    less = total(F.zip_with("x", "y", lambda p, q: F.greatest(q - p, F.lit(0))))
-    allowed = F.floor(F.greatest(total("x"), total("y")) * (1 - least) + 1e-9)
-    return both.select("a", "b", (F.greatest(more, less) <= allowed).alias("near"))
-
-
-def near_links(texts: DataFrame, keys: DataFrame, text_of: Callable[[DataFrame], DataFrame], least: float = SIMILARITY) -> DataFrame:
-    """(a, b, similarity): verified links between distinct texts (uid, sketch, bag, fine) with ``keys`` (key, uid),
-    enough to connect all texts that are alike. ``text_of``: from uids to (uid, text).
-
-    First the texts that share a sketch are compared with two of them, and what is alike is one component. Then
-    every pair of texts that shares a rare key and is not in one component is a candidate, in blocks of BLOCK texts.
-    Candidates that word counts don't rule out are aligned, a few of each text first; those that have come
-    to lie in one component are dropped after each round, and the rounds end when no candidate is left.
-    """
+            *done, (_, rest) = rest.groupby(["key", "i", "j"], sort=False)
+            for _, cell in done:
+                yield pd.DataFrame(links_across(cell, least), columns=["a", "b", "similarity"])
+        if rest is not None:
+            yield pd.DataFrame(links_across(rest, least), columns=["a", "b", "similarity"])
 
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: dict[int, np.ndarray] = {}
-        for batch in batches:
-            out = []
-            for a, left, right in zip(batch["a"], batch["text_a"], batch["text_b"], strict=True):
-                if a not in kept:  # neighbouring rows share a
-                    kept.clear()
-                    kept[a] = word_codes(left)
-                out.append(similarity(kept[a], word_codes(right), least))
-            batch["similarity"] = pd.array(out, dtype="Float64")
-            yield batch[["a", "b", "similarity"]]
-
-    def judge(pairs: DataFrame, held: DataFrame) -> DataFrame:
-        # Only texts that are in a pair are moved; pairs are split where one text has many.
-        with_b = pairs.join(held.select(F.col("uid").alias("b"), F.col("text").alias("text_b")), "b")
-        with_both = with_b.join(held.select(F.col("uid").alias("a"), F.col("text").alias("text_a")), "a")
-        return saved(with_both.select("a", "b", "text_a", "text_b").mapInPandas(verify, "a long, b long, similarity double"), "dedup-judged")
-
-    def fetch(pairs: DataFrame) -> DataFrame:
-        return saved(text_of(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()), "dedup-held")
-
-    slots = texts.select("uid", F.posexplode("sketch").alias("j", "h")).select(F.xxhash64("j", "h").alias("key"), "uid")
-    met = _candidates(slots, 2).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = saved(_bag_bound(met, texts.select("uid", "bag"), least).filter("near").select("a", "b"), "dedup-pairs")
-    judged = judge(pairs, fetch(pairs))
-    good = judged.filter("similarity is not null")
-
-    def rooted() -> DataFrame:
-        roots = components(good, "a", "b", "dedup-rooted")
-        return texts.select("uid").join(roots.withColumnRenamed("node", "uid"), "uid", "left").select("uid", F.coalesce("root", "uid").alias("root"))
-
-    own = Window.partitionBy("key")
-    total = F.aggregate("bag", F.lit(0), lambda s, v: s + v)
-    about = texts.select("uid", total.alias("words"), F.col("fine").alias("bag")).join(rooted(), "uid")
-    mixed = keys.join(about.select("uid", "root"), "uid").withColumn("n", F.count("*").over(own)).withColumn("lo", F.min("root").over(own)).withColumn("hi", F.max("root").over(own))
-    mixed = mixed.filter("lo <> hi").withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("uid"), "blocks"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    cells = mixed.select("key", "uid", "block", other.alias("other")).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "uid")
-    pairs = saved(near_in_cells(cells.join(about, "uid"), least).join(judged.select("a", "b"), ["a", "b"], "left_anti"), "dedup-pairs")
-    held, ends = None, 4
-    while not pairs.isEmpty():
-        held = fetch(pairs) if held is None else held
-        place = F.row_number().over(Window.partitionBy("b").orderBy(F.xxhash64("a"), "a"))
-        pairs = saved(pairs.withColumn("now", place <= ends), "dedup-pairs")
-        judged = judge(pairs.filter("now").select("a", "b"), held)
-        good = saved(good.union(judged.filter("similarity is not null")), "dedup-good")
-        roots = rooted()
-        ra, rb = roots.select(F.col("uid").alias("a"), F.col("root").alias("ra")), roots.select(F.col("uid").alias("b"), F.col("root").alias("rb"))
-        pairs = saved(pairs.filter("not now").join(ra, "a").join(rb, "b").filter("ra <> rb").select("a", "b"), "dedup-pairs")
-        ends *= 4
-    return good
+    dealt = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    far = dealt.mapInPandas(whole, "a long, b long, similarity double")
+    links = saved(near.union(far.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")), "dedup-links")
+    discard(near, placed, held)
+    return links
 
 
 def classes(docs: DataFrame, *, id_col="doc_id", text_col="text", least: float = SIMILARITY) -> DataFrame:
@@ -340,43 +290,43 @@ def classes(docs: DataFrame, *, id_col="doc_id", text_col="text", least: float =
     kind = docs.schema[id_col].dataType.simpleString()
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch["sketch"] = [sketches_of(word_codes(t)) for t in batch["text"]]
+            yield batch[["id", "fp", "sketch"]]
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             codes = [word_codes(t) for t in batch["text"]]
-            batch["sketch"] = [order_minhash(c) for c in codes]
-            batch["bag"] = [np.bincount((c % np.uint64(BAG)).astype(np.int64), minlength=BAG).astype(np.int32) for c in codes]
-            batch["rare"] = [rare_keys(c, weights, least) for c in codes]
-            batch["fine"] = [np.minimum(np.bincount((c % np.uint64(FINE)).astype(np.int64), minlength=FINE), 255).astype(np.uint8).tobytes() for c in codes]
-            yield batch[["id", "fp", "sketch", "bag", "fine", "rare"]]
+            batch["words"] = [len(c) for c in codes]
+            batch["codes"] = [(c >> np.uint64(32)).astype(np.uint32).tobytes() for c in codes]
+            yield batch[["uid", "words", "codes", "sketch"]]
 
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("fp", fingerprint(F.col("text")))
-    weights = word_weights(picked)
-    rows = picked.mapInPandas(sketch, f"id {kind}, fp binary, sketch array<bigint>, bag array<int>, fine binary, rare array<bigint>")
-    rows = saved(rows.withColumn("row", F.monotonically_increasing_id()), "dedup-rows")
-    texts = rows.groupBy("fp").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch"), F.first("bag").alias("bag"), F.first("fine").alias("fine"))
+    rows = saved(picked.mapInPandas(sketch, f"id {kind}, fp binary, sketch array<bigint>"), "dedup-rows")
+    texts = rows.groupBy("fp").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch"))
     texts = saved(texts.withColumn("uid", F.monotonically_increasing_id()), "dedup-texts")
 
-    def text_of(uids: DataFrame) -> DataFrame:
-        """One row of each text: the one with the least id, and one of those if rows repeat."""
-        wanted = texts.join(uids, "uid").select(F.col("fp").alias("want fp"), F.col("id").alias("want id"), "uid")
+    def held_of(uids: DataFrame) -> DataFrame:
+        """One row of each text: one with its least id."""
+        wanted = texts.join(uids, "uid").select(F.col("fp").alias("want fp"), F.col("id").alias("want id"), "uid", "sketch")
         found = picked.join(wanted, (F.col("fp") == F.col("want fp")) & F.col("id").eqNullSafe(F.col("want id")))
-        return found.select("uid", "text").groupBy("uid").agg(F.first("text").alias("text"))
+        once = found.groupBy("uid").agg(F.first("text").alias("text"), F.first("sketch").alias("sketch"))
+        return once.mapInPandas(packed, "uid long, words long, codes binary, sketch array<bigint>")
 
-    # Keys of one row only meet nobody and go first; equal rows are one text after that.
-    met = rows.select("row", F.explode("rare").alias("key")).withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1").select("key", "row")
-    text_of_row = rows.select("row", "fp").join(texts.select("fp", "uid"), "fp").select("row", "uid")
-    keys = saved(met.join(text_of_row, "row").select("key", "uid").distinct(), "dedup-keys")
-    links = saved(near_links(texts.select("uid", "sketch", "bag", "fine"), keys, text_of, least), "dedup-links")
+    slots = texts.select("uid", F.posexplode("sketch").alias("slot", "h")).select("slot", F.xxhash64("slot", "h").alias("key"), "uid")
+    links = near_links(slots, held_of, least)
     roots = components(links, "a", "b", "dedup-components")
     degree = links.select(F.explode(F.array("a", "b")).alias("uid")).groupBy("uid").agg(F.count("*").alias("n_links"))
     labelled = (
         texts.select("uid", "fp", "id")
         .join(roots.withColumnRenamed("node", "uid"), "uid", "left")
         .join(degree, "uid", "left")
-        .withColumn("root", F.coalesce("root", "uid"))
-        .withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
+        .select("fp", "id", F.coalesce("root", "uid").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     )
     labelled = saved(labelled, "dedup-labelled")
-    heads = labelled.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "fp")).alias("head"))
+    discard(texts, links, roots)
+    # Heads are written, so that the join on a large class can be split.
+    heads = saved(labelled.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "fp")).alias("head")), "dedup-heads")
     classed = labelled.join(heads, "root").select("fp", "n_links", F.col("head.id").alias("class_id"), (F.col("head.fp") == F.col("fp")).alias("chosen"))
     return rows.select("id", "fp").join(classed, "fp").select(
         F.col("id").alias(id_col), "fp", "class_id", "n_links", (F.col("chosen") & F.col("id").eqNullSafe(F.col("class_id"))).alias("first")
@@ -388,9 +338,10 @@ def one_of_each(docs: DataFrame, *, id_col="doc_id", text_col="text", least: flo
     first = classes(docs, id_col=id_col, text_col=text_col, least=least).filter("first").select(F.col("fp").alias("class fp"), F.col(id_col).alias("class id")).distinct()
     own = docs.withColumn("own fp", fingerprint(F.col(text_col)))
     kept = own.join(first, (F.col("own fp") == F.col("class fp")) & F.col(id_col).eqNullSafe(F.col("class id")), "left_semi")
-    # Rows that repeat an id and a text are few here, and one of them stays.
-    again = Window.partitionBy("own fp", id_col).orderBy(*[F.col(f"`{c}`").cast("string") for c in docs.columns if c not in (id_col, text_col)])
-    return kept.withColumn("own copy", F.row_number().over(again)).filter("`own copy` = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # Of rows that repeat an id and a text, the least by their other columns as text stays.
+    others = F.to_json(F.array(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in docs.columns if c not in (id_col, text_col)], F.lit("")))
+    once = kept.groupBy("own fp", F.col(f"`{id_col}`").alias("own id")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), others).alias("own row"))
+    return once.select("own row.*")
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -330,33 +330,71 @@ def test_near_dedup_one_large_group(spark):
     assert rows == brute_classes(texts)
 
 
+def scattered(rng, n, d):
+    """Codes of n words, and the same with d of them replaced."""
+    a = rng.integers(0, 2**63, n).astype(np.uint64)
+    b = a.copy()
+    b[rng.choice(n, d, replace=False)] = rng.integers(0, 2**63, d).astype(np.uint64)
+    return a, b
+
+
+def test_sketch_recall():
+    """Share of pairs with a common sketch, at and above the threshold, short and long."""
+    rng = np.random.default_rng(34)
+
+    def recall(n, d, pairs=200):
+        met = 0
+        for _ in range(pairs):
+            x, y = (dedup.sketches_of(codes) for codes in scattered(rng, n, d))
+            size = min(len(x), len(y))
+            met += bool((x[:size] == y[:size]).any())
+        return met / pairs
+
+    for n in (5, 8, 12, 20, 30, 60):
+        assert recall(n, n // 5) >= 0.95, n
+    for n in (100, 200, 500):
+        assert recall(n, n // 5) >= 0.8 and recall(n, int(0.15 * n)) >= 0.96 and recall(n, n // 10) >= 0.99, n
+
+
 def test_near_dedup_pairs_at_the_threshold(spark):
-    """Pairs of 5 to 30 and of 200 words, with as many scattered edits as the similarity allows."""
+    """Pairs of 5 to 30 words with as many edits as the similarity allows, every fifth word; of 200 words with 15 % edits."""
     rng, texts = np.random.default_rng(32), []
-    for n in [*range(5, 31), *[50, 200] * 10]:
+    for n in [*range(5, 31), *[200] * 20]:
         words = [f"v{len(texts)}n{i}" for i in range(n)]
         copy = list(words)
-        for at in (np.arange(n // 5) * 5 + 2) if n < 50 else rng.choice(n, n // 5, replace=False):
+        for at in (np.arange(n // 5) * 5 + 2) if n < 50 else rng.choice(n, 30, replace=False):
             copy[at] = f"z{len(texts)}n{at}"
         texts += [" ".join(words), " ".join(copy)]
     rows = {r.doc_id: r.class_id for r in dedup.classes(docs_of(spark, texts)).collect()}
-    assert rows == {i: i // 2 * 2 for i in range(len(texts))}
-
-
-def test_rare_keys_meet():
-    rng = np.random.default_rng(33)
-    weights = rng.integers(1, 9, dedup.WEIGHTS).astype(float)
-    for _ in range(3000):
-        n = int(rng.integers(0, 40))
-        a = rng.integers(0, 50, n).astype(np.uint64)
-        b = a.tolist()
-        for _ in range(n // 5 + 1):
-            kind, at = rng.integers(0, 3), int(rng.integers(0, len(b) + 1))
-            b[at : at + (kind > 0)] = [int(rng.integers(0, 50))] if kind < 2 else []
-        b = np.array(b, dtype=np.uint64)
-        for least in (0.8, 0.6):
-            if dedup.similarity(a, b, least) is not None:
-                assert set(dedup.rare_keys(a, weights, least)) & set(dedup.rare_keys(b, weights, least))
+    linked = sum(rows[i] == i - 1 for i in range(1, len(texts), 2))
+    assert all(rows[i] in (i, i // 2 * 2) for i in rows) and linked >= 0.95 * len(texts) / 2
+
+
+def test_near_dedup_bucket_of_many_cells(spark, monkeypatch):
+    """A bucket's blocks are all compared with each other: texts that share half their words, in pairs of copies."""
+    monkeypatch.setattr(dedup, "BLOCK", 8)
+    rng = np.random.default_rng(35)
+    passage, texts = " ".join(f"p{i}" for i in range(120)), []
+    for n in range(60):
+        words = [f"w{n}x{i}" for i in range(60)]
+        for copy in range(2):
+            own = list(words)
+            for at in rng.choice(60, 10 * copy, replace=False):
+                own[at] = f"e{n}x{at}"
+            texts.append(passage + " " + " ".join(own))
+    rows = {r.doc_id: r.class_id for r in dedup.classes(docs_of(spark, texts)).collect()}
+    assert rows == brute_classes(texts)
+
+
+def test_near_dedup_recall_on_a_table(spark):
+    """Classes of the whole small table against all pairs: no class but brute force's, and few links lost."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()
+    brute = brute_classes([r.text for r in docs])
+    rows = {r.doc_id: r.class_id for r in dedup.classes(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).collect()}
+    want = {r.doc_id: docs[brute[i]].doc_id for i, r in enumerate(docs)}
+    alike = [k for k, v in want.items() if v != k]
+    assert alike and sum(rows[k] == want[k] for k in alike) >= 0.9 * len(alike)
+    assert all(rows[k] == k or want[rows[k]] == want[k] for k in rows)
 
 
 def test_media_meets_all_of_a_bucket(spark):
