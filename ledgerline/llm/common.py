@@ -51,36 +51,29 @@ def discard(*frames: DataFrame) -> None:
 def components(edges: DataFrame, a: str, b: str, name: str = "components") -> DataFrame:
     """(node, root) for every node of the undirected edges a-b; root is the least node of its component.
 
-    Each round gives a node the least label among its neighbours, then the label of that label.
-    Only labels that are still changing cost a round; rounds grow with the logarithm of a chain's
-    length. Every join is on a node's own key and can be split where one node has many edges.
+    Each round merges a node into the neighbour that comes first in an order drawn for the round, and what is left of the
+    edges, between merged nodes and without repeats, goes into the next. A part of the nodes goes in every round, so rounds
+    grow with the logarithm of a chain's length and edges shrink. Every join is on a node's own key between written
+    tables and can be split where one node has many edges. An edge with a null end counts for nothing.
     """
-    both = saved(
-        edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-        .union(edges.select(F.col(b), F.col(a)))
-        .filter(F.col("u") != F.col("v")),
-        f"{name}-edges",
-    )
-    labels = saved(
-        both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root")),
-        f"{name}-labels",
-    )
-    while True:
-        near = (
-            both.join(labels.select(F.col("node").alias("v"), "root"), "v")
-            .groupBy("u")
-            .agg(F.min("root").alias("m"))
-            .select(F.col("u").alias("node"), "m")
-        )
-        hooked = labels.join(near, "node").select("node", "root", F.least("root", "m").alias("m"))
-        jump = labels.select(F.col("node").alias("m"), F.col("root").alias("far"))
-        step = saved(
-            hooked.join(jump, "m").select("node", F.least("m", "far").alias("root"), F.col("root").alias("old")),
-            f"{name}-labels",
-        )
-        done = step.filter("root <> old").isEmpty()
-        discard(labels)
-        labels = step.select("node", "root")
-        if done:
-            discard(both)
-            return labels
+    left = saved(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).filter((F.col(a) != F.col(b)) & F.col("u").isNotNull()).distinct(), f"{name}-edges")
+    merged: list[DataFrame] = []
+    while not left.isEmpty() or not merged:
+        place = lambda c: F.xxhash64(c, F.lit(len(merged)))
+        both = left.union(left.select("v", "u"))
+        first = both.groupBy("u").agg(F.min_by("v", place("v")).alias("m"))
+        merged.append(saved(first.select(F.col("u").alias("node"), F.when(place("m") < place("u"), F.col("m")).otherwise(F.col("u")).alias("to")), f"{name}-merged"))
+        u, v = (merged[-1].select(F.col("node").alias(c), F.col("to").alias(f"{c}2")) for c in ("u", "v"))
+        met = left.join(u, "u").join(v, "v").filter("u2 <> v2")
+        fewer = saved(met.select(F.least("u2", "v2").alias("u"), F.greatest("u2", "v2").alias("v")).distinct(), f"{name}-edges")
+        discard(left)
+        left = fewer
+    roots = merged[-1]
+    for step in reversed(merged[:-1]):
+        further = roots.select(F.col("node").alias("to"), F.col("to").alias("far"))
+        roots = step.join(further, "to", "left").select("node", F.coalesce("far", "to").alias("to"))
+    roots = saved(roots, f"{name}-roots")
+    heads = saved(roots.groupBy("to").agg(F.min("node").alias("root")), f"{name}-heads")
+    out = saved(roots.join(heads, "to").select("node", "root"), name)
+    discard(left, roots, heads, *merged)
+    return out

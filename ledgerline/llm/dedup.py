@@ -225,8 +225,9 @@ def links_across(cell: pd.DataFrame, least: float = SIMILARITY) -> list[tuple[in
     return found
 
 
-def near_links(slots: DataFrame, held_of: Callable[[DataFrame], DataFrame], least: float = SIMILARITY) -> DataFrame:
-    """(a, b, similarity): verified links between distinct texts, enough to connect all that share a sketch and are alike.
+def near_links(slots: DataFrame, held_of: Callable[[DataFrame], DataFrame], least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """(a, b, similarity): verified links between distinct texts, enough to connect all that share a sketch and are alike;
+    and (node, root): the component of each text that has a link.
 
     ``slots`` has (slot, key, uid), a row a text and sketch; ``held_of`` takes uids to (uid, words, codes, sketch).
 
@@ -255,7 +256,7 @@ def near_links(slots: DataFrame, held_of: Callable[[DataFrame], DataFrame], leas
 
     roots = components(near, "a", "b", "dedup-rooted")
     placed = saved(met.select("slot", "key", "uid").join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid")), "dedup-placed")
-    discard(met, roots)
+    discard(met)
     mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
     cells = placed.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("uid"), "blocks")).select("key", "slot", "uid", "root", "block", other)
@@ -273,9 +274,11 @@ def near_links(slots: DataFrame, held_of: Callable[[DataFrame], DataFrame], leas
 
     dealt = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     far = dealt.mapInPandas(whole, "a long, b long, similarity double")
-    links = saved(near.union(far.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")), "dedup-links")
-    discard(near, placed, held)
-    return links
+    far = saved(far.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity"), "dedup-far")
+    discard(placed, held)
+    joined = components(roots.union(far.select("a", "b")), "node", "root", "dedup-components")
+    discard(roots)
+    return near.union(far), joined
 
 
 def classes(docs: DataFrame, *, id_col="doc_id", text_col="text", least: float = SIMILARITY) -> DataFrame:
@@ -314,8 +317,7 @@ def classes(docs: DataFrame, *, id_col="doc_id", text_col="text", least: float =
         return once.mapInPandas(packed, "uid long, words long, codes binary, sketch array<bigint>")
 
     slots = texts.select("uid", F.posexplode("sketch").alias("slot", "h")).select("slot", F.xxhash64("slot", "h").alias("key"), "uid")
-    links = near_links(slots, held_of, least)
-    roots = components(links, "a", "b", "dedup-components")
+    links, roots = near_links(slots, held_of, least)
     degree = links.select(F.explode(F.array("a", "b")).alias("uid")).groupBy("uid").agg(F.count("*").alias("n_links"))
     labelled = (
         texts.select("uid", "fp", "id")
