@@ -1,15 +1,54 @@
-"""Aggregates that Spark doesn't have under these rules."""
+"""Percentiles by nearest rank and medians, of groups of any size."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nearest_rank(values: Column, q: int) -> Column:
-    """The q-th percentile by nearest rank: of n sorted values the one at round_half_even(q / 100 * n + 0.5), kept
-    within 1 and n. Null values are left out; none: null."""
-    kept = F.sort_array(F.collect_list(values))
-    n = F.size(kept)
-    place = F.greatest(F.lit(1), F.least(n, F.bround(F.lit(q / 100.0) * n + 0.5, 0).cast("int")))
-    return F.when(n > 0, F.element_at(kept, F.greatest(place, F.lit(1))))
+#: Ranges that values or times are dealt by.
+RANGES = 256
+
+
+def range_of(df: DataFrame, by: Column) -> Column:
+    """The range, from 0, that a row's ``by``, a number, falls in; RANGES ranges of about as many rows. Their limits are drawn once, from all rows, and are
+    part of the plan, so every use of it deals alike. Nulls come first."""
+    limits = df.select(F.percentile_approx(by.cast("double"), [i / RANGES for i in range(1, RANGES)], 10_000).alias("q")).first().q
+    limits = sorted({float(x) for x in limits or []})
+    if not limits:
+        return F.lit(0)
+    return F.coalesce(F.size(F.filter(F.array(*map(F.lit, limits)), lambda x: x < by.cast("double"))), F.lit(0))
+
+
+def ranked_values(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+    """(keys, n, one column a name of ``ranks``): for each group the values that hold given places among its values in order.
+
+    ``ranks`` gives places from 1, as columns over ``n``, the number of the group's values; nulls are no values. Equal values are counted
+    before anything moves. Values go by ranges, so a group may be of any size: the ranges' sums say which of them holds a place, and within it
+    running counts do. Groups without values are left out; a null key is a group.
+    """
+    held = df.filter(F.col(value).isNotNull())
+    counted = held.groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c")).withColumn("part", range_of(held.withColumn("v", F.col(value)), F.col("v")))
+    before = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = counted.groupBy(*keys, "part").agg(F.sum("c").alias("s"))
+    starts = sums.withColumn("before", F.coalesce(F.sum("s").over(before), F.lit(0))).withColumn("n", F.sum("s").over(Window.partitionBy(*keys)))
+    starts = starts.select(*[F.col(k).alias(f"start {k}") for k in keys], F.col("part").alias("start part"), "before", "n")
+    on = F.col("part") == F.col("start part")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"start {k}"))
+    running = Window.partitionBy(*keys, "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counted.join(starts, on).withColumn("last", F.col("before") + F.sum("c").over(running))
+    holds = lambda r: (F.col("last") >= r) & (F.col("last") - F.col("c") < r)
+    return placed.groupBy(*keys).agg(F.max("n").alias("n"), *[F.max(F.when(holds(r), F.col("v"))).alias(name) for name, r in ranks.items()])
+
+
+def nearest_rank(q: float, n: str = "n") -> Column:
+    """The place of the ``q``-th percentile among n values: q/100 * n + 0.5 to the nearest whole number, halves to the even one."""
+    place = F.bround(F.lit(q / 100.0) * F.col(n) + 0.5, 0).cast("long")
+    return F.greatest(F.lit(1), F.least(F.col(n), place))
+
+
+def medians(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, n, median): the mean of the two middle values of each group."""
+    low, high = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+    return ranked_values(df, keys, value, {"low": low, "high": high}).select(*keys, "n", ((F.col("low") + F.col("high")) / 2).alias("median"))

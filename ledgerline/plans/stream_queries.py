@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ledgerline.streaming.run import finished, stream, timed_events
+from ledgerline.streaming.run import finished, rounds, stream, timed_events
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -41,26 +41,52 @@ def stream_sessions(spark, d):
     return finished(found.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("first_at"), "n"))
 
 
-#: Events after which a user's batch is complete.
+#: Pages of a batch.
 COMPLETE = 5
 
 
-@query(f"SELECT user_id, {COMPLETE}::BIGINT AS pages FROM events WHERE user_id IS NOT NULL GROUP BY 1 HAVING count(*) >= {COMPLETE}")
+@query(f"SELECT user_id, {COMPLETE}::BIGINT AS pages FROM events WHERE user_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT event_id % 8) >= {COMPLETE}")
 def stream_complete_once(spark, d):
-    """Users of whom enough events have come, each told once whatever comes later or again."""
+    """Batches of which enough different pages have come, each told once. A page that comes again does not count; the state of a batch is at most
+    COMPLETE page numbers."""
 
     def count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before = state.get[0] if state.exists else 0
-        now = before + sum(len(batch) for batch in batches)
-        state.update((now,))
-        if before < COMPLETE <= now:
+        seen = set(state.get[0]) if state.exists else set()
+        if len(seen) >= COMPLETE:
+            return
+        for batch in batches:
+            seen.update(batch["page"].tolist())
+        state.update((sorted(seen)[:COMPLETE],))
+        if len(seen) >= COMPLETE:
             yield pd.DataFrame({"user_id": [key[0]], "pages": [COMPLETE]})
 
-    users = stream(spark, d, "events").select("user_id").filter("user_id is not null").groupBy("user_id")
-    return finished(users.applyInPandasWithState(count, "user_id long, pages long", "n long", "append", GroupStateTimeout.NoTimeout))
+    pages = stream(spark, d, "events").select("user_id", (F.col("event_id") % 8).alias("page")).filter("user_id is not null").groupBy("user_id")
+    return finished(pages.applyInPandasWithState(count, "user_id long, pages long", "seen array<long>", "append", GroupStateTimeout.NoTimeout))
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_first_notice(spark, d):
-    """A notice for each user and type, the first time it comes."""
-    return finished(stream(spark, d, "events").select("user_id", "event_type").dropDuplicates())
+    """A notice for each user and type, the first time it comes within forty days; the state of older ones goes."""
+    return finished(timed_events(spark, d, "40 days").dropDuplicatesWithinWatermark(["user_id", "event_type"]).select("user_id", "event_type"))
+
+
+@query("""SELECT user_id, min(event_id) AS first_event, count(*) AS n FROM events GROUP BY 1""")
+def stream_coalesced_wakeups(spark, d):
+    """Many messages of one batch give one wake-up a round: each round's counts are written, and their sums are what was asked for."""
+    parts = rounds(stream(spark, d, "events"), lambda batch: batch.groupBy("user_id").agg(F.min("event_id").alias("first_event"), F.count("*").alias("n")))
+    return parts.groupBy("user_id").agg(F.min("first_event").alias("first_event"), F.sum("n").alias("n"))
+
+
+@query("""SELECT event_id, user_id FROM events JOIN customer ON c_custkey = user_id WHERE event_id % 5 <= c_nationkey % 5""")
+def stream_current_runs(spark, d):
+    """Messages of a batch's current run; those of runs before it are late and go. The current runs are a table."""
+    runs = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("user_id"), (F.col("c_nationkey") % 5).alias("run"))
+    return finished(stream(spark, d, "events").join(runs, "user_id").filter("event_id % 5 <= run").select("event_id", "user_id"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'dead' WHEN event_id % 7 = 0 THEN 'again' ELSE 'done' END AS fate FROM events""")
+def stream_redelivery(spark, d):
+    """A first failure is delivered again, a second one goes to the dead letters: tries and failures of a message are its own columns."""
+    e = stream(spark, d, "events")
+    tries = F.when(F.col("event_id") % 11 == 0, 2).when(F.col("event_id") % 7 == 0, 1).otherwise(0)
+    return finished(e.select("event_id", F.when(tries >= 2, "dead").when(tries == 1, "again").otherwise("done").alias("fate")))
