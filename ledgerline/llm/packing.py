@@ -18,9 +18,12 @@ from .common import saved, table
 
 CAPACITY = 4096
 END = 1
-#: Pricing rounds lengths up to this many tokens; the packing itself uses exact lengths.
-UNIT = 16
-MAX_ROUNDS = 2000
+#: Size classes of the linear program, of about as many pieces each; with no more lengths than that, each length is a class.
+CLASSES = 64
+#: The program leaves out pieces of less than this part of a sequence, which fit into what others leave.
+SMALL = 32
+#: Proven distance from the program's optimum at which the search ends.
+GAP = 0.02
 
 
 # --- tokens ---------------------------------------------------------------------------------------
@@ -112,48 +115,88 @@ def token_pieces(docs: DataFrame, *, id_col="doc_id", text_col="text", capacity=
 # --- the plan: all that follows works on counts of lengths, whatever the number of documents -------
 
 
-def best_configuration(prices: np.ndarray, units: int) -> np.ndarray:
-    """Counts of each size class (1..units) that fit in ``units`` and are worth most: an unbounded
-    knapsack by dynamic programming."""
-    value, take = np.zeros(units + 1), np.zeros(units + 1, dtype=np.int64)
-    for c in range(1, units + 1):
-        offers = value[c - 1 :: -1][:c] + prices[1 : c + 1]
-        take[c] = k = int(offers.argmax()) + 1
-        value[c] = offers[k - 1]
-    counts, c = np.zeros(units + 1, dtype=np.int64), units
-    while c > 0:
-        counts[take[c]] += 1
-        c -= take[c]
+def size_classes(counts: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, demand): the greatest length of each class, ascending, and its pieces. Small pieces are left out."""
+    lengths = np.nonzero(counts)[0]
+    lengths = lengths[lengths >= max(1, capacity // SMALL)]
+    if len(lengths) > CLASSES:
+        upto = np.cumsum(counts[lengths])
+        cut = np.searchsorted(upto, np.linspace(0, upto[-1], CLASSES + 1)[1:])
+        sizes = lengths[np.unique(np.minimum(cut, len(lengths) - 1))]
+    else:
+        sizes = lengths
+    return sizes, np.bincount(np.searchsorted(sizes, lengths), weights=counts[lengths], minlength=len(sizes))
+
+
+def best_configuration(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """Counts of each class that fit in ``capacity`` and are worth most: an unbounded knapsack by dynamic programming."""
+    value, take = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    fitting = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
+    for room in range(1, capacity + 1):
+        value[room] = value[room - 1]
+        if n := fitting[room]:
+            offers = value[room - sizes[:n]] + prices[:n]
+            best = int(offers.argmax())
+            if offers[best] > value[room]:
+                value[room], take[room] = offers[best], best
+    counts, room = np.zeros(len(sizes), dtype=np.int64), capacity
+    while room > 0:
+        if take[room] < 0:
+            room -= 1
+        else:
+            counts[take[room]] += 1
+            room -= sizes[take[room]]
     return counts
 
 
-def fractional_configurations(demand: np.ndarray, epsilon: float = 0.3, rounds: int = MAX_ROUNDS) -> list[tuple[np.ndarray, float]]:
-    """(configuration, how many) that cover ``demand`` (a count for each size class) with few bins.
+def fractional_configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP) -> tuple[list[tuple[np.ndarray, float]], float]:
+    """([(configuration, how many)], bound): configurations that cover ``demand`` with at most 1 + ``gap`` times as many bins as any
+    fractional covering needs; bound is what it needs at least, as prices prove.
 
-    Multiplicative weights on the covering linear program: prices start at one over the demand; the
-    configuration worth most covers its scarcest class once, and the price of each class it has falls
-    with the share of its demand covered. At the end the multiples are scaled so that all is covered.
+    Multiplicative weights on the covering program, as a game of class prices against the configurations found so far: a class's price falls
+    with its cover, a configuration's weight rises with its worth, each step looking ahead by the last one's change. Dynamic programming finds the configuration worth
+    most at the prices, among all there are: it joins the game, and by duality the demand's worth over its own is a bound. Every class has a configuration
+    of its own from the start, so all is covered. Rounds go on until the gap is proven; where no new configuration turns up, they are made longer.
     """
-    units, open_ = len(demand) - 1, demand > 0
-    prices = np.where(open_, 1.0 / np.maximum(demand, 1), 0.0)
-    covered, used = np.zeros(units + 1), {}
-    for _ in range(rounds):
-        config = best_configuration(prices, units)
-        config[~open_] = 0
-        has = config > 0
-        if not has.any():
-            break
-        times = float((demand[has] / config[has]).min())
-        key = config.tobytes()
-        used[key] = used.get(key, 0.0) + times
-        covered += times * config
-        prices[has] *= np.exp(-epsilon * times * config[has] / demand[has])
-        prices /= prices.max()
-        if (covered[open_] / demand[open_]).min() >= 4 / epsilon:
-            break
-    least = (covered[open_] / demand[open_]).min() if open_.any() else 0
-    scale = 1.0 / least if least > 0 else float(demand.sum()) / max(sum(used.values()) * 4, 1)
-    return [(np.frombuffer(k, dtype=np.int64), n * scale) for k, n in used.items()]
+    m = len(sizes)
+    found = [np.where(np.arange(m) == i, capacity // sizes[i], 0) for i in range(m)]
+    seen = {c.tobytes() for c in found}
+    weights = demand / (capacity // sizes)
+    weights, prices = weights / weights.sum(), np.full(m, 1.0 / m)
+    best, bound, steps = (np.inf, weights), 0.0, 200
+    while True:
+        cover = np.stack(found, 1) / demand[:, None]
+        log_p, log_w = np.log(np.maximum(prices, 1e-12)), np.log(np.maximum(weights, 1e-12))
+        mean_p, mean_w, last = np.zeros(m), np.zeros(len(found)), None
+        for step in range(steps):
+            prices, weights = np.exp(log_p - log_p.max()), np.exp(log_w - log_w.max())
+            prices, weights = prices / prices.sum(), weights / weights.sum()
+            covered, worth = cover @ weights, prices @ cover
+            value = max(float(prices @ covered), 1e-300)
+            covered, worth = covered / value, worth / value
+            size = 0.5 / max(1.0, covered.max(), worth.max())
+            was_covered, was_worth = last or (covered, worth)
+            log_p -= size * (2 * covered - was_covered)
+            log_w += size * (2 * worth - was_worth)
+            last = covered, worth
+            if step >= steps // 2:
+                mean_p, mean_w = mean_p + prices, mean_w + weights
+        mean_p, mean_w = mean_p / mean_p.sum(), mean_w / mean_w.sum()
+        for w in (mean_w, weights):
+            if (least := float((cover @ w).min())) > 0 and 1 / least < best[0]:
+                best = 1 / least, w / least
+        new = 0
+        for p in (mean_p, prices):
+            config = best_configuration(p / demand, sizes, capacity)
+            bound = max(bound, 1.0 / float(p / demand @ config))
+            if config.tobytes() not in seen:
+                seen.add(config.tobytes())
+                found.append(config)
+                new += 1
+        if best[0] <= (1 + gap) * bound:
+            return [(c, float(n)) for c, n in zip(found, best[1], strict=False) if n > 0], bound
+        steps, prices = steps if new else steps * 2, mean_p
+        weights = np.concatenate([mean_w * (1 - 0.02 * new), np.full(new, 0.02)])
 
 
 class _Left:
@@ -171,7 +214,7 @@ class _Left:
         return int(root)
 
 
-def pack_counts(counts: np.ndarray, capacity: int = CAPACITY, unit: int = UNIT, share: float = 0.9) -> list[tuple[int, dict[int, int]]]:
+def pack_counts(counts: np.ndarray, capacity: int = CAPACITY, share: float = 1.0) -> list[tuple[int, dict[int, int]]]:
     """(how many bins, {length: pieces in each}) that hold every piece exactly once; counts[l] pieces
     are l long.
 
@@ -181,10 +224,8 @@ def pack_counts(counts: np.ndarray, capacity: int = CAPACITY, unit: int = UNIT,
     with the least room, or to new ones. Bins that are alike are one row throughout, so rows and time
     grow with the number of lengths, not of pieces.
     """
-    units = -(-capacity // unit)
-    demand = np.zeros(units + 1)
-    lengths = np.nonzero(counts)[0]
-    np.add.at(demand, -(-lengths // unit), counts[lengths])
+    sizes, demand = size_classes(counts, capacity)
+    configs = fractional_configurations(sizes, demand, capacity)[0] if len(sizes) else []
     left = _Left(counts)
     rooms: list[int] = []  # sorted; those that have open bins
     open_: dict[int, list[tuple[int, dict[int, int]]]] = {}
@@ -194,12 +235,12 @@ def pack_counts(counts: np.ndarray, capacity: int = CAPACITY, unit: int = UNIT,
             insort(rooms, room)
         open_.setdefault(room, []).append((times, bin_))
 
-    for config, times in sorted(fractional_configurations(demand) if len(lengths) else [], key=lambda x: (-x[1], x[0].tobytes())):
-        bins, classes = int(times * share), np.repeat(np.arange(units + 1), config)[::-1].tolist()
+    for config, times in sorted(configs, key=lambda x: (-x[1], x[0].tobytes())):
+        bins, classes = int(times * share), np.repeat(sizes, config)[::-1].tolist()
         while bins > 0:
             room, bin_ = capacity, {}
-            for n, c in enumerate(classes, 1):
-                l = room if n == len(classes) else min(c * unit, room)
+            for n, size in enumerate(classes, 1):
+                l = room if n == len(classes) else min(size, room)
                 while (l := left.most(l)) and left.counts[l] <= bin_.get(l, 0):
                     l -= 1
                 if l:
