@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -73,12 +74,19 @@ def base_spans(text: str) -> list[Span]:
 def loose_spans(text: str, base: list[Span]) -> list[Span]:
     """Spans of a looser shape that touch no base span."""
     out: list[Span] = []
-    taken = sorted((a, b) for _, a, b in base)
+    starts, ends = [], []  # of stretches that base spans cover, apart from each other and in order
+    for _, a, b in sorted(base, key=lambda s: s[1:]):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     for kind, pattern in _loose.items():
         if kind == "email" and "@" not in text and "at)" not in text and "at]" not in text:
             continue
         for m in pattern.finditer(text):
-            if not any(a < m.end() and m.start() < b for a, b in taken):
+            near = bisect_left(starts, m.end()) - 1  # the last stretch that starts before the match ends
+            if near < 0 or ends[near] <= m.start():
                 if kind != "phone" or 7 <= len(_digits.findall(m[0])) <= 15:
                     out.append((kind, *m.span()))
     return out
