@@ -31,29 +31,28 @@ def resolve(pages: DataFrame, *, id_col="page_id", url_col="url", payload_col="h
     Of records with equal payloads of at least ``min_bytes`` bytes, the one with the largest id is the
     response and the others revisit it; smaller ones are all responses. Headers are summed by digest
     (one row a digest and task), then every record is joined to its digest's original; Spark splits a
-    digest that many records share. Null payload: empty. Null id: smallest; ties: the largest url,
-    then the row that comes last. Empty table: no rows. Extra columns are left out.
+    digest that many records share. Null payload: empty. Null id: smallest. Rows that repeat an id and a payload are all
+    what that id is; of their urls the largest is referred to. Empty table: no rows. Extra columns are left out.
     """
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"),
         F.col(url_col).alias("url"),
         F.coalesce(F.col(payload_col), F.lit("")).alias("payload"),
-        F.monotonically_increasing_id().alias("row"),
     )
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("sha1", F.sha1("payload"))
     originals = (
         rows.filter(F.col("payload_bytes") >= min_bytes)
         .groupBy("sha1")
-        .agg(F.max(F.struct("page_id", "url", "row")).alias("original"))
+        .agg(F.max(F.struct("page_id", "url")).alias("original"))
     )
-    revisits = (F.col("original").isNotNull()) & (F.col("original.row") != F.col("row"))
+    revisits = F.col("original").isNotNull() & ~F.col("original.page_id").eqNullSafe(F.col("page_id"))
     return (
         rows.join(originals, "sha1", "left")
         .withColumn("record_type", F.when(revisits, "revisit").otherwise("response"))
         .withColumn("refers_to", F.when(revisits, F.col("original.page_id")))
         .withColumn("refers_url", F.when(revisits, F.col("original.url")))
         .withColumn("payload_digest", base32(F.col("sha1")))
-        .drop("original", "row", "sha1")
+        .drop("original", "sha1")
     )
 
 
@@ -154,7 +153,7 @@ d AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), l
                (((('0x' || substr(hex || '0', ((i * 5) // 4 + 1)::INT, 3))::BIGINT >> (7 - (i * 5) % 4)) & 31) + 1)::INT, 1)), '') AS payload_digest FROM p),
 m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS original FROM d)
 SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
-       CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id <> original THEN original END AS refers_to
+       CASE WHEN page_id IS NOT DISTINCT FROM original THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM original THEN original END AS refers_to
 FROM m
 """
