@@ -76,7 +76,7 @@ def shingles(codes: np.ndarray) -> np.ndarray:
 class Index:
     """Templates' shingles and bands; they are few and given by the caller. A template needs at least five words."""
 
-    def __init__(self, templates: dict[str, str], seed: int = 7):
+    def __init__(self, templates: dict[str, str], containment: float = CONTAINMENT, seed: int = 7):
         self.codes = _Codes()
         self.sets = {}
         for name, text in templates.items():
@@ -84,9 +84,9 @@ class Index:
             if not len(found):
                 raise ValueError(f"template {name} has fewer than {K} words")
             self.sets[name] = frozenset(found.tolist())
-        self.classes: dict[Settings, dict[tuple[int, int], list[str]]] = {}
+        self.classes: dict[Settings, list[dict[int, list[str]]]] = {}  # by band, from keys to templates
         for name, own in self.sets.items():
-            self.classes.setdefault(settings(len(own)), {})
+            self.classes.setdefault(s := settings(len(own), containment), [{} for _ in range(s.bands)])
         most = max(s.rows * s.bands for s in self.classes)
         self.seeds = np.random.default_rng(seed).integers(1, 2**31, most, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
         for s, bands in self.classes.items():
@@ -94,7 +94,7 @@ class Index:
                 if len(own) == s.size:
                     least = (self.short(np.array(sorted(own), dtype=np.uint64))[None, :] * self.seeds[: s.rows * s.bands, None]).min(1)
                     for band in range(s.bands):
-                        bands.setdefault((band, self.join(least[band * s.rows : (band + 1) * s.rows, None])[0]), []).append(name)
+                        bands[band].setdefault(int(self.join(least[band * s.rows : (band + 1) * s.rows, None])[0]), []).append(name)
 
     def codes_of(self, text: str | None) -> np.ndarray:
         words = _normal((text or "").lower())
@@ -129,7 +129,7 @@ class Index:
                 if (i + 1) % s.rows == 0:
                     band = i // s.rows
                     key = self.join(np.stack([least.pop((b, s)) for b in range(band * s.rows, i + 1)]))
-                    wanted = {k: names for (b, k), names in self.classes[s].items() if b == band}
+                    wanted = self.classes[s][band]
                     for w in np.flatnonzero(np.isin(key, np.array(list(wanted), dtype=np.uint64))).tolist():
                         for name in wanted[int(key[w])]:
                             out.add((name, w * s.stride, min(w * s.stride + s.window, len(found))))
@@ -161,8 +161,8 @@ def _window_least(hashed: np.ndarray, stride: int, window: int) -> np.ndarray:
 
 
 @lru_cache(4)
-def index_of(templates: tuple[tuple[str, str], ...]) -> Index:
-    return Index(dict(templates))
+def index_of(templates: tuple[tuple[str, str], ...], containment: float) -> Index:
+    return Index(dict(templates), containment)
 
 
 OUT = "license string, containment double, first_word int, end_word int"
@@ -180,7 +180,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, *, id_col="doc_
     given = tuple(templates.items())
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = index_of(given)
+        index = index_of(given, containment)
         for batch in batches:
             for at in range(0, len(batch), 100):  # as much as a processor's cache holds
                 part = batch.iloc[at : at + 100]
