@@ -56,6 +56,10 @@ def source_plan(sources: DataFrame, shares: tuple[int, ...], most: int) -> DataF
     )
 
 
+#: Rates at which key ranges are spread.
+SCALES = (1.0, 0.5, 0.25, 0.12, 0.05)
+
+
 @dataclass
 class Mix:
     """``plan``: a row a source with its target, whole epochs and the key where its selection ends."""
@@ -98,7 +102,10 @@ def mix(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source
 
     sized = saved(with_keys(docs.select(id_col, text_col, source_col)).select(id_col, source_col, "skey", "size", "key"), "mix-sized")
     ranges = int(max(64, min(65536, sized.count() // 256)))
-    ranged = sized.withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * ranges))
+    # A key of weight w is exponential of mean 1 / w, so 1 - exp(-key * w) spreads evenly. The mean over SCALES rises with the key and gives no
+    # weight from 0.05 to 1 more than about a few times its even part of any range.
+    spread = sum((1 - F.exp(-F.col("key") * s) for s in SCALES), F.lit(0.0)) / len(SCALES)
+    ranged = sized.withColumn("range", F.floor(spread * ranges))
     sums = saved(ranged.groupBy("skey", "range").agg(F.first(source_col).alias("source"), F.sum("size").alias("size")), "mix-sums")
     sources = sums.groupBy("skey").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
     plan = saved(source_plan(sources, shares, most), "mix-plan")
