@@ -16,7 +16,7 @@ from .common import saved, table
 #: The model is fitted on at most so many labelled documents of each label, taken by their ids' hash,
 #: and on none of more characters than FIT_CHARS. Scoring reads all documents whole.
 FIT_ROWS = {1: 1500, 0: 3000}
-FIT_CHARS = 200_000
+FIT_CHARS = 20_000
 LEXICON = 2000
 BUCKETS = 8
 BLOCK = 256
@@ -24,8 +24,15 @@ BLOCK = 256
 _tokens = re.compile(r"[^\W\d_]+")
 
 
+def lowered(text: str | None) -> str:
+    """The text in lower case, character by character: one whose lower case is longer stays, so offsets hold."""
+    text = text or ""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
 def tokens_of(text: str | None) -> list[str]:
-    return _tokens.findall((text or "").lower())
+    return _tokens.findall(lowered(text))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -167,7 +174,7 @@ class Model:
         spans: list[list[tuple[int, int, float]]] = [[] for _ in texts]
         hits = np.flatnonzero(odds > 0)
         for i in np.unique(np.searchsorted(starts, hits, side="right") - 1):
-            places = [m.span() for m in _tokens.finditer((texts[i] or "").lower())]
+            places = [m.span() for m in _tokens.finditer(lowered(texts[i]))]
             mine = hits[(hits >= starts[i]) & (hits < starts[i + 1])]
             spans[i] = [(*places[h - starts[i]], float(1 / (1 + np.exp(-odds[h])))) for h in mine]
         return scores, spans
@@ -251,23 +258,24 @@ def tag(docs: DataFrame, model: Model, *, text_col="text", score_col="score", pr
     table: no rows. Columns of these names in ``docs`` are replaced, others kept.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # LEXICON words and a few dozen weights
-    keep = [c for c in docs.columns if c not in (score_col, predicted_col, spans_col)]
+    own = [score_col, predicted_col, spans_col]
+    keep = [c for c in docs.columns if c not in own]
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.iloc[at : at + 500].copy()
                 scores, spans = held.value.score([t if isinstance(t, str) else None for t in part[text_col]])
-                part["_score"], part["_predicted"] = scores, (scores >= 0.5).astype(np.int32)
-                part["_spans"] = [[{"start": a, "end": b, "p": p} for a, b, p in s] for s in spans]
+                part[own[0]], part[own[1]] = scores, (scores >= 0.5).astype(np.int32)
+                part[own[2]] = [[{"start": a, "end": b, "p": p} for a, b, p in s] for s in spans]
                 yield part
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    tagged = docs.select(*[F.col(f"`{c}`") for c in keep]).mapInPandas(rows, f"{schema}, _score double, _predicted int, _spans array<struct<start:int,end:int,p:double>>")
-    return tagged.withColumnsRenamed({"_score": score_col, "_predicted": predicted_col, "_spans": spans_col})
+    return docs.select(*[F.col(f"`{c}`") for c in keep]).mapInPandas(rows, f"{schema}, `{own[0]}` double, `{own[1]}` int, `{own[2]}` array<struct<start:int,end:int,p:double>>")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     tagged = tag(docs, fit(docs, table(spark, sf_dir, "labels")))
-    return tagged.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
+    offsets = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return tagged.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"), offsets.alias("spans"))
