@@ -37,7 +37,7 @@ def test_cascade_order_by_rejection_for_cost():
     ticks = itertools.count()
     rules = (quality.Rule("never", lambda x: False), quality.Rule("some", lambda x: len(x.words) < 2), quality.Rule("most", lambda x: len(x.words) < 3))
     order = quality.cascade_order(["a", "a b", "a b", "a b c"], rules, lambda: next(ticks))
-    assert [r.name for r, _, _ in order] == ["most", "never", "some"] or [r.name for r, _, _ in order][0] == "most"
+    assert [r.name for r, _, _ in order] == ["most", "never", "some"]
 
 
 def test_chain_marginals_equal_all_paths():
@@ -85,7 +85,7 @@ def test_warc_round_trip(spark, tmp_path):
 
             assert by[i].payload_bytes == len(data) and by[i].payload_digest == base64.b32encode(hashlib.sha1(data).digest()).decode()
     assert (by[5].record_type, by[1].refers_to, by[3].refers_to, by[4].refers_to) == ("response", 5, 5, 6)
-    assert sorted((r.record_type, r.refers_to) for r in rows if r.page_id == 8) == [("response", None), ("revisit", 8)]
+    assert sorted((r.record_type, r.refers_to) for r in rows if r.page_id == 8) == [("response", None), ("response", None)]
     big = warc.resolve(df, min_bytes=5).filter("page_id in (1, 3, 5)").collect()
     assert {r.record_type for r in big} == {"response"}
     assert warc.resolve(df.limit(0)).count() == 0
@@ -208,6 +208,44 @@ def test_pack_counts_near_the_bound():
     assert (held == counts).all() and sum(n for n, _ in plan) <= 1.01 * lengths.sum() / 4096 + 2
 
 
+def test_configurations_where_best_fit_fails():
+    """Pieces that fill sequences exactly in threes and fours, of which best fit makes a fifth more; and a proven bound."""
+    counts = np.zeros(4097, dtype=int)
+    counts[[2068, 1044, 1064, 984]] = [6000, 6000, 6000, 12000]
+    assert sum(n for n, _ in packing.pack_counts(counts)) <= 9090 < sum(n for n, _ in packing.pack_counts(counts, share=0))
+    sizes, demand = packing.size_classes(counts, 4096)
+    configs, bound = packing.fractional_configurations(sizes, demand, 4096)
+    assert 9000 / (1 + packing.GAP) <= bound <= 9000 + 1e-6 and sum(n for _, n in configs) <= (1 + packing.GAP) * bound
+    assert all(sum(n * c[i] for c, n in configs) >= demand[i] * (1 - 1e-9) for i in range(len(sizes))) and all((c * sizes).sum() <= 4096 for c, _ in configs)
+
+
+def test_many_spans_in_one_text():
+    """Loose spans of a text with thousands of base spans: as found by looking at all of them."""
+    text = " ".join(f"a{i}@b{i}.org call 0{i % 9}1 555 {1000 + i} or +62 812 {100000 + i}" for i in range(3000))
+    base = pii.base_spans(text)
+    loose = pii.loose_spans(text, base)
+    assert len(base) == 6000 and len(loose) >= 3000
+    assert not any(a < e and s < b for _, a, b in base[::97] for _, s, e in loose)
+
+
+def test_license_bands_follow_the_containment():
+    assert license_scan.settings(40, 0.5).bands > license_scan.settings(40, 0.8).bands
+    index = license_scan.Index(license_scan.TEMPLATES, 0.5)
+    assert set(index.classes) == {license_scan.settings(len(own), 0.5) for own in index.sets.values()}
+
+
+def test_offsets_hold_where_lower_case_is_longer():
+    text = "İİ Bad WORDS İx end"
+    assert len(toxicity.lowered(text)) == len(text) and toxicity.tokens_of(text)[1:3] == ["bad", "words"]
+
+
+def test_warc_rows_that_repeat(spark):
+    rows = [(1, "u", "x" * 30), (1, "u", "x" * 30), (2, "v", "y"), (None, "w", "y"), (None, "w", None)]
+    found = warc.resolve(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(found) == 5
+    assert {(r.page_id, r.payload): (r.record_type, r.refers_to) for r in found} == {(1, "x" * 30): ("response", None), (2, "y"): ("response", None), (None, "y"): ("revisit", 2), (None, ""): ("response", None)}
+
+
 def test_media_finds_cuts_and_edits(spark):
     pages = spark.createDataFrame([(i, f"http://h{i % 5}.example.org/p") for i in range(60)], "page_id long, url string")
     pictures = media.site_pictures(pages).cache()
