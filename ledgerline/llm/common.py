@@ -34,11 +34,16 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """The rows, written as Parquet to the shared folder and read again: lineage ends here, and a
-    lost executor costs no more than the tasks it was running."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    lost executor costs no more than the tasks it was running. ``batch_rows``: rows that a Python worker gets at once, where those are large."""
+    path, key = shared_path(df.sparkSession, name), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = df.sparkSession.conf.get(key)
+    df.sparkSession.conf.set(key, batch_rows or before)
+    try:
+        df.write.parquet(path)
+    finally:
+        df.sparkSession.conf.set(key, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

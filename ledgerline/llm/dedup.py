@@ -27,6 +27,8 @@ SLOTS = SKETCHES + sum(n for _, _, n in SHORT)
 BINS = 256
 #: Texts of a bucket that are compared in one place, with each other or with as many more. 0.01 GB at 2 kB a text.
 BLOCK = 2048
+#: Rows with texts or their codes that a Python worker holds at once.
+ROWS = 1000
 #: Least edit similarity: 1 - edits / words of the longer text.
 SIMILARITY = 0.8
 
@@ -37,7 +39,7 @@ _seeds = np.random.default_rng(20240101).integers(0, 2**31, SKETCHES, dtype=np.u
 class _Codes(dict):
     """64-bit hashes of words; keeps at most ``limit``."""
 
-    limit = 500_000
+    limit = 100_000
 
     def __missing__(self, word: str) -> int:
         code = xxhash.xxh3_64_intdigest(word)
@@ -240,7 +242,7 @@ def near_links(slots: DataFrame, held_of: Callable[[DataFrame], DataFrame], leas
     """
     ends = slots.groupBy("key").agg(F.count("*").alias("n"), F.min("uid").alias("lo"), F.max("uid").alias("hi")).filter("n > 1").drop("n")
     met = saved(slots.join(ends, "key"), "dedup-met")
-    held = saved(held_of(met.select("uid").distinct()), "dedup-held")
+    held = saved(held_of(met.select("uid").distinct()), "dedup-held", ROWS)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -251,7 +253,7 @@ def near_links(slots: DataFrame, held_of: Callable[[DataFrame], DataFrame], leas
     pairs = saved(to("lo").union(to("hi")).distinct(), "dedup-pairs")
     with_b = pairs.join(held.select(F.col("uid").alias("b"), F.col("codes").alias("y")), "b")
     both = with_b.join(held.select(F.col("uid").alias("a"), F.col("codes").alias("x")), "a").select("a", "b", "x", "y")
-    near = saved(both.mapInPandas(verify, "a long, b long, similarity double"), "dedup-near")
+    near = saved(both.mapInPandas(verify, "a long, b long, similarity double"), "dedup-near", ROWS)
     discard(pairs)
 
     roots = components(near, "a", "b", "dedup-rooted")
@@ -274,7 +276,7 @@ def near_links(slots: DataFrame, held_of: Callable[[DataFrame], DataFrame], leas
 
     dealt = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     far = dealt.mapInPandas(whole, "a long, b long, similarity double")
-    far = saved(far.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity"), "dedup-far")
+    far = saved(far.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity"), "dedup-far", ROWS)
     discard(placed, held)
     joined = components(roots.union(far.select("a", "b")), "node", "root", "dedup-components")
     discard(roots)
@@ -305,7 +307,7 @@ def classes(docs: DataFrame, *, id_col="doc_id", text_col="text", least: float =
             yield batch[["uid", "words", "codes", "sketch"]]
 
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("fp", fingerprint(F.col("text")))
-    rows = saved(picked.mapInPandas(sketch, f"id {kind}, fp binary, sketch array<bigint>"), "dedup-rows")
+    rows = saved(picked.mapInPandas(sketch, f"id {kind}, fp binary, sketch array<bigint>"), "dedup-rows", ROWS)
     texts = rows.groupBy("fp").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch"))
     texts = saved(texts.withColumn("uid", F.monotonically_increasing_id()), "dedup-texts")
 

@@ -47,7 +47,7 @@ class Encoder:
     plain = re.compile(r"(?!.*<\|)[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-įı-ſ]{1,64}").fullmatch
     split = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z\xdf-\xf6\xf8-ſ]+|[0-9]|[^a-z\xdf-\xf6\xf8-ſ0-9]+").findall
 
-    def __init__(self, file: str, limit: int = 500_000):
+    def __init__(self, file: str, limit: int = 100_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel

@@ -263,8 +263,8 @@ def tag(docs: DataFrame, model: Model, *, text_col="text", score_col="score", pr
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.iloc[at : at + 500].copy()
+            for at in range(0, len(batch), 100):
+                part = batch.iloc[at : at + 100].copy()
                 scores, spans = held.value.score([t if isinstance(t, str) else None for t in part[text_col]])
                 part[own[0]], part[own[1]] = scores, (scores >= 0.5).astype(np.int32)
                 part[own[2]] = [[{"start": a, "end": b, "p": p} for a, b, p in s] for s in spans]
