@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -180,6 +181,21 @@ class Model:
         return scores, spans
 
 
+    def fitted(self, y: np.ndarray, parts: list[np.ndarray]) -> Model:
+        """The model with its chain and document weights fitted on documents' labels and codes."""
+        if not self.lexicon or not y.any():
+            prior = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)) if len(y) else -4.0
+            return Model(self.lexicon, self.chain, np.array([prior, 0, 0, 0]))
+        starts = np.append(0, np.cumsum([len(p) for p in parts])).astype(np.int64)
+        codes = np.concatenate(parts)
+        first = np.zeros(len(codes), dtype=bool)
+        first[starts[:-1][starts[:-1] < len(codes)]] = True
+        toxic = np.repeat(y, np.diff(starts)) * (codes > 0)
+        chain = fit_chain(codes, toxic, first)
+        features = self.document_features(chain.marginals(codes, first)[0], starts)
+        return Model(self.lexicon, chain, _logistic(features, y.astype(float)))
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(50):
@@ -228,24 +244,17 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text",
                 codes = blank.codes_of([text])[0].astype(np.int8)
                 yield pd.DataFrame({"y": [int(y)], "codes": [codes.tobytes()]})
 
-    train = sample.filter("half = 1").select("y", "text").mapInPandas(coded, "y int, codes binary").orderBy("y", "codes").toLocalIterator()
-    ys, parts = [], []
-    for row in train:  # a byte a word of the bounded sample
-        ys.append(row["y"])
-        parts.append(np.frombuffer(row["codes"], dtype=np.int8).astype(np.int64))
-    y = np.array(ys, dtype=np.int64)
-    if not lexicon or not y.any():
-        blank.weights = np.array([np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)) if len(y) else -4.0, 0, 0, 0])
-        return blank
-    starts = np.append(0, np.cumsum([len(p) for p in parts])).astype(np.int64)
-    codes = np.concatenate(parts)
-    first = np.zeros(len(codes), dtype=bool)
-    first[starts[:-1][starts[:-1] < len(codes)]] = True
-    toxic = np.repeat(y, np.diff(starts)) * (codes > 0)
-    chain = fit_chain(codes, toxic, first)
-    model = Model(lexicon, chain, np.zeros(4))
-    model.weights = _logistic(model.document_features(chain.marginals(codes, first)[0], starts), y.astype(float))
-    return model
+    def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ys, parts = [], []
+        for batch in batches:  # a byte a word of the bounded sample
+            ys += batch["y"].tolist()
+            parts += [np.frombuffer(c, dtype=np.int8).astype(np.int64) for c in batch["codes"]]
+        yield pd.DataFrame({"model": [pickle.dumps(blank.fitted(np.array(ys, dtype=np.int64), parts))]})
+
+    # One task fits the bounded sample, in an order that is the same each time.
+    train = sample.filter("half = 1").select("y", "text").mapInPandas(coded, "y int, codes binary")
+    models = train.repartition(1).sortWithinPartitions("y", "codes").mapInPandas(fitted, "model binary").collect()
+    return pickle.loads(models[0].model) if models else blank.fitted(np.zeros(0, dtype=np.int64), [])
 
 
 OUT = "score double, predicted int, spans array<struct<start:int,end:int,p:double>>"
