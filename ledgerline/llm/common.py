@@ -25,12 +25,13 @@ def word_count(text: Column) -> Column:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:  # tests and single machines
-        if not spark.sparkContext.master.startswith("local["):
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:  # tests and single machines; the setting itself is fixed once a session runs
+        if not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        folder = context.getCheckpointDir()
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -58,15 +59,16 @@ def discard(*frames: DataFrame) -> None:
 def components(edges: DataFrame, a: str, b: str, name: str = "components") -> DataFrame:
     """(node, root) for every node of the undirected edges a-b; root is the least node of its component.
 
-    Each round merges a node into the neighbour that comes first in an order drawn for the round, and what is left of the
-    edges, between merged nodes and without repeats, goes into the next. A part of the nodes goes in every round, so rounds
-    grow with the logarithm of a chain's length and edges shrink. Every join is on a node's own key between written
+    Each round merges a node into the neighbour that comes first in the round's order, and what is left of the edges,
+    between merged nodes and without repeats, goes into the next. Even rounds take the order of the nodes, in which a star
+    around its least node is done at once; odd ones an order drawn for the round, in which a part of the nodes goes
+    whatever the edges, so rounds grow with the logarithm of a chain's length and edges shrink. Every join is on a node's own key between written
     tables and can be split where one node has many edges. An edge with a null end counts for nothing.
     """
     left = saved(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).filter((F.col(a) != F.col(b)) & F.col("u").isNotNull()).distinct(), f"{name}-edges")
     merged: list[DataFrame] = []
     while not left.isEmpty() or not merged:
-        place = lambda c: F.xxhash64(c, F.lit(len(merged)))
+        place = lambda c: F.xxhash64(c, F.lit(len(merged))) if len(merged) % 2 else F.col(c)
         both = left.union(left.select("v", "u"))
         first = both.groupBy("u").agg(F.min_by("v", place("v")).alias("m"))
         merged.append(saved(first.select(F.col("u").alias("node"), F.when(place("m") < place("u"), F.col("m")).otherwise(F.col("u")).alias("to")), f"{name}-merged"))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.llm import dedup, license_scan, media, mixing, packing, pii, quality, sharding, toxicity, warc
+from ledgerline.llm import common, dedup, license_scan, media, mixing, packing, pii, quality, sharding, toxicity, warc
 
 DOCS = "doc_id long, text string, source string, size int, `skey` string"
 
@@ -453,3 +453,33 @@ def test_pii_learns_long_chains(spark):
     rows = [("phone", f"f{level}n{n}", level == 0, f"c{max(at, 1)}n{c}") for level in range(7) for at in (level, level + 1) for c in range(5) for n in range(12)]
     found = spark.createDataFrame(rows, "kind string, form string, seed boolean, context string")
     assert {r.form for r in pii.learn(found).collect()} == {f"f{level}n{n}" for level in range(1, 7) for n in range(12)}
+
+
+def test_components_equal_union_find(spark):
+    rng = np.random.default_rng(9)
+    star = [(0, i) for i in range(1, 60)]
+    far_star = [(199, i) for i in range(140, 199)]
+    chain = [(i, i + 1) for i in range(60, 99)]
+    loose = rng.integers(200, 320, (70, 2)).tolist()
+    edges = [*star, *far_star, *chain, *loose, *star[:5], (7, 7), (None, 3), (500, None)]
+    root = {x: x for e in edges if e[0] is not None and e[1] is not None and e[0] != e[1] for x in e}
+
+    def head(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a in root and b in root:
+            a, b = sorted((head(a), head(b)))
+            root[b] = a
+    found = common.components(spark.createDataFrame(edges, "p long, q long"), "p", "q").collect()
+    assert sorted(map(tuple, found)) == sorted((x, head(x)) for x in root)
+    assert common.components(spark.createDataFrame([], "p long, q long"), "p", "q").count() == 0
+
+
+def test_saved_where_no_folder_is_set(spark, monkeypatch):
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: default if key == "spark.checkpoint.dir" else spark._jsparkSession.conf().get(key))
+    path = common.shared_path(spark, "rows")
+    assert path.startswith(spark.sparkContext.getCheckpointDir())
+    assert sorted(r.id for r in common.saved(spark.range(5), "rows").collect()) == [0, 1, 2, 3, 4]
