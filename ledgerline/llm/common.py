@@ -5,9 +5,13 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 #: A word, the same in Java, Python and RE2.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -86,3 +90,51 @@ def components(edges: DataFrame, a: str, b: str, name: str = "components") -> Da
     out = saved(roots.join(heads, "to").select("node", "root"), name)
     discard(left, roots, heads, *merged)
     return out
+
+
+def walked(df: DataFrame, key: str, order: list[str], moves: list[list[int]] = ((0,),), move: Column | None = None, name: str = "walked") -> DataFrame:
+    """The rows with ``place`` (long, 0 for a key's first row in order) and ``state`` (int), that of a machine which starts each key in state 0
+    and goes from s to ``moves[m][s]`` at a row whose ``move`` is m. Null is a key like others; rows that are equal in key and order may take each other's places.
+
+    Rows are dealt by ranges of key and order, so a key of any size lies in as many tasks as its rows need. A task doesn't know the state in which it
+    begins: it composes the moves since its key's start there, for every state at once. What a task leaves to the next is one row, and one such row a task
+    goes to the driver and back, which chains them.
+    """
+    identity = tuple(range(len(moves[0])))
+    tables = [tuple(m) for m in moves]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, spot, last, place, so_far, known = TaskContext.get().partitionId(), 0, None, -1, identity, {}
+        for batch in batches:
+            places, composed = [], []
+            for k, m in zip(batch.column(batch.schema.names.index(key)).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                if k != last or not spot:
+                    last, place, so_far = k, -1, identity
+                if (so_far, m) not in known:
+                    known[so_far, m] = tuple(tables[m][s] for s in so_far)
+                place, so_far, spot = place + 1, known[so_far, m], spot + 1
+                places.append(place)
+                composed.append(so_far)
+            columns = [*batch.columns[:-1], pa.array([part] * len(places), pa.int32()), pa.array(range(spot - len(places), spot), pa.int64()), pa.array(places, pa.int64()), pa.array(composed, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], *OWN])
+
+    OWN = ["walk part", "walk spot", "walk place", "walk states"]  # noqa: N806
+    ranged = df.repartitionByRange(key, *order).sortWithinPartitions(key, *order).withColumn("walk move", F.lit(0) if move is None else move)
+    schema = StructType([*df.schema.fields, *StructType.fromDDL("`walk part` int, `walk spot` long, `walk place` long, `walk states` array<int>").fields])
+    rows = saved(ranged.mapInArrow(walk, schema), name)
+    edge = F.struct(F.col(key).alias("k"), F.col("walk place").alias("n"), F.col("walk states").alias("f"))
+    ends = sorted(rows.groupBy("walk part").agg(F.min_by(edge, "walk spot").alias("first"), F.max_by(edge, "walk spot").alias("last")).collect())
+    carried, before, state, left = [], 0, 0, None
+    for i, (part, first, last) in enumerate(ends):
+        goes_on = i > 0 and first.k == left
+        before, state = (before, state) if goes_on else (0, 0)
+        if goes_on:
+            carried.append((part, first.k, before, state))
+        whole = first.k == last.k
+        before, state, left = (last.n + 1 + (before if whole else 0), last.f[state if whole else 0], last.k)
+    key_type = StructType([StructField("carried part", IntegerType()), StructField("carried key", df.schema[key].dataType), StructField("carried rows", LongType()), StructField("carried state", IntegerType())])
+    carry = F.broadcast(df.sparkSession.createDataFrame(carried, key_type))  # at most one row a task
+    on = (F.col("walk part") == F.col("carried part")) & F.col(key).eqNullSafe(F.col("carried key"))
+    out = rows.join(carry, on, "left")
+    place, state = F.col("walk place") + F.coalesce("carried rows", F.lit(0)), F.element_at("walk states", F.coalesce("carried state", F.lit(0)) + 1)
+    return out.select(*df.columns, place.alias("place"), state.alias("state"))

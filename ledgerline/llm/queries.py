@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import dedup, license_scan, media, mixing, packing, pii, quality, sharding, toxicity, warc
+from . import chat, dedup, license_scan, media, mixing, negatives, packing, pii, quality, sharding, toxicity, trie, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -17,6 +17,9 @@ QUERIES = {
     "op8_media": media.op8_media,
     "op9_pii": pii.op9_pii,
     "op10_near_dedup": dedup.op10_near_dedup,
+    "op11_chat": chat.op11_chat,
+    "op12_prefix_trie": trie.op12_prefix_trie,
+    "op13_hard_negatives": negatives.op13_hard_negatives,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -28,6 +31,9 @@ def oracle_sql() -> dict[str, str]:
         "op3_warc": warc.SQL,
         "op4_sharding": sharding.sql(),
         "op6_mixing": mixing.SQL,
+        "op11_chat": chat.SQL,
+        "op12_prefix_trie": trie.SQL,
+        "op13_hard_negatives": negatives.SQL,
         "pipeline": corpus_pipeline.ORACLE_SQL,
     }
     return {name: sql for name, sql in found.items() if sql}
