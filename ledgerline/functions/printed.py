@@ -12,7 +12,7 @@ CONFUSED = ["568", "068", "17", "38", "S5$", "R5"]
 MONTH_STARTS = [["jan"], ["feb", "peb"], ["mar"], ["apr"], ["may", "mei"], ["jun"], ["jul"], ["aug", "agu"], ["sep"], ["oct", "okt"], ["nov", "nop"], ["dec", "des"]]
 #: What stands for a value that the paper does not have; units that count as a carton.
 NOT_PRINTED = "(not printed)"
-CARTONS = ["CTN", "CRT", "KTN", "CAR", "CT", "CARTON", "KARTON", "DUS"]
+CARTONS = ["BOX", "CAR", "CARTON", "CARTONS", "CASE", "CRT", "CS", "CT", "CTN", "CTNS", "DUS", "KARTON", "KRT", "KTN"]
 
 
 def swaps() -> dict[str, list[str]]:
@@ -44,15 +44,23 @@ def pack(text: Column) -> Column:
     return F.when(text != NOT_PRINTED, amount(found).cast("decimal(18,3)"))
 
 
-def pieces(qty: Column, uom: Column, per_carton: Column) -> Column:
-    """A printed quantity in pieces. A pack size (1 x 48) or several numbers are no quantity; a carton unit, beside the number or
-    else in its own column, counts as its pieces."""
+def one_number(qty: Column) -> Column:
+    """The number of a printed quantity; a pack size (1 x 48) or several numbers are no quantity."""
     q = F.upper(F.coalesce(qty, F.lit("")))
     one = (F.regexp_count(q, F.lit("[0-9][0-9.,]*")) == 1) & ~q.rlike(r"[0-9]\s*[X×]\s*[0-9]")
-    beside, own = (F.regexp_extract(c, "[A-Z]+", 0) for c in (q, F.upper(F.coalesce(uom, F.lit("")))))
-    unit = F.when(beside != "", beside).otherwise(own)
-    n = amount(F.regexp_extract(q, "[0-9][0-9.,]*", 0))
-    return F.when(one, F.when(unit.isin(CARTONS), n * F.coalesce(per_carton, F.lit(1.0))).otherwise(n))
+    return F.when(one, amount(F.regexp_extract(q, "[0-9][0-9.,]*", 0)))
+
+
+def carton_unit(qty: Column, uom: Column) -> Column:
+    """Whether a quantity counts cartons: by the first word beside the number, else in its own column."""
+    beside, own = (F.regexp_extract(F.upper(F.coalesce(c, F.lit(""))), "[A-Z]+", 0) for c in (qty, uom))
+    return F.when(beside != "", beside).otherwise(own).isin(CARTONS)
+
+
+def pieces(qty: Column, uom: Column, per_carton: Column) -> Column:
+    """A printed quantity in pieces; a carton counts as its pieces."""
+    n = one_number(qty)
+    return F.when(carton_unit(qty, uom), n * F.coalesce(per_carton, F.lit(1.0))).otherwise(n)
 
 
 def amount_fits(printed: Column, net: Column, vat: Column) -> Column:
@@ -67,6 +75,14 @@ def price_fits(printed: Column, piece: Column, per_carton: Column) -> Column:
     return F.greatest(*[(F.abs(printed - w * rate) <= 1).cast("int") for w in ways for rate in (1.0, 1.11)]) == 1
 
 
+def line_price_fits(printed: Column, piece: Column, outer: Column, per_carton: Column) -> Column:
+    """Whether a printed unit price, as text, is a line's, with or without 11 % tax, to a whole rupiah: by piece, or by the outer unit's own price where the line has one, else by as many pieces.
+    Null where no price was read."""
+    p, pc = amount(printed.cast("string")), F.coalesce(piece, F.lit(0.0))
+    whole = F.when(F.coalesce(outer, F.lit(0.0)) != 0, outer).otherwise(pc * F.coalesce(per_carton, F.lit(1.0)))
+    return F.greatest(*[(F.abs(p - w * rate) <= 1).cast("int") for w in (pc, whole) for rate in (1.0, 1.11)]) == 1
+
+
 def alternatives(text: Column) -> Column:
     """Every text that is one misreading away: a character swapped for one it is confused with, a digit dropped or doubled; without the text itself."""
     table = F.create_map(*[x for c, others in swaps().items() for x in (F.lit(c), F.array(*map(F.lit, others)))])

@@ -101,3 +101,62 @@ def pages(spark: SparkSession, d: str) -> DataFrame:
         errors.when(k % 9 == 4, "something long that has no colon in it and goes on and on").alias("error"),
         F.when(k % 12 == 0, "waiting_ai").when(k % 12 == 5, "needs_person").when(k % 12 == 6, "held_unsure").otherwise("ok").alias("outcome"),
     )
+
+
+#: Order lines with names and prices (il), printed rows of purchase orders and receipts (pr) after the tables of SQL.
+ROWS_SQL = """il AS (SELECT ln.k, ln.sor_no, ln.line_no, ln.item_code, p_name || ' ' || p_type AS name, p_partkey, p_size, qty_pcs, p_size::DOUBLE AS pcs_per_uom, line_amount, vat, cgr_qty,
+  round(line_amount::DOUBLE / qty_pcs, 2) AS price_pcs, CASE WHEN p_partkey % 3 <> 0 THEN round(round(line_amount::DOUBLE / qty_pcs, 2) * p_size, 2) END AS price_uom,
+  round(line_amount::DOUBLE * invoice_qty / qty_pcs, 2) AS invoice_amount FROM ln JOIN part ON p_partkey = item_code::BIGINT),
+pr AS (SELECT k, sor_no, 1 + j AS page_no, CASE j WHEN 0 THEN 'PO' ELSE 'TTG' END AS doc_type, line_no AS row_no, CASE WHEN line_no % 4 = 0 THEN '' ELSE 'P-' || p_partkey END AS code,
+  CASE (p_partkey + line_no) % 4 WHEN 0 THEN name WHEN 1 THEN left(name, 4) || substr(name, 6) WHEN 2 THEN upper(name) ELSE '' END AS name,
+  CASE WHEN (p_partkey + line_no) % 6 = 1 THEN '1 x ' || qty_pcs::INT WHEN (p_partkey + line_no) % 6 < 4 AND qty_pcs % p_size = 0 THEN (qty_pcs / p_size)::INT || ' CTN' ELSE qty_pcs::INT || ' PCS' END AS qty,
+  CASE (p_partkey + line_no) % 7 WHEN 0 THEN NULL WHEN 1 THEN printf('%.2f', price_pcs * 1.11::DOUBLE) WHEN 2 THEN printf('%.2f', coalesce(price_uom, price_pcs * p_size)) ELSE printf('%.2f', price_pcs) END AS price,
+  CASE (p_partkey + line_no) % 5 WHEN 0 THEN NULL WHEN 1 THEN line_amount::DOUBLE + coalesce(vat::DOUBLE, 0) WHEN 2 THEN line_amount::DOUBLE * 1.01::DOUBLE ELSE line_amount::DOUBLE END AS amount,
+  (p_partkey + line_no) % 31 = 0 AS bonus, p_partkey, line_no FROM il, range(2) x(j))"""
+
+
+def item_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Order lines with the product's name and pack, prices by piece and, for some, by the outer unit, and what was invoiced and received."""
+    part = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_name", "p_type", "p_size")
+    l = lines(spark, d).join(part, F.col("item_code").cast("long") == F.col("p_partkey"))
+    money = F.col("line_amount").cast("double")
+    piece = F.round(money / F.col("qty_pcs"), 2)
+    return l.select(
+        "k", "sor_no", "line_no", "item_code", F.concat_ws(" ", "p_name", "p_type").alias("name"), "p_partkey", "p_size", "qty_pcs", F.col("p_size").cast("double").alias("pcs_per_uom"), "line_amount", "vat", "cgr_qty",
+        piece.alias("price_pcs"), F.when(F.col("p_partkey") % 3 != 0, F.round(piece * F.col("p_size"), 2)).alias("price_uom"), F.round(money * F.col("invoice_qty") / F.col("qty_pcs"), 2).alias("invoice_amount"),
+    )
+
+
+def printed_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of an order's purchase order (page 1) and receipt (page 2): some codes missing, names cut or left out, quantities by carton or as pack sizes, prices with tax or by carton, amounts with tax or a little off."""
+    l = item_lines(spark, d).withColumn("j", F.explode(F.array(F.lit(0), F.lit(1))))
+    h, q, money, cents = F.col("p_partkey") + F.col("line_no"), F.col("qty_pcs"), F.col("line_amount").cast("double"), lambda x: F.format_string("%.2f", x)
+    whole = lambda x: x.cast("int").cast("string")
+    name = F.when(h % 4 == 0, F.col("name")).when(h % 4 == 1, F.concat(F.left("name", F.lit(4)), F.expr("substr(name, 6)"))).when(h % 4 == 2, F.upper("name")).otherwise("")
+    qty = F.when(h % 6 == 1, F.concat(F.lit("1 x "), whole(q))).when((h % 6 < 4) & (q % F.col("p_size") == 0), F.concat(whole(q / F.col("p_size")), F.lit(" CTN"))).otherwise(F.concat(whole(q), F.lit(" PCS")))
+    price = F.when(h % 7 == 0, None).when(h % 7 == 1, cents(F.col("price_pcs") * 1.11)).when(h % 7 == 2, cents(F.coalesce("price_uom", F.col("price_pcs") * F.col("p_size")))).otherwise(cents(F.col("price_pcs")))
+    paid = F.when(h % 5 == 0, None).when(h % 5 == 1, money + F.coalesce(F.col("vat").cast("double"), F.lit(0.0))).when(h % 5 == 2, money * 1.01).otherwise(money)
+    bars = F.when(h % 9 == 2, F.array(F.concat(F.lit("899"), _padded(F.col("p_partkey"), 10)))).otherwise(F.array().cast("array<string>"))
+    return l.select(
+        "k", "sor_no", (F.col("j") + 1).alias("page_no"), F.when(F.col("j") == 0, "PO").otherwise("TTG").alias("doc_type"), F.col("line_no").alias("row_no"),
+        F.when(F.col("line_no") % 4 == 0, "").otherwise(F.concat(F.lit("P-"), F.col("p_partkey").cast("string"))).alias("code"), bars.alias("barcodes"), name.alias("name"), qty.alias("qty"), F.lit(None).cast("string").alias("uom"),
+        price.alias("price"), paid.alias("amount"), (h % 31 == 0).alias("bonus"), (F.col("k") % 5).alias("chain"),
+    )
+
+
+def known_codes(spark: SparkSession, d: str) -> DataFrame:
+    """A product map: every third product's code at three of five chains, and every seventh's barcode."""
+    p = spark.read.parquet(f"{d}/part.parquet").select("p_partkey")
+    k, item = F.col("p_partkey"), _padded(F.col("p_partkey"), 8).alias("item_code")
+    by_code = p.filter(k % 3 == 0).select(F.explode(F.array(*[F.lit(c).cast("long") for c in range(3)])).alias("chain"), F.concat(F.lit("P"), k.cast("string")).alias("code"), F.lit(None).cast("string").alias("barcode"), item)
+    by_bar = p.filter(k % 7 == 0).select(F.lit(None).cast("long").alias("chain"), F.lit(None).cast("string").alias("code"), F.concat(F.lit("899"), _padded(k, 10)).alias("barcode"), item)
+    return by_code.unionByName(by_bar)
+
+
+def line_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """What a person or a model said of some rows."""
+    r = printed_rows(spark, d)
+    k = F.col("k") + F.col("row_no")
+    how = F.when(k % 17 == 0, "person").otherwise("ai")
+    status = F.when(how == "ai", "proposed").when(k % 34 == 0, "refused").otherwise("matched")
+    return r.filter((k % 17 == 0) | (k % 13 == 0)).select("sor_no", "page_no", "row_no", (F.col("row_no") % 3 + 1).cast("int").alias("line_no"), how.alias("how"), status.alias("status"))
