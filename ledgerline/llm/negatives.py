@@ -16,6 +16,8 @@ from .common import saved, table
 
 #: Rows a block, anchors a block; a cell is one of each, 16 MB of scores.
 ROWS, ANCHORS = 2048, 1024
+#: A row's uid is its block's number and, in so many bits, its place there.
+BITS = 12
 #: Rows of one pile, which meets a block of anchors in one task.
 PILE = 2**20
 #: Primes under 256, greatest first: residues are at most 125 in size, so float32 sums of 1024 products are exact (1024 * 125**2 < 2**24).
@@ -110,7 +112,7 @@ def anchors_of(blocks: DataFrame, every: int) -> DataFrame:
             for r in f.itertuples():
                 ids, labels, m = np.frombuffer(r.ids, np.int64), np.frombuffer(r.labels, np.int64), matrix(r.vectors, r.n, r.small)
                 own = np.flatnonzero(ids % every == 0)
-                yield pd.DataFrame({"uid": r.block * ROWS + own, "id": ids[own], "label": labels[own], "v": list(m[own])})
+                yield pd.DataFrame({"uid": (r.block << BITS) + own, "id": ids[own], "label": labels[own], "v": pd.Series(list(m[own]), dtype=object)})
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first = TaskContext.get().partitionId() << 24
@@ -166,7 +168,7 @@ def scored(frames: Iterator[pd.DataFrame], primes: list[int]) -> Iterator[tuple]
             if held[0] != (r.g, width):
                 held = ((r.g, width), [residues(a[:, :width], p) for p in primes])
             s = product(held[1], [residues(b[:, :width], p) for p in primes], primes)
-            yield (r, *(np.frombuffer(x, np.int64) for x in (r.a_uids, r.a_ids, r.a_labels, r.ids, r.labels)), r.block * ROWS + np.arange(r.n), s)
+            yield (r, *(np.frombuffer(x, np.int64) for x in (r.a_uids, r.a_ids, r.a_labels, r.ids, r.labels)), (r.block << BITS) + np.arange(r.n), s)
 
 
 def hard_negatives(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", every: int = 50, positives: int = POSITIVES, negatives: int = NEGATIVES, low: int = 50, high: int = 95) -> DataFrame:
