@@ -15,13 +15,13 @@ from .common import components, discard, saved, table
 
 K = 5
 #: Sketches a text, and minima in each. Texts that share a part J of their five-word shingles agree in one
-#: sketch with about J**2. Of pairs of 200 words with scattered edits, 0.89 share a sketch at a similarity of
-#: 0.80, 0.99 at 0.85 and all at 0.90 (tests/llm holds these).
-SKETCHES = 64
+#: sketch with about J**2. Of pairs with as many scattered substitutions as a similarity of 0.80 allows, 0.94 to
+#: 0.97 share a sketch at 64 to 1500 words (tests/llm asks for 0.9 at each length).
+SKETCHES = 84
 MINIMA = 2
 #: A few edits can take every five-word shingle of a short text: texts of fewer words than the first number have
 #: sketches of shingles of as many words as the second says besides, as many as the third.
-SHORT = [(64, 2, 16), (12, 1, 8)]
+SHORT = [(128, 3, 8), (64, 2, 16), (12, 1, 8)]
 SLOTS = SKETCHES + sum(n for _, _, n in SHORT)
 #: Bins of the word counts that rule out pairs.
 BINS = 256
@@ -227,6 +227,31 @@ def links_across(cell: pd.DataFrame, least: float = SIMILARITY) -> list[tuple[in
     return found
 
 
+def cells_of(rows: DataFrame, words: DataFrame, least: float) -> DataFrame:
+    """(key, slot, uid, root, block, i, j): the cells, pairs of blocks (i, j) of a bucket, in which each text of it is compared.
+
+    ``rows`` has key, n (the bucket's texts), slot, uid, root. A bucket of BLOCK texts or fewer is one block. In others a block is one of a class of word counts that
+    alike texts leave by one step at most, and meets blocks of its own class and the next ones only; a block's number is that of its class and, in the lower half, its own.
+    """
+    one = rows.filter(F.col("n") <= BLOCK).select("key", "slot", "uid", "root", *(F.lit(0).cast("long").alias(c) for c in ("block", "i", "j")))
+    step = -np.log(least) * 1.001
+    many = rows.filter(F.col("n") > BLOCK).join(words, "uid").withColumn("class", F.floor(F.log(F.greatest("words", F.lit(1))) / step).cast("long"))
+    sizes = many.groupBy("key", "class").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    near = sizes.select("key", F.explode(F.array(*(F.struct((F.col("class") + by).alias("class"), F.lit(by).alias("by")) for by in (-1, 0, 1)))).alias("to"), "blocks")
+    near = near.groupBy("key", F.col("to.class").alias("class")).agg(*(F.max(F.when(F.col("to.by") == by, F.col("blocks"))).alias(name) for by, name in ((1, "lower"), (0, "own"), (-1, "upper"))))
+    near = saved(near.filter("own is not null"), "dedup-classes")  # so that the join on a large bucket can be split
+    number = lambda c, b: F.shiftleft(c, 32) + b
+
+    def others_of(name: str, by: int) -> Column:
+        blocks = F.when(F.col(name).isNotNull(), F.sequence(F.lit(0).cast("long"), F.col(name) - 1)).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(blocks, lambda b: number(F.col("class") + by, b))
+
+    others = F.concat(others_of("lower", -1), others_of("own", 0), others_of("upper", 1))
+    many = many.join(near, ["key", "class"]).withColumn("block", number(F.col("class"), F.pmod(F.xxhash64("uid"), "own")))
+    many = many.select("key", "slot", "uid", "root", "block", F.explode(others).alias("other"))
+    return one.union(many.select("key", "slot", "uid", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
+
+
 def near_links(slots: DataFrame, held_of: Callable[[DataFrame], DataFrame], least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(a, b, similarity): verified links between distinct texts, enough to connect all that share a sketch and are alike;
     and (node, root): the component of each text that has a link.
@@ -238,10 +263,12 @@ def near_links(slots: DataFrame, held_of: Callable[[DataFrame], DataFrame], leas
     compared where they meet, in cells of two blocks of the bucket at most; a pair that shares several buckets is looked at in
     the first of them only. So each pair that shares a sketch is in one component or has been ruled out, and no partner is left
     out, however large a bucket. Only links leave a cell. A bucket's cells grow with the square of the texts in it that are
-    *not* alike, divided by BLOCK squared.
+    *not* alike and of about one length, divided by BLOCK squared.
     """
     ends = slots.groupBy("key").agg(F.count("*").alias("n"), F.min("uid").alias("lo"), F.max("uid").alias("hi")).filter("n > 1").drop("n")
+    ends = saved(ends, "dedup-ends")  # so that the join on a large bucket can be split
     met = saved(slots.join(ends, "key"), "dedup-met")
+    discard(ends)
     held = saved(held_of(met.select("uid").distinct()), "dedup-held", ROWS)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -259,10 +286,9 @@ def near_links(slots: DataFrame, held_of: Callable[[DataFrame], DataFrame], leas
     roots = components(near, "a", "b", "dedup-rooted")
     placed = saved(met.select("slot", "key", "uid").join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid")), "dedup-placed")
     discard(met)
-    mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    cells = placed.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("uid"), "blocks")).select("key", "slot", "uid", "root", "block", other)
-    cells = cells.select("key", "slot", "uid", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(held, "uid")
+    mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key", "n")
+    mixed = saved(mixed, "dedup-mixed")
+    cells = cells_of(placed.join(mixed, "key"), held.select("uid", "words"), least).join(held, "uid")
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None  # a cell that the next batch may go on with
@@ -277,7 +303,7 @@ def near_links(slots: DataFrame, held_of: Callable[[DataFrame], DataFrame], leas
     dealt = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     far = dealt.mapInPandas(whole, "a long, b long, similarity double")
     far = saved(far.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity"), "dedup-far", ROWS)
-    discard(placed, held)
+    discard(placed, held, mixed)
     joined = components(roots.union(far.select("a", "b")), "node", "root", "dedup-components")
     discard(roots)
     return near.union(far), joined
@@ -339,13 +365,12 @@ def classes(docs: DataFrame, *, id_col="doc_id", text_col="text", least: float =
 
 def one_of_each(docs: DataFrame, *, id_col="doc_id", text_col="text", least: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that stand for their class, one a class, with all their columns."""
-    first = classes(docs, id_col=id_col, text_col=text_col, least=least).filter("first").select(F.col("fp").alias("class fp"), F.col(id_col).alias("class id")).distinct()
-    own = docs.withColumn("own fp", fingerprint(F.col(text_col)))
-    kept = own.join(first, (F.col("own fp") == F.col("class fp")) & F.col(id_col).eqNullSafe(F.col("class id")), "left_semi")
+    first = classes(docs, id_col=id_col, text_col=text_col, least=least).filter("first").select("fp", F.col(id_col).alias("id")).distinct()
+    held = docs.select(fingerprint(F.col(f"`{text_col}`")).alias("fp"), F.col(f"`{id_col}`").alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = held.join(first.select(F.col("fp").alias("first fp"), F.col("id").alias("first id")), (F.col("fp") == F.col("first fp")) & F.col("id").eqNullSafe(F.col("first id")), "left_semi")
     # Of rows that repeat an id and a text, the least by their other columns as text stays.
-    others = F.to_json(F.array(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in docs.columns if c not in (id_col, text_col)], F.lit("")))
-    once = kept.groupBy("own fp", F.col(f"`{id_col}`").alias("own id")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), others).alias("own row"))
-    return once.select("own row.*")
+    others = F.to_json(F.array(*[F.coalesce(F.col("row").getField(c).cast("string"), F.lit("")) for c in docs.columns if c not in (id_col, text_col)], F.lit("")))
+    return kept.groupBy("fp", "id").agg(F.min_by("row", others).alias("row")).select("row.*")
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

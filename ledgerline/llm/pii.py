@@ -162,14 +162,18 @@ def learn(found: DataFrame) -> DataFrame:
         sure = edges.filter("seed").select("kind", "form").distinct().withColumn("p", F.lit(1.0)).union(new.select("kind", "form", "p"))
 
 
+#: Columns that ``find`` makes.
+OWN = ["pii row", "pii base", "pii mentions", "pii more", "pii spans"]
+
+
 def find(docs: DataFrame, *, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` with ``pii base`` and ``pii spans``: arrays of (kind, start, end) by kind as listed, then start.
 
     The spans hold all base spans and the loose mentions whose form was accepted. Null and empty texts
     have none. Repeated rows have the same spans, and their identifiers count once. Empty table: no
-    rows. Other columns are kept.
+    rows. Other columns are kept, but those of the names used here (OWN) are replaced.
     """
-    rows = saved(mentions(docs, text_col, keep_text), "pii-mentions")
+    rows = saved(mentions(docs.drop(*(c for c in OWN if c != text_col)), text_col, keep_text), "pii-mentions")
     each = rows.select("pii row", F.explode("pii mentions").alias("m")).select("pii row", "m.*")
     accepted = learn(each.select("kind", "form", "seed", F.explode("contexts").alias("context")))
     more = each.filter("not seed").join(accepted, ["kind", "form"], "left_semi")
@@ -186,24 +190,26 @@ def digest(spans: str):
 
 def redacted(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """``docs`` with each span of personal data replaced by its kind in brackets. Spans that overlap are
-    replaced together, under the kind of the first."""
-    columns = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    replaced together, under the kind of the first. Columns of any name are kept."""
+    columns = [f"column {i}" for i in range(len(docs.columns))]
+    own = columns[docs.columns.index(text_col)]
+    schema = ", ".join(f"`{c}` {f.dataType.simpleString()}" for c, f in zip(columns, docs.schema, strict=True))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for text, spans in zip(batch[text_col], batch["pii spans"], strict=True):
+            for text, spans in zip(batch[own], batch["pii spans"], strict=True):
                 parts, at = [], 0
                 for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
                     if s["start"] >= at:
                         parts += [text[at : s["start"]], f"[{s['kind'].upper()}]"]
                     at = max(at, s["end"])
                 out.append("".join([*parts, text[at:]]) if parts else text)
-            batch[text_col] = out
+            batch[own] = out
             yield batch[columns]
 
-    return find(docs, text_col=text_col).select(*[F.col(f"`{c}`") for c in columns], "pii spans").mapInPandas(rows, schema)
+    found = find(docs.toDF(*columns), text_col=own).select(*columns, "pii spans")
+    return found.mapInPandas(rows, schema).toDF(*docs.columns)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """The operators against brute force on small rows: nulls, empty texts, ties, repeated rows, empty tables, other columns."""
 
+import collections
 import hashlib
 import itertools
+import random
 import re
 
 import numpy as np
@@ -390,8 +392,29 @@ def test_sketch_recall():
 
     for n in (5, 8, 12, 20, 30, 60):
         assert recall(n, n // 5) >= 0.95, n
-    for n in (100, 200, 500):
-        assert recall(n, n // 5) >= 0.8 and recall(n, int(0.15 * n)) >= 0.96 and recall(n, n // 10) >= 0.99, n
+    for n in (64, 80, 100, 127, 128, 150, 200, 500):
+        assert recall(n, n // 5, 600) >= 0.92 and recall(n, int(0.15 * n)) >= 0.98 and recall(n, n // 10) >= 0.99, n
+
+
+def test_large_buckets_of_many_lengths(spark, monkeypatch):
+    """Cells by classes of word counts look at each pair of a bucket that can be alike."""
+    monkeypatch.setattr(dedup, "BLOCK", 4)
+    rng = random.Random(3)
+    sizes = {u: rng.choice([0, 1, 2, 4, 5, 6, 8, 10, 80, 100, 101, 125]) for u in range(60)}
+    rows = spark.createDataFrame([(7, 60, 0, u, u) for u in sizes] + [(8, 3, 1, u, u) for u in range(3)], "key long, n long, slot int, uid long, root long")
+    words = spark.createDataFrame(list(sizes.items()), "uid long, words long")
+    cells = collections.defaultdict(list)
+    for r in dedup.cells_of(rows, words, 0.8).collect():
+        cells[r.key, r.i, r.j].append(r)
+    met = collections.Counter((min(a.uid, b.uid), max(a.uid, b.uid)) for (k, i, j), c in cells.items() if k == 7 for a, b in itertools.combinations(c, 2) if i == j or a.block != b.block)
+    assert max(met.values()) == 1 and max(map(len, cells.values())) < 30
+    assert all(met[u, v] for u, v in itertools.combinations(sizes, 2) if min(sizes[u], sizes[v]) >= 0.8 * max(sizes[u], sizes[v]) - 1e-9)
+    assert [(k, i, j, len(c)) for (k, i, j), c in cells.items() if k == 8] == [(8, 0, 0, 3)]
+
+
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", "p", "q"), (2, "a b c d e f", "r", None), (2, "a b c d e f", "r", None)], "doc_id long, text string, `own fp` string, row string")
+    assert [tuple(r) for r in dedup.one_of_each(docs).collect()] == [(1, "a b c d e f", "p", "q")]
 
 
 def test_near_dedup_pairs_at_the_threshold(spark):
@@ -483,3 +506,9 @@ def test_saved_where_no_folder_is_set(spark, monkeypatch):
     path = common.shared_path(spark, "rows")
     assert path.startswith(spark.sparkContext.getCheckpointDir())
     assert sorted(r.id for r in common.saved(spark.range(5), "rows").collect()) == [0, 1, 2, 3, 4]
+
+
+def test_redaction_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "write to a.b@c.de now", "p", 3)], "doc_id long, text string, `pii base` string, `pii spans` int")
+    assert [tuple(r) for r in pii.redacted(docs).collect()] == [(1, "write to [EMAIL] now", "p", 3)]
+    assert pii.find(docs).select("doc_id", F.size("pii base")).first()[1] == 1
