@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, table
+from .common import saved, shared_path, table
 
 #: Base32 of RFC 4648 (fixed value).
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -25,26 +25,27 @@ def base32(hexed: Column) -> Column:
     return F.concat(*letters)
 
 
+def _rows(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> DataFrame:
+    rows = pages.select(
+        F.col(id_col).cast("long").alias("page_id"),
+        F.col(url_col).alias("url"),
+        F.coalesce(F.col(payload_col), F.lit("")).alias("payload"),
+    )
+    return rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("sha1", F.sha1("payload"))
+
+
 def resolve(pages: DataFrame, *, id_col="page_id", url_col="url", payload_col="html", min_bytes: int = 0) -> DataFrame:
     """(page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to, refers_url).
 
     Of records with equal payloads of at least ``min_bytes`` bytes, the one with the largest id is the
     response and the others revisit it; smaller ones are all responses. Headers are summed by digest
-    (one row a digest and task), then every record is joined to its digest's original; Spark splits a
+    (one row a digest and task) and written, then every record is joined to its digest's original; Spark can split a
     digest that many records share. Null payload: empty. Null id: smallest. Rows that repeat an id and a payload are all
     what that id is; of their urls the largest is referred to. Empty table: no rows. Extra columns are left out.
+    Every payload moves once; ``records`` leaves out those of revisits.
     """
-    rows = pages.select(
-        F.col(id_col).cast("long").alias("page_id"),
-        F.col(url_col).alias("url"),
-        F.coalesce(F.col(payload_col), F.lit("")).alias("payload"),
-    )
-    rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("sha1", F.sha1("payload"))
-    originals = (
-        rows.filter(F.col("payload_bytes") >= min_bytes)
-        .groupBy("sha1")
-        .agg(F.max(F.struct("page_id", "url")).alias("original"))
-    )
+    rows = _rows(pages, id_col, url_col, payload_col)
+    originals = saved(rows.filter(F.col("payload_bytes") >= min_bytes).groupBy("sha1").agg(F.max(F.struct("page_id", "url")).alias("original")), "warc-originals")
     revisits = F.col("original").isNotNull() & ~F.col("original.page_id").eqNullSafe(F.col("page_id"))
     return (
         rows.join(originals, "sha1", "left")
@@ -56,6 +57,40 @@ def resolve(pages: DataFrame, *, id_col="page_id", url_col="url", payload_col="h
     )
 
 
+def records(pages: DataFrame, *, id_col="page_id", url_col="url", payload_col="html", min_bytes: int = 0) -> DataFrame:
+    """The records of ``resolve`` as they are archived: revisits have no payload (null).
+
+    Headers are written once and summed by digest; revisits come from joining them to their digest's original, a written table, so that Spark can split a digest that
+    many records share. A payload moves only in the sum by digest, where a task sends one of each.
+    Very long payloads pass whole; a task holds one of each of its digests while it sums, which spills.
+    """
+    rows = _rows(pages, id_col, url_col, payload_col)
+    shared = F.col("payload_bytes") >= min_bytes
+    heads = saved(rows.select("page_id", "url", "payload_bytes", "sha1"), "warc-heads").filter(shared)
+    originals = saved(heads.groupBy("sha1").agg(F.max(F.struct("page_id", "url")).alias("original")), "warc-originals")
+    met = heads.join(originals, "sha1")
+    first = F.col("original.page_id").eqNullSafe(F.col("page_id"))
+    sums = rows.filter(shared).groupBy("sha1").agg(F.max(F.struct("page_id", "url")).alias("original"), F.first("payload").alias("payload"), F.first("payload_bytes").alias("payload_bytes"))
+
+    def record(df: DataFrame, page_id: str, url: str, payload: Column, revisit: bool) -> DataFrame:
+        to = [F.col(f"original.{c}") if revisit else F.lit(None).cast(kind) for c, kind in (("page_id", "long"), ("url", "string"))]
+        return df.select(
+            F.col(page_id).alias("page_id"), F.col(url).alias("url"), payload.alias("payload"), "payload_bytes", F.lit("revisit" if revisit else "response").alias("record_type"),
+            to[0].alias("refers_to"), to[1].alias("refers_url"), base32(F.col("sha1")).alias("payload_digest"),
+        )
+
+    out = record(sums, "original.page_id", "original.url", F.col("payload"), False)
+    out = out.union(record(met.filter(~first), "page_id", "url", F.lit(None).cast("string"), True))
+    same = met.filter(first).groupBy("sha1", "page_id", "url", "payload_bytes").agg((F.count("*") - F.max(F.col("original.url").eqNullSafe(F.col("url")).cast("int"))).alias("n")).filter("n > 0")
+    same = saved(same, "warc-same")
+    if not same.isEmpty():
+        each = same.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).join(sums.select("sha1", "payload"), "sha1")
+        out = out.union(record(each, "page_id", "url", F.col("payload"), False))
+    if min_bytes > 0:
+        out = out.union(record(rows.filter(~shared), "page_id", "url", F.col("payload"), False))
+    return out
+
+
 def _uri(page_id: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("none")), F.lit(">"))
 
@@ -141,7 +176,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
-    write_archives(resolve(table(spark, sf_dir, "pages")), path, records_per_file=500)
+    write_archives(records(table(spark, sf_dir, "pages")), path, records_per_file=500)
     return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -512,3 +512,34 @@ def test_redaction_keeps_columns_of_any_name(spark):
     docs = spark.createDataFrame([(1, "write to a.b@c.de now", "p", 3)], "doc_id long, text string, `pii base` string, `pii spans` int")
     assert [tuple(r) for r in pii.redacted(docs).collect()] == [(1, "write to [EMAIL] now", "p", 3)]
     assert pii.find(docs).select("doc_id", F.size("pii base")).first()[1] == 1
+
+
+def test_a_frequent_payload_is_split_and_moves_once_a_task(spark):
+    """Nine rows in ten have one payload: the join of headers to originals is split, and payloads pass one exchange, after a sum by task."""
+    low = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in low}
+    for k, v in low.items():
+        spark.conf.set(k, v)
+    try:
+        pages = spark.range(40_000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 10 < 9, "same").otherwise(F.col("id").cast("string")).alias("html"))
+        out = warc.records(pages.repartition(8))
+        found = out.select("page_id", "record_type", "payload")
+        assert found.filter("record_type = 'revisit'").count() == 35_999
+        done = found.orderBy("page_id")
+        done.collect()
+        plan = done._jdf.queryExecution().executedPlan().toString()
+        assert "skew=true" in plan
+        assert "partial_first(payload" in plan
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_records_are_those_of_resolve(spark):
+    """Without the payloads of revisits; repeated rows of an original are all responses."""
+    rows = [(1, "u1", "same"), (5, "u5", "same"), (5, "u5", "same"), (5, "u4", "same"), (None, "n", None), (4, None, None), (None, "n", "x"), (None, "n", "x"), (7, None, "y"), (7, None, "y"), (8, "u", "long one"), (9, "u", "long one")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for least in (0, 4):
+        key = lambda out: sorted((r.page_id is None, r.page_id or 0, r.url or "", r.payload if r.record_type == "response" else "", r.payload_bytes, r.payload_digest, r.record_type, r.refers_to or 0, r.refers_url or "") for r in out.collect())
+        assert key(warc.records(df, min_bytes=least)) == key(warc.resolve(df, min_bytes=least))
+    assert warc.records(df.filter("false")).count() == 0
