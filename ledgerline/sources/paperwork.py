@@ -160,3 +160,8 @@ def line_decisions(spark: SparkSession, d: str) -> DataFrame:
     how = F.when(k % 17 == 0, "person").otherwise("ai")
     status = F.when(how == "ai", "proposed").when(k % 34 == 0, "refused").otherwise("matched")
     return r.filter((k % 17 == 0) | (k % 13 == 0)).select("sor_no", "page_no", "row_no", (F.col("row_no") % 3 + 1).cast("int").alias("line_no"), how.alias("how"), status.alias("status"))
+
+
+def flat_sql(c: str) -> str:
+    """``functions.text.flat`` in SQL."""
+    return f"regexp_replace(upper(coalesce({c}, '')), '[^0-9A-Z]', '', 'g')"
