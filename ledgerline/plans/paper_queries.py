@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.text import flat
-from ledgerline.operators import grouping, settle
+from ledgerline.operators import grouping, settle, totals
 from ledgerline.sources import paperwork
 from ledgerline.sources.paperwork import headers, lines, pages
 
@@ -14,12 +14,12 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str, *more: str):
+def query(sql: str, *more: str, recursive: bool = False):
     """Registers a query; its SQL may use so, ln and pg, and the further common table expressions."""
 
     def add(f):
         QUERIES[f.__name__] = f
-        SQL[f.__name__] = "WITH " + ",\n".join([paperwork.SQL, *more]) + "\n" + sql
+        SQL[f.__name__] = ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join([paperwork.SQL, *more]) + "\n" + sql
         return f
 
     return add
@@ -98,28 +98,67 @@ def distinct_po_documents(spark, d):
     return settle.distinct_documents(p, "po_no", ["batch_id"], F.col("page_no"))
 
 
+MARKS = "CASE k % 5 WHEN 0 THEN [k // 7 * 10.0, 5.5] WHEN 1 THEN [5.0, k // 7 * 10.0 + 0.5] WHEN 2 THEN [k // 7 * 10.0] END::DOUBLE[]"
+
+
 @query(
-    """SELECT batch_id, po_no AS number, count(*) AS n, CASE WHEN bool_or(coalesce(abs(own_total - head) > 1, false)) THEN 'fail' ELSE 'pass' END AS verdict FROM f GROUP BY 1, 2 HAVING count(*) > 1""",
-    """t AS (SELECT batch_id, page_no, po_no, CASE WHEN NOT cut THEN total END AS own_total FROM pg WHERE po_no IS NOT NULL), f AS (SELECT *, first_value(own_total) OVER (PARTITION BY batch_id, po_no ORDER BY page_no) AS head FROM t)""",
+    """SELECT batch_id, po_no AS number, count(*) AS n, CASE WHEN bool_or(CASE WHEN own_total IS NOT NULL AND head IS NOT NULL THEN abs(own_total - head) > 1
+    ELSE coalesce(len(marks) <> len(head_marks) OR len(list_filter(range(1, len(marks) + 1), lambda i: abs(marks[i] - head_marks[i]) > 1)) > 0, false) END) THEN 'fail' ELSE 'pass' END AS verdict FROM f GROUP BY 1, 2 HAVING count(*) > 1""",
+    f"""t AS (SELECT batch_id, page_no, po_no, CASE WHEN NOT cut THEN total END AS own_total, list_sort({MARKS}) AS marks FROM pg WHERE po_no IS NOT NULL),
+f AS (SELECT *, first_value(own_total) OVER w AS head, first_value(marks) OVER w AS head_marks FROM t WINDOW w AS (PARTITION BY batch_id, po_no ORDER BY page_no))""",
 )
 def same_number_copies(spark, d):
-    return settle.copies(pages(spark, d).select("batch_id", "page_no", "po_no", "cut", "total"), "po_no", ["batch_id"])
+    """Documents of one number in a scan: totals decide whether they are copies, or their rows' amounts."""
+    k, ten = F.col("k"), F.floor(F.col("k") / 7) * 10.0
+    marks = F.when(k % 5 == 0, F.array(ten, F.lit(5.5))).when(k % 5 == 1, F.array(F.lit(5.0), ten + 0.5)).when(k % 5 == 2, F.array(ten))
+    return settle.copies(pages(spark, d).select("batch_id", "page_no", "po_no", "cut", "total", marks.alias("marks")), "po_no", ["batch_id"], marks="marks")
+
+
+def _nearest(got: str, refs: dict[str, str]) -> str:
+    """The name of the nearest reference within the papers' allowance, in SQL."""
+    gaps = ", ".join(f"abs({got} - {v})" for v in refs.values())
+    whens = " ".join(f"WHEN abs({got} - {v}) = least({gaps}) THEN '{k}'" for k, v in refs.items())
+    return f"CASE WHEN least({gaps})::DOUBLE <= n * 1000 + 0.005 THEN CASE {whens} END END"
+
+
+def _settled(name: str, source: str, num: str, printed: str, asked: str, second: str, refs: dict[str, str]) -> tuple[str, str]:
+    sums = f"""{name}_r AS (SELECT sor_no, count(*) AS n, sum({num}) AS got, sum(CASE WHEN NOT {printed} AND {second} IS NOT NULL THEN {second} ELSE {num} END) AS again, bool_and({printed}) AS backed,
+  bool_or(NOT {printed} AND NOT {asked}) AS pending, {', '.join(f'max({v}) AS {v}' for v in refs.values())} FROM {source} GROUP BY 1),
+{name}_h AS (SELECT *, {_nearest('got', refs)} AS h1, {_nearest('again', refs)} AS h2 FROM {name}_r)"""
+    return sums, f"""{name} AS (SELECT sor_no, CASE WHEN h1 IS NOT NULL THEN 'pass' WHEN backed THEN 'fail' WHEN pending THEN 'ask' WHEN h2 IS NOT NULL THEN 'pass' ELSE 'unknown' END AS status,
+  (CASE WHEN h1 IS NULL AND NOT backed AND NOT pending AND h2 IS NOT NULL THEN again ELSE got END)::DOUBLE AS got, CASE WHEN h1 IS NOT NULL THEN h1 WHEN NOT backed AND NOT pending THEN h2 END AS ref FROM {name}_h)"""
+
+
+PAPERS = """pa AS (SELECT own AS sor_no, pg.k, total, cut, printed, asked, second, order_dpp, order_ppn, (order_dpp + order_ppn)::DECIMAL(18,2) AS order_total,
+  (CASE pg.k % 10 WHEN 3 THEN order_ppn + 3000 WHEN 4 THEN NULL ELSE order_ppn END)::DECIMAL(18,2) AS ppn, pg.k % 33 = 1 AS ppn_cut FROM pg JOIN so ON so.k = pg.k WHERE doc_type = 'PO' OR doc_type = 'TTG' AND pg.k % 10 = 3),
+fl AS (SELECT sor_no, bool_and(total IS NOT NULL AND NOT cut) AS usable, bool_and(ppn IS NOT NULL AND NOT ppn_cut) AS taxed, bool_or(total IS NULL AND NOT asked) AS open FROM pa GROUP BY 1),
+us AS (SELECT pa.* FROM pa JOIN fl USING (sor_no) WHERE usable), ux AS (SELECT pa.* FROM pa JOIN fl USING (sor_no) WHERE usable AND taxed),
+pl AS (SELECT sor_no, row_number() OVER (PARTITION BY sor_no ORDER BY page_no, row_no, pos) - 1 AS k, a FROM
+  (SELECT sor_no, page_no, row_no, pos, CASE pos WHEN 0 THEN round(price::DOUBLE, 2) ELSE amount END AS a FROM pr JOIN fl USING (sor_no), range(2) AS y(pos) WHERE NOT usable AND doc_type = 'PO') WHERE a IS NOT NULL),
+wn AS (SELECT sor_no, row_number() OVER (PARTITION BY sor_no ORDER BY line_no) AS i, line_no, line_amount::DOUBLE AS net, round(line_amount::DOUBLE + coalesce(vat::DOUBLE, 0), 2) AS gross FROM ln JOIN fl USING (sor_no) WHERE NOT usable AND line_amount > 0),
+pool AS (SELECT sor_no, list({'k': k, 'a': a} ORDER BY k) AS p FROM pl GROUP BY 1),
+g AS (SELECT DISTINCT wn.sor_no, 0::BIGINT AS i, coalesce(p, []) AS p, 0::BIGINT AS missing, NULL::DOUBLE AS gap FROM wn LEFT JOIN pool USING (sor_no)
+  UNION ALL SELECT sor_no, i, CASE WHEN b.d <= 1000.005::DOUBLE THEN list_filter(p, lambda x: x.k <> b.k) ELSE p END, missing + CASE WHEN coalesce(b.d <= 1000.005::DOUBLE, false) THEN 0 ELSE 1 END, CASE WHEN b IS NULL THEN gap ELSE greatest(gap, b.d) END
+  FROM (SELECT g.sor_no, wn.i, g.p, g.missing, g.gap, list_min(list_transform(g.p, lambda x: {'d': least(abs(x.a - wn.net), abs(x.a - wn.gross)), 'k': x.k})) AS b FROM g JOIN wn ON wn.sor_no = g.sor_no AND wn.i = g.i + 1)),
+lm AS (SELECT sor_no, max(missing) AS missing, round(max(gap), 2) AS gap FROM g GROUP BY 1)"""
+_TOTAL, _TAX = _settled("st", "us", "total", "printed", "asked", "second", {"order_dpp": "order_dpp", "order_total": "order_total"}), _settled("tx", "ux", "ppn", "printed", "asked", "NULL::DECIMAL(18,2)", {"order_ppn": "order_ppn"})
 
 
 @query(
-    """SELECT sor_no, CASE WHEN h1 IS NOT NULL THEN 'pass' WHEN backed THEN 'fail' WHEN pending THEN 'ask' WHEN h2 IS NOT NULL THEN 'pass' ELSE 'unknown' END AS status,
-  (CASE WHEN h1 IS NULL AND NOT backed AND NOT pending AND h2 IS NOT NULL THEN again ELSE got END)::DOUBLE AS got, CASE WHEN h1 IS NOT NULL THEN h1 WHEN NOT backed AND NOT pending THEN h2 END AS ref FROM h""",
-    """r AS (SELECT own AS sor_no, count(*) AS n, sum(total) AS got, sum(CASE WHEN NOT printed AND second IS NOT NULL THEN second ELSE total END) AS again, bool_and(printed) AS backed,
-  bool_or(NOT printed AND NOT asked) AS pending, max(order_dpp + order_ppn)::DECIMAL(18,2) AS order_total, max(order_dpp) AS order_dpp FROM pg JOIN so ON so.k = pg.k WHERE doc_type = 'PO' AND total IS NOT NULL AND NOT cut GROUP BY 1)""",
-    """h AS (SELECT *, CASE WHEN least(abs(got - order_dpp), abs(got - order_total))::DOUBLE <= n * 1000 + 0.005 THEN CASE WHEN abs(got - order_dpp) <= abs(got - order_total) THEN 'order_dpp' ELSE 'order_total' END END AS h1,
-  CASE WHEN least(abs(again - order_dpp), abs(again - order_total))::DOUBLE <= n * 1000 + 0.005 THEN CASE WHEN abs(again - order_dpp) <= abs(again - order_total) THEN 'order_dpp' ELSE 'order_total' END END AS h2 FROM r)""",
+    """SELECT sor_no, CASE WHEN st.status = 'pass' AND coalesce(tx.status <> 'pass', false) THEN tx.status ELSE st.status END AS status, CASE WHEN st.status = 'pass' AND coalesce(tx.status <> 'pass', false) THEN 'tax' ELSE 'total' END AS by,
+  st.got, st.ref, NULL::INTEGER AS n_missing, NULL::DOUBLE AS gap FROM st LEFT JOIN tx USING (sor_no)
+UNION ALL SELECT sor_no, CASE WHEN coalesce(missing, 0) = 0 THEN 'pass' WHEN open THEN 'ask' ELSE 'unknown' END, 'rows', NULL, NULL, coalesce(missing, 0)::INTEGER, gap FROM fl LEFT JOIN lm USING (sor_no) WHERE NOT usable""",
+    paperwork.ROWS_SQL, PAPERS, *_TOTAL, *_TAX, recursive=True,
 )
 def order_side_totals(spark, d):
-    """Purchase orders' totals against the order's total or its base before tax; which one they are is the meaning."""
-    so = headers(spark, d).select("k", "order_dpp", (F.col("order_dpp") + F.col("order_ppn")).cast("decimal(18,2)").alias("order_total"))
-    reads = pages(spark, d).filter("doc_type = 'PO' and total is not null and not cut").join(so, "k")
-    reads = reads.select(F.col("own").alias("sor_no"), F.col("total").alias("num"), "printed", "asked", "second", "order_dpp", "order_total")
-    return settle.settle(reads, ["sor_no"], ["order_dpp", "order_total"])
+    """Purchase papers against the order: totals and tax where every paper's total can be used, else the rows' amounts."""
+    so = headers(spark, d).select("k", "sor_no", "order_dpp", "order_ppn", (F.col("order_dpp") + F.col("order_ppn")).cast("decimal(18,2)").alias("order_total"))
+    k = F.col("k")
+    docs = pages(spark, d).filter((F.col("doc_type") == "PO") | ((F.col("doc_type") == "TTG") & (k % 10 == 3))).join(so.select("k", "order_ppn"), "k")
+    tax = F.when(k % 10 == 3, F.col("order_ppn") + 3000).when(k % 10 == 4, None).otherwise(F.col("order_ppn")).cast("decimal(18,2)")
+    docs = docs.select(F.col("own").alias("sor_no"), "total", "cut", "printed", "asked", "second", tax.alias("ppn"), (k % 33 == 1).alias("ppn_cut"), F.col("printed").alias("ppn_printed"), F.col("asked").alias("ppn_asked"), F.lit(None).cast("decimal(18,2)").alias("ppn_second"))
+    rows = paperwork.printed_rows(spark, d).filter("doc_type = 'PO'").select("sor_no", "page_no", "row_no", F.array(F.col("price").cast("double"), "amount").alias("amounts"))
+    return totals.order_side(docs, rows, so, lines(spark, d))
 
 
 @query(
@@ -196,21 +235,40 @@ def orders_by_numbers(spark, d):
     return headers(spark, d).join(wanted, "cpo_no", "left_semi").select("sor_no", "customer_code", "tgl_so")
 
 
+#: What an error says, by cause, in the order in which causes are told; a text of STOPPED at its start is of no cause.
+STOPPED = "Stopped on purpose"
+CAUSES = {
+    "setting": [r"HTTP 400\b", r"HTTP 401\b", r"HTTP 403\b", r"HTTP 404\b", "refused the API key", "no API key", "NotSet", "isn't set", "no model"],
+    "connection": ["(?i)connect", "(?i)ssl", "(?i)timeout", "(?i)timed out", "(?i)eof", r"(?i)HTTP 5\d\d", "(?i)unavailable after retries"],
+    "answer": ["JSONDecodeError", "no JSON", "not an option number", "garbled"],
+}
+_quoted = lambda p: p.replace("'", "''")
+CAUSE_SQL = f"CASE WHEN starts_with(coalesce(e, ''), '{STOPPED}') THEN 'other' " + " ".join(f"WHEN regexp_matches(coalesce(e, ''), '{_quoted(p)}') THEN '{cause}'" for cause, ps in CAUSES.items() for p in ps) + " ELSE 'other' END"
+
+
 @query(
-    """SELECT batch_id, page_no, CASE WHEN status IN ('dead_letter', 'failed') THEN 'crashed' WHEN status = 'read' AND extract_status = 'failed' THEN 'call_failed' END AS stuck,
-  CASE WHEN error LIKE 'Stopped on purpose%' THEN 'other' WHEN regexp_matches(error, 'HTTP (400|401|403|404)\\b') THEN 'setting' WHEN regexp_matches(error, '(?i)connect|ssl|timeout|timed out|eof|HTTP 5\\d\\d') THEN 'connection'
-  WHEN regexp_matches(error, 'JSONDecodeError|no JSON|garbled') THEN 'answer' WHEN error IS NOT NULL THEN 'other' END AS cause,
-  CASE WHEN strpos(error, ':') BETWEEN 1 AND 41 THEN split_part(error, ':', 1) WHEN strpos(error, ':') = 0 AND length(error) <= 40 THEN error ELSE left(error, 40) END AS short FROM pg"""
+    f"""SELECT batch_id, page_no, CASE WHEN status IN ('dead_letter', 'failed') THEN 'crashed' WHEN status = 'read' AND (extract_status = 'failed' OR contains(coalesce(waits, ''), 'the call failed')) THEN 'call_failed' END AS stuck,
+  batch_id % 12 = 5 AS stopped, {CAUSE_SQL} AS cause, CASE WHEN strpos(e, ':') BETWEEN 1 AND 41 THEN split_part(e, ':', 1) WHEN strpos(e, ':') = 0 AND length(e) <= 40 THEN e ELSE left(e, 40) END AS short FROM ew""",
+    """er AS (SELECT *, CASE k % 27 WHEN 9 THEN 'the provider refused the API key' WHEN 10 THEN 'unavailable after retries' WHEN 11 THEN 'not an option number: 7' WHEN 12 THEN 'NotSet: no model' WHEN 13 THEN NULL ELSE error END AS err,
+  CASE k % 5 WHEN 0 THEN 'the call failed (HTTP 503)' WHEN 1 THEN 'later' END AS waits FROM pg)""",
+    """ew AS (SELECT *, coalesce(err, CASE WHEN extract_status = 'failed' THEN 'garbled answer' END, waits) AS e FROM er)""",
 )
 def stuck_pages(spark, d):
-    e, s = F.col("error"), F.col("status")
-    stuck = F.when(s.isin("dead_letter", "failed"), "crashed").when((s == "read") & (F.col("extract_status") == "failed"), "call_failed")
-    cause = (
-        F.when(F.startswith(e, F.lit("Stopped on purpose")), "other").when(e.rlike(r"HTTP (400|401|403|404)\b"), "setting").when(e.rlike(r"(?i)connect|ssl|timeout|timed out|eof|HTTP 5\d\d"), "connection")
-        .when(e.rlike("JSONDecodeError|no JSON|garbled"), "answer").when(e.isNotNull(), "other")
-    )
-    head = F.substring_index(e, ":", 1)
-    return pages(spark, d).select("batch_id", "page_no", stuck.alias("stuck"), cause.alias("cause"), F.when(F.length(head) <= 40, head).otherwise(F.left(e, F.lit(40))).alias("short"))
+    """Pages that crashed, or whose call, or call to look again, failed; whether their file was stopped on purpose, in which case they aren't stuck; and the cause that the error tells, other if none."""
+    k = F.col("k")
+    err = F.when(k % 27 == 9, "the provider refused the API key").when(k % 27 == 10, "unavailable after retries").when(k % 27 == 11, "not an option number: 7").when(k % 27 == 12, "NotSet: no model").when(k % 27 == 13, None).otherwise(F.col("error"))
+    p = pages(spark, d).withColumn("waits", F.when(k % 5 == 0, "the call failed (HTTP 503)").when(k % 5 == 1, "later")).withColumn("err", err)
+    p = p.withColumn("e", F.coalesce("err", F.when(F.col("extract_status") == "failed", "garbled answer"), "waits"))
+    e, s = F.coalesce("e", F.lit("")), F.col("status")
+    call = (F.col("extract_status") == "failed") | F.contains(F.coalesce("waits", F.lit("")), F.lit("the call failed"))
+    stuck = F.when(s.isin("dead_letter", "failed"), "crashed").when((s == "read") & call, "call_failed")
+    cause = F.when(F.startswith(e, F.lit(STOPPED)), "other")
+    for name, phrases in CAUSES.items():
+        for phrase in phrases:
+            cause = cause.when(e.rlike(phrase), name)
+    head = F.substring_index("e", ":", 1)
+    short = F.when(F.length(head) <= 40, head).otherwise(F.left("e", F.lit(40)))
+    return p.select("batch_id", "page_no", stuck.alias("stuck"), (F.col("batch_id") % 12 == 5).alias("stopped"), cause.otherwise("other").alias("cause"), short.alias("short"))
 
 
 @query(
@@ -346,3 +404,21 @@ def chain_store_names(spark, d):
     so = headers(spark, d).filter("k % 5 = 0 and coalesce(customer_name, '') <> ''").select(chain.alias("chain"), flat(F.col("customer_name")).alias("name"), "sor_no")
     names = F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_set("name")), ", "), F.lit("]"))
     return so.groupBy("chain").agg(names.alias("names"), F.count_distinct("sor_no").alias("n"))
+
+
+@query(
+    """SELECT sor_no, name, x.value AS value, x.page_no AS page_no, x.own AS own, asked FROM (SELECT sor_no, name, max({'page_no': page_no, 'own': v.own, 'value': v.value}) FILTER (NOT none AND v IS NOT NULL) AS x, bool_or(asked) AS asked FROM vp GROUP BY 1, 2) WHERE x IS NOT NULL""",
+    """fd AS (SELECT k, sor_no, k AS batch_id, p AS page_no, name, CASE name WHEN 'total' THEN CASE WHEN (k + p) % 4 = 0 THEN NULL WHEN (k + p) % 4 = 1 THEN '' WHEN (k + p) % 9 = 2 THEN '(not printed)' ELSE (k * 10 + p)::VARCHAR END ELSE CASE WHEN (k + p) % 3 = 0 THEN 'n' || (k + p) END END AS value,
+  p = 1 OR k % 5 = 0 AS own, (k + p) % 7 < 3 AS asked FROM so, range(1, 4) AS x(p), (VALUES ('total'), ('number')) AS y(name))""",
+    """vp AS (SELECT sor_no, name, page_no, bool_or(own AND value = '(not printed)') FILTER (value <> '') AS none, max({'own': own, 'value': value}) FILTER (value <> '') AS v, bool_or(page_no = 1 AND asked) AS asked FROM fd WHERE page_no <= 2 + k % 2 GROUP BY 1, 2, 3)""",
+)
+def paper_values(spark, d):
+    """Each paper's total and number as read, from its last page that has one; a page that prints none, as a person said, is passed over."""
+    so = headers(spark, d).select("k", "sor_no")
+    spans = so.select("sor_no", F.col("k").alias("batch_id"), F.lit(1).alias("page_from"), (F.col("k") % 2 + 2).cast("int").alias("page_to"))
+    f = so.withColumn("page_no", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).withColumn("name", F.explode(F.array(F.lit("total"), F.lit("number"))))
+    at = F.col("k") + F.col("page_no")
+    total = F.when(at % 4 == 0, None).when(at % 4 == 1, "").when(at % 9 == 2, "(not printed)").otherwise((F.col("k") * 10 + F.col("page_no")).cast("string"))
+    value = F.when(F.col("name") == "total", total).when(at % 3 == 0, F.concat(F.lit("n"), at.cast("string")))
+    fields = f.select(F.col("k").alias("batch_id"), "page_no", "name", value.alias("value"), ((F.col("page_no") == 1) | (F.col("k") % 5 == 0)).alias("own"), (at % 7 < 3).alias("asked"))
+    return totals.last_read(spans, fields, ["sor_no"])
