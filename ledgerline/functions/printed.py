@@ -94,6 +94,13 @@ def alternatives(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.array_remove(F.array_distinct(found), text)).otherwise(F.array().cast("array<string>"))
 
 
+def other_mark(text: Column) -> Column:
+    """The text with its last mark read as the other one, comma for dot or dot for comma; none without a mark."""
+    at = F.length(text) - F.length(F.regexp_extract(text, "[.,]([^.,]*)$", 1))
+    swapped = F.concat(F.substring(text, F.lit(1), at - 1), F.translate(F.substring(text, at, F.lit(1)), ".,", ",."), F.substring(text, at + 1, F.length(text)))
+    return F.when(F.rlike(text, F.lit("[.,]")), F.array(swapped)).otherwise(F.array().cast("array<string>"))
+
+
 def trigrams(text: Column) -> Column:
     """The distinct three-character pieces of a text with two blanks before and one after, lower case."""
     padded = F.concat(F.lit("  "), F.lower(text), F.lit(" "))

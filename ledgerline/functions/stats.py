@@ -6,38 +6,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Ranges that values or times are dealt by.
-RANGES = 256
-
-
-def range_of(df: DataFrame, by: Column) -> Column:
-    """The range, from 0, that a row's ``by``, a number, falls in; RANGES ranges of about as many rows. Their limits are drawn once, from all rows, and are
-    part of the plan, so every use of it deals alike. Nulls come first."""
-    limits = df.select(F.percentile_approx(by.cast("double"), [i / RANGES for i in range(1, RANGES)], 10_000).alias("q")).first().q
-    limits = sorted({float(x) for x in limits or []})
-    if not limits:
-        return F.lit(0)
-    return F.coalesce(F.size(F.filter(F.array(*map(F.lit, limits)), lambda x: x < by.cast("double"))), F.lit(0))
-
-
 def ranked_values(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
     """(keys, n, one column a name of ``ranks``): for each group the values that hold given places among its values in order.
 
     ``ranks`` gives places from 1, as columns over ``n``, the number of the group's values; nulls are no values. Equal values are counted
-    before anything moves. Values go by ranges, so a group may be of any size: the ranges' sums say which of them holds a place, and within it
-    running counts do. Groups without values are left out; a null key is a group.
+    before anything moves. Counts are written in ranges of key and value, so a group may be of any size: the ranges' sums say which of them holds a place, and only those are
+    looked into. Groups without values are left out; a null key is a group.
     """
-    held = df.filter(F.col(value).isNotNull())
-    counted = held.groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c")).withColumn("part", range_of(held.withColumn("v", F.col(value)), F.col("v")))
-    before = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = counted.groupBy(*keys, "part").agg(F.sum("c").alias("s"))
-    starts = sums.withColumn("before", F.coalesce(F.sum("s").over(before), F.lit(0))).withColumn("n", F.sum("s").over(Window.partitionBy(*keys)))
-    starts = starts.select(*[F.col(k).alias(f"start {k}") for k in keys], F.col("part").alias("start part"), "before", "n")
-    on = F.col("part") == F.col("start part")
+    from ledgerline.operators.written import in_order
+
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    rows = in_order(counted, [*keys, "v"], "ranked-values")
+    runs = rows.groupBy("part", *keys).agg(F.sum("c").alias("s"))  # a row a range, and one more a group
+    group = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("s").over(group.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.withColumn("before", before).withColumn("n", F.sum("s").over(group))
+    inside = lambda r: (r > F.col("before")) & (r <= F.col("before") + F.col("s"))
+    some = F.lit(False)
+    for r in ranks.values():
+        some = some | inside(r)
+    wanted = runs.filter(some).select(*[F.col(k).alias(f"run {k}") for k in keys], F.col("part").alias("run part"), "before", "n")
+    on = F.col("part") == F.col("run part")
     for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"start {k}"))
+        on = on & F.col(k).eqNullSafe(F.col(f"run {k}"))
     running = Window.partitionBy(*keys, "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = counted.join(starts, on).withColumn("last", F.col("before") + F.sum("c").over(running))
+    placed = rows.join(F.broadcast(wanted), on).withColumn("last", F.col("before") + F.sum("c").over(running))  # at most a range for each place and group
     holds = lambda r: (F.col("last") >= r) & (F.col("last") - F.col("c") < r)
     return placed.groupBy(*keys).agg(F.max("n").alias("n"), *[F.max(F.when(holds(r), F.col("v"))).alias(name) for name, r in ranks.items()])
 

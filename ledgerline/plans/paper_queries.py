@@ -353,9 +353,14 @@ def delivery_side(spark, d):
     return lines(spark, d).groupBy("sor_no").agg(F.sum("cgr_qty").alias("cgr_qty_total"), status.alias("status"), why.alias("why"))
 
 
+CUTS = "list_distinct(list_append([left(s, i - 1) || substr(s, i + 1) for i in range(1, length(s) + 1)], s))"
+
+
 @query(
-    """SELECT so.sor_no, so.cpo_no, CASE WHEN n > 1 THEN 'several' WHEN near > 0 THEN 'one character away' ELSE 'unique' END AS verdict FROM so JOIN (SELECT cpo_no, count(*) AS n FROM so WHERE cpo_no IS NOT NULL GROUP BY 1) u ON u.cpo_no = so.cpo_no
-  JOIN (SELECT a.cpo_no, count(DISTINCT b.cpo_no) AS near FROM (SELECT DISTINCT cpo_no FROM so WHERE k % 64 = 1 AND cpo_no IS NOT NULL) a LEFT JOIN (SELECT DISTINCT cpo_no FROM so) b ON b.cpo_no <> a.cpo_no AND damerau_levenshtein(a.cpo_no, b.cpo_no) <= 2 AND levenshtein(a.cpo_no, b.cpo_no) <= 1 GROUP BY 1) m ON m.cpo_no = so.cpo_no"""
+    """SELECT so.sor_no, so.cpo_no, CASE WHEN n > 1 THEN 'several' WHEN near > 0 THEN 'one character away' ELSE 'unique' END AS verdict FROM so JOIN u ON u.s = so.cpo_no LEFT JOIN m ON m.s = so.cpo_no""",
+    "u AS (SELECT cpo_no AS s, count(*) AS n FROM so WHERE cpo_no IS NOT NULL GROUP BY 1)",
+    f"v AS (SELECT s, unnest({CUTS}) AS v FROM u)",
+    "m AS (SELECT s, count(*) AS near FROM (SELECT DISTINCT a.s AS s, b.s AS t FROM v a JOIN v b ON a.v = b.v AND a.s <> b.s AND levenshtein(a.s, b.s) = 1) GROUP BY 1)",
 )
 def unique_numbers(spark, d):
     """Whether a purchase number names one order: others that share it, or differ by one character, leave it open. Keys
@@ -364,8 +369,7 @@ def unique_numbers(spark, d):
 
     so = headers(spark, d).filter("cpo_no is not null").select("k", "sor_no", "cpo_no")
     shared = so.groupBy("cpo_no").agg(F.count("*").alias("n"))
-    wanted = so.filter("k % 64 = 1").select(F.col("cpo_no").alias("a")).distinct()
-    near = near_join(wanted, shared.select(F.col("cpo_no").alias("b")), "a", "b").groupBy(F.col("a").alias("cpo_no")).agg(F.count_if(F.col("edits") > 0).alias("near"))
+    near = near_join(shared.select(F.col("cpo_no").alias("a")), shared.select(F.col("cpo_no").alias("b")), "a", "b").groupBy(F.col("a").alias("cpo_no")).agg(F.count_if(F.col("edits") > 0).alias("near"))
     verdict = F.when(F.col("n") > 1, "several").when(F.col("near") > 0, "one character away").otherwise("unique")
     return so.join(shared, "cpo_no").join(near, "cpo_no").select("sor_no", "cpo_no", verdict.alias("verdict"))
 
@@ -395,15 +399,15 @@ def publish_order(spark, d):
 
 
 @query(
-    """SELECT chain, list(DISTINCT name ORDER BY name)::VARCHAR AS names, count(DISTINCT sor_no) AS n FROM (SELECT CASE WHEN customer_parent <> '' THEN customer_parent ELSE customer_code END AS chain,
-  regexp_replace(upper(customer_name), '[^A-Z0-9]', '', 'g') AS name, sor_no FROM so WHERE coalesce(customer_name, '') <> '' AND k % 5 = 0) GROUP BY 1"""
+    """SELECT chain, name, count(DISTINCT sor_no) AS n, count(*) OVER (PARTITION BY chain) AS names FROM (SELECT CASE WHEN customer_parent <> '' THEN customer_parent ELSE customer_code END AS chain,
+  regexp_replace(upper(customer_name), '[^A-Z0-9]', '', 'g') AS name, sor_no FROM so WHERE coalesce(customer_name, '') <> '') GROUP BY 1, 2"""
 )
 def chain_store_names(spark, d):
-    """Each chain's store names in letters and digits, names without any left out; a chain has a bounded number of stores."""
+    """Each chain's store names in letters and digits, a row a name, with its orders and how many names the chain has; orders without a name left out."""
     chain = F.coalesce(F.nullif("customer_parent", F.lit("")), "customer_code")
-    so = headers(spark, d).filter("k % 5 = 0 and coalesce(customer_name, '') <> ''").select(chain.alias("chain"), flat(F.col("customer_name")).alias("name"), "sor_no")
-    names = F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_set("name")), ", "), F.lit("]"))
-    return so.groupBy("chain").agg(names.alias("names"), F.count_distinct("sor_no").alias("n"))
+    so = headers(spark, d).filter("coalesce(customer_name, '') <> ''").select(chain.alias("chain"), flat(F.col("customer_name")).alias("name"), "sor_no")
+    each = so.groupBy("chain", "name").agg(F.count_distinct("sor_no").alias("n"))
+    return each.join(each.groupBy("chain").agg(F.count("*").alias("names")), "chain").select("chain", "name", "n", "names")
 
 
 @query(

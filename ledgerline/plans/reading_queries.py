@@ -71,7 +71,7 @@ def named_days(spark, d):
 
 
 @query("""WITH so AS (SELECT c_custkey, lpad((c_custkey * 7919)::VARCHAR, 10, '0') AS k FROM customer),
-v AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN lpad((p_partkey * 7919)::VARCHAR, 10, '0') WHEN 1 THEN lpad((p_partkey * 7919 + 11)::VARCHAR, 10, '0') ELSE '12' || lpad((p_partkey * 7919)::VARCHAR, 10, '0') END AS v FROM part WHERE p_partkey % 10 < 3),
+v AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN lpad((p_partkey * 7919)::VARCHAR, 10, '0') WHEN 1 THEN lpad((p_partkey * 7919 + 11)::VARCHAR, 10, '0') ELSE '12' || lpad((p_partkey * 7919)::VARCHAR, 10, '0') END AS v FROM part),
 c AS (SELECT p_partkey, c_custkey, CASE WHEN k = v THEN 0 WHEN length(v) >= 8 AND contains(k, v) OR length(k) >= 8 AND contains(v, k) THEN 1 WHEN abs(length(k) - length(v)) <= 1 AND levenshtein(k, v) <= 1 THEN 2 END AS how,
   CASE WHEN k = v THEN 0 WHEN contains(k, v) OR contains(v, k) THEN abs(length(k) - length(v)) ELSE levenshtein(k, v) END AS far FROM v, so),
 r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY how, far, c_custkey) AS place FROM c WHERE how IS NOT NULL)
@@ -84,7 +84,7 @@ def closest_keys_top5(spark, d):
     padded = lambda c: F.lpad(c.cast("string"), 10, "0")
     so = table(spark, d, "customer").select("c_custkey", padded(F.col("c_custkey") * 7919).alias("k"))
     p = F.col("p_partkey")
-    v = table(spark, d, "part").filter(p % 10 < 3).select("p_partkey", F.when(p % 3 == 0, padded(p * 7919)).when(p % 3 == 1, padded(p * 7919 + 11)).otherwise(F.concat(F.lit("12"), padded(p * 7919))).alias("v"))
+    v = table(spark, d, "part").select("p_partkey", F.when(p % 3 == 0, padded(p * 7919)).when(p % 3 == 1, padded(p * 7919 + 11)).otherwise(F.concat(F.lit("12"), padded(p * 7919))).alias("v"))
     pieces = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("v") - 9), lambda i: F.substring("v", i, F.lit(10)))))
     inside = v.select("p_partkey", "v", pieces.alias("k")).join(so, "k")
     near = near_join(v, so, "v", "k").select("p_partkey", "v", "k", "c_custkey")
@@ -108,19 +108,27 @@ def misread_forms(spark, d):
     return s.select("s_suppkey", F.explode(printed.alternatives(F.col("t"))).alias("v"))
 
 
-@query(f"""WITH {paperwork.SQL}, q AS (SELECT k, customer_code, order_dpp, replace(replace(replace(format('{{:,.2f}}', order_dpp::DOUBLE), ',', '_'), '.', ','), '_', '.') AS t FROM so WHERE order_dpp IS NOT NULL AND k % 8 = 2),
+#: ``functions.text.amount`` of v in SQL, to the hundredth.
+AMOUNT = """SELECT k, round(digits::DOUBLE / pow(10.0, CASE WHEN length(marks) = 0 OR thousands THEN 0 ELSE length(tail) END), 2)::DECIMAL(18,2) AS a FROM (SELECT *, NOT (contains(marks, '.') AND contains(marks, ',')) AND (length(marks) > 1 OR length(tail) = 3) AS thousands
+  FROM (SELECT k, regexp_replace(kept, '[0-9]', '', 'g') AS marks, regexp_replace(kept, '[.,]', '', 'g') AS digits, regexp_extract(kept, '[.,]([0-9]*)$', 1) AS tail
+    FROM (SELECT k, regexp_replace(regexp_replace(v, '[^0-9.,]', '', 'g'), '^[.,]+|[.,]+$', '', 'g') AS kept FROM a))) WHERE digits <> ''"""
+
+
+@query(f"""WITH {paperwork.SQL}, q AS (SELECT k, customer_code, order_dpp, replace(replace(replace(format('{{:,.2f}}', order_dpp::DOUBLE), ',', '_'), '.', CASE WHEN k % 7 = 3 THEN '.' ELSE ',' END), '_', '.') AS t FROM so WHERE order_dpp IS NOT NULL),
 i AS (SELECT k, t, unnest(range(1, length(t) + 1)) AS i FROM q),
 a AS (SELECT k, t AS v FROM q UNION SELECT k, left(t, i - 1) || unnest({SWAPS}[upper(t[i])]) || substr(t, i + 1) FROM i UNION SELECT k, left(t, i - 1) || substr(t, i + 1) FROM i WHERE t[i] BETWEEN '0' AND '9'
-  UNION SELECT k, left(t, i) || substr(t, i) FROM i WHERE t[i] BETWEEN '0' AND '9'),
-c AS (SELECT DISTINCT a.k, so.k AS other, so.customer_code = q.customer_code AS agrees FROM a JOIN q ON q.k = a.k JOIN so ON printf('%.2f', so.order_dpp::DOUBLE) = regexp_replace(replace(replace(v, '.', ''), ',', '.'), '^0+([0-9])', '\\1')
-  WHERE regexp_full_match(v, '[0-9]{{1,3}}(\\.[0-9]{{3}})*,[0-9]{{2}}'))
+  UNION SELECT k, left(t, i) || substr(t, i) FROM i WHERE t[i] BETWEEN '0' AND '9' UNION SELECT k, left(t, -3) || CASE t[-3] WHEN '.' THEN ',' ELSE '.' END || right(t, 2) FROM q WHERE t[-3] IN ('.', ',')),
+am AS (SELECT DISTINCT k, a FROM ({AMOUNT})),
+c AS (SELECT am.k, so.k AS other, so.customer_code = q.customer_code AS agrees FROM am JOIN q ON q.k = am.k JOIN so ON so.order_dpp = am.a)
 SELECT k, count(*) AS candidates, CASE WHEN count(*) FILTER (agrees) = 1 AND (count(*) = 1 OR count(*) FILTER (NOT agrees) > 0) THEN min(other) FILTER (agrees) END AS chosen FROM c GROUP BY 1""")
 def confusable_totals(spark, d):
-    """The one order whose total a printed total can be, as read or one misreading away, and whose customer agrees as no other candidate's does. Misreadings
+    """The one order whose total a printed total can be, as read, one misreading away, or with its decimal mark read as the other one, and whose customer agrees as no other candidate's does. Misreadings
     become rows and meet orders by equality of the amount."""
     so = headers(spark, d).filter("order_dpp is not null").select("k", "customer_code", "order_dpp")
-    q = so.filter("k % 8 = 2").select("k", F.col("customer_code").alias("own"), dots(F.col("order_dpp").cast("double")).alias("t"))
-    forms = q.select("k", "own", F.explode(F.array_append(printed.alternatives(F.col("t")), F.col("t"))).alias("v")).filter(F.rlike("v", F.lit(r"^[0-9]{1,3}(\.[0-9]{3})*,[0-9]{2}$")))
+    spelt = dots(F.col("order_dpp").cast("double"))
+    misread = F.when(F.col("k") % 7 == 3, F.concat(F.expr("left(t, length(t) - 3)"), F.lit("."), F.right("t", F.lit(2)))).otherwise(F.col("t"))
+    q = so.select("k", F.col("customer_code").alias("own"), spelt.alias("t")).withColumn("t", misread)
+    forms = q.select("k", "own", F.explode(F.concat(printed.alternatives(F.col("t")), printed.other_mark(F.col("t")), F.array("t"))).alias("v"))
     met = forms.select("k", "own", amount(F.col("v")).cast("decimal(18,2)").alias("order_dpp")).distinct().join(so.select(F.col("k").alias("other"), "customer_code", "order_dpp"), "order_dpp")
     agrees = F.col("own") == F.col("customer_code")
     n = F.count_if(agrees)

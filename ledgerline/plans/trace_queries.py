@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.stats import medians, nearest_rank, ranked_values
-from ledgerline.operators.keys import gap_sessions, latest_per_key
+from ledgerline.operators.keys import gap_sessions, latest_per_key, ranked
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -79,10 +79,11 @@ def latest_event_per_user(spark, d):
 @query("""SELECT event_id, row_number() OVER (PARTITION BY ts::DATE ORDER BY ts, event_id) - 1 AS ahead,
   strftime(ts, 'BATCH-%Y%m%d-') || lpad((row_number() OVER (PARTITION BY ts::DATE ORDER BY ts, event_id))::VARCHAR, 6, '0') AS code FROM events""")
 def queue_position(spark, d):
-    """Place in the day's queue, and a code a day with it."""
-    n = F.row_number().over(Window.partitionBy(F.to_date("ts")).orderBy("ts", "event_id"))
+    """Place in the day's queue, and a code a day with it; a day is in as many tasks as it needs."""
+    e = table(spark, d, "events").select("event_id", "ts", F.to_date("ts").alias("day"))
+    n = F.col("place")
     code = F.concat(F.date_format("ts", "'BATCH-'yyyyMMdd'-'"), F.lpad(n.cast("string"), 6, "0"))
-    return table(spark, d, "events").select("event_id", (n - 1).cast("long").alias("ahead"), code.alias("code"))
+    return ranked(e, ["day"], ["ts", "event_id"], "place").select("event_id", (n - 1).cast("long").alias("ahead"), code.alias("code"))
 
 
 @query("""WITH g AS (SELECT *, coalesce(ts - lag(ts) OVER w > INTERVAL 10 MINUTE, false)::INT AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -260,9 +261,7 @@ def attempt_summary(spark, d):
 @query("SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS ahead FROM events")
 def global_queue_position(spark, d):
     """Place in the whole queue. Rows are placed within ranges of time, and the sums of the ranges before are added: no task has them all."""
-    from ledgerline.operators.keys import global_rank
-
-    return global_rank(table(spark, d, "events").select("ts", "event_id"), ["ts", "event_id"], F.unix_micros(F.col("ts").cast("timestamp")), "place").select("event_id", (F.col("place") - 1).alias("ahead"))
+    return ranked(table(spark, d, "events").select("ts", "event_id"), [], ["ts", "event_id"], "place").select("event_id", (F.col("place") - 1).alias("ahead"))
 
 
 @query("""SELECT c.event_id, p.event_id AS parent, coalesce(c.event_type, p.event_type) AS kind, (epoch_us(c.ts) - epoch_us(p.ts))::BIGINT AS after_us FROM events c JOIN events p ON p.event_id = c.event_id // 10 * 10 WHERE c.event_id % 10 <> 0""")
@@ -274,10 +273,10 @@ def child_spans(spark, d):
     return c.join(p, "parent").select("event_id", "parent", F.coalesce("event_type", "of").alias("kind"), F.timestamp_diff("MICROSECOND", "opened", "ts").alias("after_us"))
 
 
-@query("""SELECT o_orderkey, event_id FROM orders JOIN events ON user_id = o_custkey OR event_id = o_orderkey WHERE o_orderkey % 50 = 1""")
+@query("""SELECT o_orderkey, event_id FROM orders JOIN events ON user_id = o_custkey OR event_id = o_orderkey""")
 def events_of_order(spark, d):
     """The trace of an order by either of two keys: two joins on equality, and their distinct rows."""
-    o = table(spark, d, "orders").filter("o_orderkey % 50 = 1").select("o_orderkey", "o_custkey")
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
     e = table(spark, d, "events").select("event_id", "user_id")
     by_user = o.join(e, F.col("user_id") == F.col("o_custkey")).select("o_orderkey", "event_id")
     by_id = o.join(e, F.col("event_id") == F.col("o_orderkey")).select("o_orderkey", "event_id")
