@@ -49,13 +49,13 @@ def received_state(spark, d):
 DOCS = """st AS (SELECT *, coalesce(type_status IN ('decided', 'labelled'), false) AS ok, lag(page_no) OVER (PARTITION BY batch_id ORDER BY page_no) AS prev FROM pg),
 pt AS (SELECT *, sum((NOT (ok AND doc_type = 'CONTINUATION' AND coalesce(prev = page_no - 1, false)))::INT) OVER (PARTITION BY batch_id ORDER BY page_no) AS part FROM st),
 dc AS (SELECT batch_id, min(page_no) AS page_from, max(page_no) AS page_to, arg_min(doc_type, page_no) AS doc_type, arg_min(struct_pack(v := sor), page_no).v AS sor, arg_min(struct_pack(v := po_no), page_no).v AS po_no,
-  arg_min(struct_pack(v := key_by), page_no).v AS key_by, arg_min(struct_pack(v := CASE WHEN type_status IS NULL THEN 'not_read' WHEN NOT ok THEN 'type_unknown' WHEN doc_type = 'CONTINUATION' THEN 'continuation_without_start'
+  arg_min(struct_pack(v := key_by), page_no).v AS key_by, arg_min(struct_pack(v := bill), page_no).v AS bill, arg_min(struct_pack(v := CASE WHEN type_status IS NULL THEN 'not_read' WHEN NOT ok THEN 'type_unknown' WHEN doc_type = 'CONTINUATION' THEN 'continuation_without_start'
   WHEN doc_type IN ('FP', 'PO', 'TTG', 'FPJ') THEN NULL WHEN doc_type = 'PEL' THEN 'later_stage' ELSE 'not_grouped' END), page_no).v AS hold FROM pt GROUP BY batch_id, part)"""
 
 
 @query("SELECT batch_id, page_from, page_to, doc_type, sor, po_no, key_by, hold FROM dc", DOCS)
 def page_documents(spark, d):
-    return grouping.documents(pages(spark, d))
+    return grouping.documents(pages(spark, d)).drop("bill")
 
 
 @query("SELECT pg.batch_id, pg.page_no, page_from, dc.doc_type FROM pg JOIN dc ON dc.batch_id = pg.batch_id AND pg.page_no BETWEEN page_from AND page_to", DOCS)
@@ -65,22 +65,41 @@ def pages_in_documents(spark, d):
     return grouping.pages_of(docs, p.select("batch_id", "page_no")).select("batch_id", "page_no", "page_from", "doc_type")
 
 
-LINKED = DOCS + """,
-ke AS (SELECT *, CASE WHEN key_by IS NOT NULL THEN sor END AS own, CASE WHEN key_by IS NOT NULL THEN po_no END AS po FROM dc),
-fp AS (SELECT batch_id, own, count(*) AS n_fp FROM ke WHERE hold IS NULL AND doc_type = 'FP' AND own IS NOT NULL GROUP BY ALL),
-hi AS (SELECT batch_id, page_from, count(DISTINCT sor_no) AS n_so, min(sor_no) AS by_po FROM ke JOIN so ON cpo_no = po WHERE hold IS NULL AND doc_type IN ('PO', 'TTG') GROUP BY ALL),
-li AS (SELECT ke.*, n_fp, n_so, by_po, CASE WHEN hold IS NOT NULL THEN hold WHEN doc_type = 'FP' THEN CASE WHEN ke.own IS NULL THEN 'fp_sor_unresolved' WHEN n_fp > 1 THEN 'two_fps_one_sor' END
-  WHEN doc_type = 'FPJ' THEN CASE WHEN ke.own IS NULL THEN 'no_resolved_key' END WHEN n_so > 1 THEN 'po_matches_several_sos' WHEN ke.own IS NULL AND po IS NULL THEN 'no_resolved_key'
-  WHEN ke.own IS NULL AND by_po IS NULL THEN 'so_unknown' WHEN ke.own <> by_po THEN 'keys_disagree' END AS why
-  FROM ke LEFT JOIN fp ON fp.batch_id = ke.batch_id AND fp.own = ke.own LEFT JOIN hi ON hi.batch_id = ke.batch_id AND hi.page_from = ke.page_from),
-ld AS (SELECT batch_id, page_from, page_to, doc_type, CASE WHEN why IS NULL THEN coalesce(own, by_po) END AS order_no, why AS hold FROM li)"""
+LINKED = DOCS + f""",
+ke AS (SELECT *, CASE WHEN key_by IS NOT NULL THEN sor END AS own, CASE WHEN key_by IS NOT NULL THEN po_no END AS po, CASE WHEN key_by IS NOT NULL THEN bill END AS own_bill FROM dc),
+kp AS (SELECT *, list_distinct(list_filter([nullif(regexp_extract(coalesce(own, ''), 'SO[RF][0-9]{{11}}'), ''), nullif(regexp_extract({paperwork.flat_sql('own_bill')}, 'SO[RF][0-9]{{11}}'), '')], lambda x: x IS NOT NULL)) AS os,
+  list_distinct(list_filter([nullif(regexp_extract(regexp_replace({paperwork.flat_sql('own')}, 'SO[RF][0-9]{{11}}', '|'), '(^|[^0-9])([0-9]{{10}})([^0-9]|$)', 2), ''), nullif(regexp_extract(regexp_replace({paperwork.flat_sql('own_bill')}, 'SO[RF][0-9]{{11}}', '|'), '(^|[^0-9])([0-9]{{10}})([^0-9]|$)', 2), '')], lambda x: x IS NOT NULL)) AS bs FROM ke),
+fp AS (SELECT batch_id, own, count(*) AS n_fp, min(po) AS hub FROM ke WHERE hold IS NULL AND doc_type = 'FP' AND own IS NOT NULL GROUP BY ALL),
+nb AS (SELECT NULL::BIGINT AS batch_id, cpo_no AS po, sor_no FROM so WHERE cpo_no IS NOT NULL UNION ALL SELECT batch_id, hub, own FROM fp WHERE n_fp = 1 AND hub IS NOT NULL),
+hi AS (SELECT ke.batch_id, page_from, count(DISTINCT sor_no) AS n_so, min(sor_no) AS by_po FROM ke JOIN nb ON nb.po = ke.po AND (nb.batch_id IS NULL OR nb.batch_id = ke.batch_id) WHERE hold IS NULL AND doc_type IN ('PO', 'TTG') GROUP BY ALL),
+li AS (SELECT kp.*, n_fp, n_so, by_po, CASE WHEN hold IS NOT NULL THEN hold WHEN doc_type = 'FP' THEN CASE WHEN kp.own IS NULL THEN 'fp_sor_unresolved' WHEN n_fp > 1 THEN 'two_fps_one_sor' END
+  WHEN doc_type = 'FPJ' THEN CASE WHEN kp.own IS NULL AND own_bill IS NULL THEN 'no_resolved_key' WHEN len(os) > 1 OR len(bs) > 1 THEN 'keys_disagree' WHEN len(os) = 0 OR len(bs) = 0 THEN 'fpj_needs_both' WHEN r.sor_no IS NULL THEN 'so_unknown'
+    WHEN r.billing_no IS NULL THEN 'needs_sap_billing' WHEN r.billing_no <> bs[1] THEN 'billing_disagrees' END
+  WHEN n_so > 1 THEN 'po_matches_several_sos' WHEN kp.own IS NULL AND po IS NULL THEN 'no_resolved_key' WHEN kp.own IS NULL AND by_po IS NULL THEN 'so_unknown' WHEN kp.own <> by_po THEN 'keys_disagree' END AS why
+  FROM kp LEFT JOIN fp ON fp.batch_id = kp.batch_id AND fp.own = kp.own LEFT JOIN hi ON hi.batch_id = kp.batch_id AND hi.page_from = kp.page_from LEFT JOIN so r ON r.sor_no = os[1] AND len(os) = 1),
+ld AS (SELECT batch_id, page_from, page_to, doc_type, CASE WHEN why IS NULL THEN CASE WHEN doc_type = 'FPJ' THEN os[1] ELSE coalesce(own, by_po) END END AS order_no,
+  CASE WHEN why IS NULL THEN CASE WHEN doc_type = 'FPJ' THEN 'billing_no' WHEN own IS NOT NULL THEN 'sor' ELSE 'po_no' END END AS linked_by, why AS hold, sor, po_no FROM li)"""
 
 
-@query("SELECT * FROM ld", LINKED)
+@query("SELECT * EXCLUDE (sor, po_no) FROM ld", LINKED)
 def grouping_plan(spark, d):
     return grouping.linked(grouping.documents(pages(spark, d)), headers(spark, d))
 
 
+@query(
+    """SELECT a.batch_id, a.page_from, s.order_no AS suggest, s.edits FROM a LEFT JOIN s ON s.batch_id = a.batch_id AND s.page_from = a.page_from""",
+    LINKED,
+    """a AS (SELECT batch_id, page_from, coalesce(sor, '') AS sor, coalesce(po_no, '') AS po FROM ld WHERE hold = 'fp_sor_unresolved'), orph AS (SELECT batch_id, order_no FROM ld WHERE order_no IS NOT NULL GROUP BY ALL HAVING count(*) FILTER (doc_type = 'FP') = 0)""",
+    """di AS (SELECT a.batch_id, a.page_from, order_no, least(CASE WHEN length(a.sor) > 3 THEN levenshtein(a.sor, order_no) ELSE 99 END, CASE WHEN length(a.po) > 3 AND cpo_no IS NOT NULL THEN levenshtein(a.po, cpo_no) ELSE 99 END)::INTEGER AS edits
+  FROM a JOIN orph USING (batch_id) LEFT JOIN so ON so.sor_no = order_no)""",
+    """s AS (SELECT batch_id, page_from, min(order_no) AS order_no, min(edits) AS edits FROM (SELECT *, min(edits) OVER (PARTITION BY batch_id, page_from) AS least FROM di WHERE edits <= 3) WHERE edits = least GROUP BY 1, 2 HAVING count(*) = 1)""",
+)
+def suggested_orders(spark, d):
+    """For invoices whose order number isn't resolved: the order of the scan that has papers but no invoice and is nearest to what was read."""
+    docs, so = grouping.documents(pages(spark, d)), headers(spark, d)
+    return grouping.suggested(docs, grouping.linked(docs, so), so)
+
+
 @query(
     """SELECT order_no, count(*) AS n_documents, count(DISTINCT batch_id) AS n_scans,
   CASE WHEN count(*) FILTER (doc_type = 'FP') = 0 THEN 'fp_missing' WHEN count(*) FILTER (doc_type = 'FP') > 1 THEN 'two_fps_one_sor' END AS hold FROM ld WHERE order_no IS NOT NULL GROUP BY 1""",

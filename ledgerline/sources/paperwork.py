@@ -27,7 +27,8 @@ pg AS (SELECT batch_id, row_number() OVER (PARTITION BY batch_id ORDER BY k, j):
     WHEN k % 6 = 0 THEN 'FPJ' WHEN k % 6 = 1 THEN 'PEL' ELSE 'TTG' END AS doc_type,
   CASE WHEN k % 29 = 0 AND j = 1 THEN NULL WHEN k % 31 = 0 AND j = 2 THEN 'unsure' WHEN k % 2 = 0 THEN 'labelled' ELSE 'decided' END AS type_status,
   CASE WHEN j = 0 AND k % 19 <> 0 THEN CASE WHEN k % 23 = 0 THEN 'SOR' || lpad((k + 1)::VARCHAR, 11, '0') ELSE sor_no END WHEN j = 2 AND k % 4 = 0 THEN sor_no END AS sor,
-  CASE WHEN j > 0 AND k % 17 <> 0 THEN coalesce(cpo_no, '000000000') END AS po_no, CASE WHEN k % 8 = 3 THEN NULL WHEN k % 2 = 0 THEN 'qr' ELSE 'print' END AS key_by,
+  CASE WHEN (j > 0 OR k % 18 = 0) AND k % 17 <> 0 THEN coalesce(cpo_no, CASE WHEN k % 2 = 0 THEN lpad((k + 500000000)::VARCHAR, 9, '0') ELSE '000000000' END) END AS po_no,
+  CASE WHEN j = 2 THEN CASE k % 5 WHEN 0 THEN coalesce(billing_no, '7000000000') || '/' || sor_no WHEN 1 THEN NULL WHEN 2 THEN '7' || lpad(k::VARCHAR, 9, '0') ELSE billing_no END END AS bill, CASE WHEN k % 8 = 3 THEN NULL WHEN k % 2 = 0 THEN 'qr' ELSE 'print' END AS key_by,
   (CASE k % 10 WHEN 0 THEN order_dpp + order_ppn + 500 WHEN 1 THEN order_dpp WHEN 2 THEN order_dpp + order_ppn + 5000 ELSE order_dpp + order_ppn END)::DECIMAL(18,2) AS total,
   k % 3 = 1 AS printed, k % 14 = 0 AS cut, k % 4 < 2 AS asked, CASE WHEN k % 20 = 2 THEN order_dpp + order_ppn END AS second,
   tgl_so + (k % 12 - 2)::INT AS day, tgl_so + 8 AS scan_day, cgr_date, tgl_so,
@@ -93,7 +94,8 @@ def pages(spark: SparkSession, d: str) -> DataFrame:
         F.when(j == 0, first).when(j == 1, F.when(k % 7 == 0, "CONTINUATION").otherwise("PO")).otherwise(third).alias("doc_type"),
         F.when((k % 29 == 0) & (j == 1), None).when((k % 31 == 0) & (j == 2), "unsure").when(k % 2 == 0, "labelled").otherwise("decided").alias("type_status"),
         F.when((j == 0) & (k % 19 != 0), F.when(k % 23 == 0, F.concat(F.lit("SOR"), _padded(k + 1, 11))).otherwise(F.col("sor_no"))).when((j == 2) & (k % 4 == 0), F.col("sor_no")).alias("sor"),
-        F.when((j > 0) & (k % 17 != 0), F.coalesce("cpo_no", F.lit("000000000"))).alias("po_no"), F.when(k % 8 == 3, None).when(k % 2 == 0, "qr").otherwise("print").alias("key_by"),
+        F.when(((j > 0) | (k % 18 == 0)) & (k % 17 != 0), F.coalesce("cpo_no", F.when(k % 2 == 0, _padded(k + 500000000, 9)).otherwise("000000000"))).alias("po_no"),
+        F.when(j == 2, F.when(k % 5 == 0, F.concat(F.coalesce("billing_no", F.lit("7000000000")), F.lit("/"), F.col("sor_no"))).when(k % 5 == 1, None).when(k % 5 == 2, F.concat(F.lit("7"), _padded(k, 9))).otherwise(F.col("billing_no"))).alias("bill"), F.when(k % 8 == 3, None).when(k % 2 == 0, "qr").otherwise("print").alias("key_by"),
         F.when(k % 10 == 0, money + 500).when(k % 10 == 1, F.col("order_dpp")).when(k % 10 == 2, money + 5000).otherwise(money).cast("decimal(18,2)").alias("total"),
         (k % 3 == 1).alias("printed"), (k % 14 == 0).alias("cut"), (k % 4 < 2).alias("asked"), F.when(k % 20 == 2, money).alias("second"),
         F.date_add("tgl_so", (k % 12 - 2).cast("int")).alias("day"), F.date_add("tgl_so", 8).alias("scan_day"), "cgr_date", "tgl_so",
