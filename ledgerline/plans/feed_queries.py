@@ -45,9 +45,10 @@ def _export(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFram
     return head, po, rows
 
 
-def _read(spark, d):
-    head, po, rows = (feed.through_csv(x, _file(spark, name)) for x, name in zip(_export(spark, d), ("head", "po", "rows"), strict=True))
-    return feed.orders(head, po), feed.lines(rows, head), head, po, rows
+def _read(spark, d, *names):
+    """The files asked for, written and read."""
+    made = dict(zip(("head", "po", "rows"), _export(spark, d), strict=True))
+    return [feed.through_csv(made[name], _file(spark, name)) for name in names]
 
 
 CTE = """WITH h AS (SELECT o_orderkey AS k, 'SO' || o_orderkey AS sor_no, o_custkey::VARCHAR AS customer_code, o_orderdate::DATE AS tgl_so, o_totalprice AS total, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderstatus END AS status,
@@ -59,21 +60,21 @@ f AS (SELECT * FROM r WHERE l_orderkey % 25 <> 0), g AS (SELECT * FROM f QUALIFY
 @query(CTE + " SELECT sor_no, customer_code, tgl_so, total, status, cpo_no FROM h")
 def feed_orders(spark, d):
     """Orders of an export: all columns come as text; blanks are nothing, and the number file's last row of an order counts."""
-    return _read(spark, d)[0]
+    return feed.orders(*_read(spark, d, "head", "po"))
 
 
 @query(CTE + """ SELECT 'SO' || l_orderkey AS sor_no, l_linenumber AS line_no, l_quantity AS qty, (l_discount <> 0)::INT + (l_tax > 0.04)::INT AS n_discounts, CASE WHEN l_discount <> 0 THEN l_discount END AS reg, CASE WHEN l_tax > 0.04 THEN l_tax END AS dc FROM g""")
 def feed_lines(spark, d):
     """Lines of known orders, a repeated one as its last row; discounts that are not zero, by kind."""
-    l = _read(spark, d)[1]
+    l = feed.lines(*_read(spark, d, "rows", "head"))
     return l.select("sor_no", "line_no", "qty", F.size("discounts").alias("n_discounts"), F.col("discounts")["reg"].alias("reg"), F.col("discounts")["dc"].alias("dc"))
 
 
 @query(CTE + """ SELECT (SELECT count(*) FROM h) AS orders, (SELECT count(cpo_no) FROM h) AS with_po_number, (SELECT count(*) FROM g) AS lines, (SELECT count(*) FROM r WHERE l_orderkey % 25 = 0) AS lines_without_order,
   (SELECT count(*) FROM orders WHERE o_orderkey % 3 > 0 AND o_orderkey % 50 = 1) AS only_in_po_file""")
 def feed_counts(spark, d):
-    orders, lines, head, po, rows = _read(spark, d)
-    return feed.counts(orders, lines, head, po, rows)
+    head, po, rows = _read(spark, d, "head", "po", "rows")
+    return feed.counts(feed.orders(head, po), feed.lines(rows, head), head, po, rows)
 
 
 @query("SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem WHERE l_suppkey % 3 = 1 GROUP BY 1, 2")
