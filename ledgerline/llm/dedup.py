@@ -23,6 +23,8 @@ MINIMA = 2
 #: sketches of shingles of as many words as the second says besides, as many as the third.
 SHORT = [(128, 3, 8), (64, 2, 16), (12, 1, 8)]
 SLOTS = SKETCHES + sum(n for _, _, n in SHORT)
+#: Bits of a bucket's key that are its slot.
+SLOT_BITS = 7
 #: Bins of the word counts that rule out pairs.
 BINS = 256
 #: Texts of a bucket that are compared in one place, with each other or with as many more. 0.01 GB at 2 kB a text.
@@ -256,7 +258,7 @@ def near_links(slots: DataFrame, held_of: Callable[[DataFrame], DataFrame], leas
     """(a, b, similarity): verified links between distinct texts, enough to connect all that share a sketch and are alike;
     and (node, root): the component of each text that has a link.
 
-    ``slots`` has (slot, key, uid), a row a text and sketch; ``held_of`` takes uids to (uid, words, codes, sketch).
+    ``slots`` has (key, uid), a row a text and sketch, the key's last SLOT_BITS being the slot; ``held_of`` takes uids to (uid, words, codes, sketch).
 
     First each text is compared with the least and the greatest uid of each of its buckets, and what is alike is one
     component. Then, in every bucket that still holds several components, all pairs of texts of different components are
@@ -265,7 +267,7 @@ def near_links(slots: DataFrame, held_of: Callable[[DataFrame], DataFrame], leas
     out, however large a bucket. Only links leave a cell. A bucket's cells grow with the square of the texts in it that are
     *not* alike and of about one length, divided by BLOCK squared.
     """
-    ends = slots.groupBy("key").agg(F.count("*").alias("n"), F.min("uid").alias("lo"), F.max("uid").alias("hi")).filter("n > 1").drop("n")
+    ends = slots.groupBy("key").agg(F.min("uid").alias("lo"), F.max("uid").alias("hi")).filter("lo <> hi")
     ends = saved(ends, "dedup-ends")  # so that the join on a large bucket can be split
     met = saved(slots.join(ends, "key"), "dedup-met")
     discard(ends)
@@ -284,11 +286,12 @@ def near_links(slots: DataFrame, held_of: Callable[[DataFrame], DataFrame], leas
     discard(pairs)
 
     roots = components(near, "a", "b", "dedup-rooted")
-    placed = saved(met.select("slot", "key", "uid").join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid")), "dedup-placed")
+    placed = saved(met.select("key", "uid").join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid")), "dedup-placed")
     discard(met)
     mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key", "n")
     mixed = saved(mixed, "dedup-mixed")
-    cells = cells_of(placed.join(mixed, "key"), held.select("uid", "words"), least).join(held, "uid")
+    slot = F.col("key").bitwiseAND(F.lit(2**SLOT_BITS - 1)).cast("int")
+    cells = cells_of(placed.join(mixed, "key").withColumn("slot", slot), held.select("uid", "words"), least).join(held, "uid")
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None  # a cell that the next batch may go on with
@@ -336,6 +339,7 @@ def classes(docs: DataFrame, *, id_col="doc_id", text_col="text", least: float =
     rows = saved(picked.mapInPandas(sketch, f"id {kind}, fp binary, sketch array<bigint>"), "dedup-rows", ROWS)
     texts = rows.groupBy("fp").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch"))
     texts = saved(texts.withColumn("uid", F.monotonically_increasing_id()), "dedup-texts")
+    discard(rows)
 
     def held_of(uids: DataFrame) -> DataFrame:
         """One row of each text: one with its least id."""
@@ -344,7 +348,8 @@ def classes(docs: DataFrame, *, id_col="doc_id", text_col="text", least: float =
         once = found.groupBy("uid").agg(F.first("text").alias("text"), F.first("sketch").alias("sketch"))
         return once.mapInPandas(packed, "uid long, words long, codes binary, sketch array<bigint>")
 
-    slots = texts.select("uid", F.posexplode("sketch").alias("slot", "h")).select("slot", F.xxhash64("slot", "h").alias("key"), "uid")
+    key = F.xxhash64("slot", "h").bitwiseAND(F.lit(-(2**SLOT_BITS))).bitwiseOR(F.col("slot").cast("long"))
+    slots = texts.select("uid", F.posexplode("sketch").alias("slot", "h")).select(key.alias("key"), "uid")
     links, roots = near_links(slots, held_of, least)
     degree = links.select(F.explode(F.array("a", "b")).alias("uid")).groupBy("uid").agg(F.count("*").alias("n_links"))
     labelled = (
@@ -358,7 +363,7 @@ def classes(docs: DataFrame, *, id_col="doc_id", text_col="text", least: float =
     # Heads are written, so that the join on a large class can be split.
     heads = saved(labelled.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "fp")).alias("head")), "dedup-heads")
     classed = labelled.join(heads, "root").select("fp", "n_links", F.col("head.id").alias("class_id"), (F.col("head.fp") == F.col("fp")).alias("chosen"))
-    return rows.select("id", "fp").join(classed, "fp").select(
+    return picked.select("id", "fp").join(classed, "fp").select(
         F.col("id").alias(id_col), "fp", "class_id", "n_links", (F.col("chosen") & F.col("id").eqNullSafe(F.col("class_id"))).alias("first")
     )
 
