@@ -49,7 +49,7 @@ def rows_hold_lines(rows: DataFrame, lines: DataFrame, allow: float = ROUNDING)
         )
 
     start = F.struct(F.col("pool").alias("pool"), F.array().cast("array<int>").alias("missing"), F.lit(None).cast("double").alias("gap"))
-    return both.select("sor_no", F.aggregate("wants", start, step).alias("s")).select("sor_no", "s.missing", F.round("s.gap", 2).alias("gap"))
+    return both.select("sor_no", F.aggregate("wants", start, step).alias("s")).select("sor_no", "s.missing", (F.floor(F.col("s.gap") * 100 + 0.5) / 100.0).alias("gap"))
 
 
 def order_side(docs: DataFrame, rows: DataFrame, orders: DataFrame, lines: DataFrame, allow: float = ROUNDING) -> DataFrame:

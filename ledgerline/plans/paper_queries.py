@@ -159,7 +159,7 @@ pool AS (SELECT sor_no, list({'k': k, 'a': a} ORDER BY k) AS p FROM pl GROUP BY
 g AS (SELECT DISTINCT wn.sor_no, 0::BIGINT AS i, coalesce(p, []) AS p, 0::BIGINT AS missing, NULL::DOUBLE AS gap FROM wn LEFT JOIN pool USING (sor_no)
   UNION ALL SELECT sor_no, i, CASE WHEN b.d <= 1000.005::DOUBLE THEN list_filter(p, lambda x: x.k <> b.k) ELSE p END, missing + CASE WHEN coalesce(b.d <= 1000.005::DOUBLE, false) THEN 0 ELSE 1 END, CASE WHEN b IS NULL THEN gap ELSE greatest(gap, b.d) END
   FROM (SELECT g.sor_no, wn.i, g.p, g.missing, g.gap, list_min(list_transform(g.p, lambda x: {'d': least(abs(x.a - wn.net), abs(x.a - wn.gross)), 'k': x.k})) AS b FROM g JOIN wn ON wn.sor_no = g.sor_no AND wn.i = g.i + 1)),
-lm AS (SELECT sor_no, max(missing) AS missing, round(max(gap), 2) AS gap FROM g GROUP BY 1)"""
+lm AS (SELECT sor_no, max(missing) AS missing, floor(max(gap) * 100 + 0.5::DOUBLE) / 100 AS gap FROM g GROUP BY 1)"""
 _TOTAL, _TAX = _settled("st", "us", "total", "printed", "asked", "second", {"order_dpp": "order_dpp", "order_total": "order_total"}), _settled("tx", "ux", "ppn", "printed", "asked", "NULL::DECIMAL(18,2)", {"order_ppn": "order_ppn"})
 
 

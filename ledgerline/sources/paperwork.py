@@ -107,12 +107,12 @@ def pages(spark: SparkSession, d: str) -> DataFrame:
 
 #: Order lines with names and prices (il), printed rows of purchase orders and receipts (pr) after the tables of SQL.
 ROWS_SQL = """il AS (SELECT ln.k, ln.sor_no, ln.line_no, ln.item_code, p_name || ' ' || p_type AS name, p_partkey, p_size, qty_pcs, p_size::DOUBLE AS pcs_per_uom, line_amount, vat, cgr_qty,
-  round(line_amount::DOUBLE / qty_pcs, 2) AS price_pcs, CASE WHEN p_partkey % 3 <> 0 THEN round(round(line_amount::DOUBLE / qty_pcs, 2) * p_size, 2) END AS price_uom,
-  round(line_amount::DOUBLE * invoice_qty / qty_pcs, 2) AS invoice_amount FROM ln JOIN part ON p_partkey = item_code::BIGINT),
+  floor(line_amount::DOUBLE * 100 / qty_pcs + 0.5::DOUBLE) / 100 AS price_pcs, CASE WHEN p_partkey % 3 <> 0 THEN floor(floor(line_amount::DOUBLE * 100 / qty_pcs + 0.5::DOUBLE) * p_size) / 100 END AS price_uom,
+  floor(line_amount::DOUBLE * 100 * invoice_qty / qty_pcs + 0.5::DOUBLE) / 100 AS invoice_amount FROM ln JOIN part ON p_partkey = item_code::BIGINT),
 pr AS (SELECT k, sor_no, 1 + j AS page_no, CASE j WHEN 0 THEN 'PO' ELSE 'TTG' END AS doc_type, line_no AS row_no, CASE WHEN line_no % 4 = 0 THEN '' ELSE 'P-' || p_partkey END AS code,
   CASE (p_partkey + line_no) % 4 WHEN 0 THEN name WHEN 1 THEN left(name, 4) || substr(name, 6) WHEN 2 THEN upper(name) ELSE '' END AS name,
   CASE WHEN (p_partkey + line_no) % 6 = 1 THEN '1 x ' || qty_pcs::INT WHEN (p_partkey + line_no) % 6 < 4 AND qty_pcs % p_size = 0 THEN (qty_pcs / p_size)::INT || ' CTN' ELSE qty_pcs::INT || ' PCS' END AS qty,
-  CASE (p_partkey + line_no) % 7 WHEN 0 THEN NULL WHEN 1 THEN printf('%.2f', price_pcs * 1.11::DOUBLE) WHEN 2 THEN printf('%.2f', coalesce(price_uom, price_pcs * p_size)) ELSE printf('%.2f', price_pcs) END AS price,
+  printf('%.2f', floor(CASE (p_partkey + line_no) % 7 WHEN 0 THEN NULL WHEN 1 THEN price_pcs * 1.11::DOUBLE WHEN 2 THEN coalesce(price_uom, price_pcs * p_size) ELSE price_pcs END * 100 + 0.5::DOUBLE) / 100) AS price,
   CASE (p_partkey + line_no) % 5 WHEN 0 THEN NULL WHEN 1 THEN line_amount::DOUBLE + coalesce(vat::DOUBLE, 0) WHEN 2 THEN line_amount::DOUBLE * 1.01::DOUBLE ELSE line_amount::DOUBLE END AS amount,
   (p_partkey + line_no) % 31 = 0 AS bonus, p_partkey, line_no FROM il, range(2) x(j))"""
 
@@ -122,17 +122,19 @@ def item_lines(spark: SparkSession, d: str) -> DataFrame:
     part = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_name", "p_type", "p_size")
     l = lines(spark, d).join(part, F.col("item_code").cast("long") == F.col("p_partkey"))
     money = F.col("line_amount").cast("double")
-    piece = F.round(money / F.col("qty_pcs"), 2)
+    cents = lambda x: F.floor(x + 0.5).cast("double")  # noqa: E731  the same in all engines, which round halves unlike
+    piece = cents(money * 100 / F.col("qty_pcs")) / 100
     return l.select(
         "k", "sor_no", "line_no", "item_code", F.concat_ws(" ", "p_name", "p_type").alias("name"), "p_partkey", "p_size", "qty_pcs", F.col("p_size").cast("double").alias("pcs_per_uom"), "line_amount", "vat", "cgr_qty",
-        piece.alias("price_pcs"), F.when(F.col("p_partkey") % 3 != 0, F.round(piece * F.col("p_size"), 2)).alias("price_uom"), F.round(money * F.col("invoice_qty") / F.col("qty_pcs"), 2).alias("invoice_amount"),
+        piece.alias("price_pcs"), F.when(F.col("p_partkey") % 3 != 0, F.floor(cents(money * 100 / F.col("qty_pcs")) * F.col("p_size")).cast("double") / 100).alias("price_uom"), (cents(money * 100 * F.col("invoice_qty") / F.col("qty_pcs")) / 100).alias("invoice_amount"),
     )
 
 
 def printed_rows(spark: SparkSession, d: str) -> DataFrame:
     """The rows of an order's purchase order (page 1) and receipt (page 2): some codes missing, names cut or left out, quantities by carton or as pack sizes, prices with tax or by carton, amounts with tax or a little off."""
     l = item_lines(spark, d).withColumn("j", F.explode(F.array(F.lit(0), F.lit(1))))
-    h, q, money, cents = F.col("p_partkey") + F.col("line_no"), F.col("qty_pcs"), F.col("line_amount").cast("double"), lambda x: F.format_string("%.2f", x)
+    h, q, money = F.col("p_partkey") + F.col("line_no"), F.col("qty_pcs"), F.col("line_amount").cast("double")
+    cents = lambda x: F.format_string("%.2f", F.floor(x * 100 + 0.5).cast("double") / 100)
     whole = lambda x: x.cast("int").cast("string")
     name = F.when(h % 4 == 0, F.col("name")).when(h % 4 == 1, F.concat(F.left("name", F.lit(4)), F.expr("substr(name, 6)"))).when(h % 4 == 2, F.upper("name")).otherwise("")
     qty = F.when(h % 6 == 1, F.concat(F.lit("1 x "), whole(q))).when((h % 6 < 4) & (q % F.col("p_size") == 0), F.concat(whole(q / F.col("p_size")), F.lit(" CTN"))).otherwise(F.concat(whole(q), F.lit(" PCS")))
