@@ -68,7 +68,8 @@ def linked(docs: DataFrame, so: DataFrame) -> DataFrame:
     printed = hubs.filter("n_fp = 1 and `hub po` is not null").select("batch_id", F.col("hub po").alias("po"), F.col("own").alias("to"))
     met = asked.join(numbers, "po").select("batch_id", "page_from", "to").unionByName(asked.join(printed, ["batch_id", "po"]).select("batch_id", "page_from", "to"))
     hits = met.groupBy("batch_id", "page_from").agg(F.count_distinct("to").alias("n_so"), F.min("to").alias("by_po"))
-    record = so.select(sor_key(F.col("sor_no")).alias("of"), F.nullif(flat(F.col("billing_no")), F.lit("")).alias("billed"), F.lit(True).alias("there"))
+    billed = F.nullif(flat(F.col("billing_no")), F.lit("")) if "billing_no" in so.columns else F.lit(None).cast("string")
+    record = so.select(sor_key(F.col("sor_no")).alias("of"), billed.alias("billed"), F.lit(True).alias("there"))
     invoices = d.filter(free & (F.col("doc_type") == "FPJ") & (F.size("orders") == 1)).select("batch_id", "page_from", F.col("orders")[0].alias("of")).join(record, "of").drop("of")
     all_ = d.join(hubs.drop("hub po"), ["batch_id", "own"], "left").join(hits, ["batch_id", "page_from"], "left").join(invoices, ["batch_id", "page_from"], "left")
     fp, other, tax = F.col("doc_type") == "FP", F.col("doc_type").isin("PO", "TTG"), F.col("doc_type") == "FPJ"
