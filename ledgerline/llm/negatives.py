@@ -133,15 +133,13 @@ def anchors_of(blocks: DataFrame, every: int) -> DataFrame:
 
 def cells(blocks: DataFrame, anchors: DataFrame) -> DataFrame:
     """Each block of anchors beside each block of rows. Rows go in piles of about PILE; a pile and a block of anchors meet by key, as often as there are such blocks."""
-    spark = blocks.sparkSession
-    groups = [r.g for r in anchors.select("g").distinct().collect()]  # one number for every 1024 anchors
-    n = blocks.agg(F.sum("n")).first()[0] or 0
-    piles = max(1, math.ceil(n / PILE), math.ceil(2 * spark.sparkContext.defaultParallelism / max(1, len(groups))))
-    pile = F.pmod(F.xxhash64("block"), F.lit(piles))
-    each = F.array(*map(F.lit, groups)) if groups else F.lit(None).cast("array<long>")
-    dealt = blocks.withColumn("pile", pile).withColumn("g", F.explode(each))
-    spread = anchors.withColumn("pile", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(piles - 1).cast("long"))))
-    return dealt.join(spread, ["g", "pile"])
+    groups, n = anchors.count(), blocks.agg(F.sum("n")).first()[0] or 0
+    piles = max(1, math.ceil(n / PILE), math.ceil(2 * blocks.sparkSession.sparkContext.defaultParallelism / max(1, groups)))
+    pile, numbers = F.pmod(F.xxhash64("block"), F.lit(piles)), lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+    number = anchors.select("g", (F.row_number().over(Window.orderBy("g")) - 1).cast("long").alias("number"))  # a row for every 1024 anchors
+    dealt = blocks.filter(F.lit(groups > 0)).withColumn("pile", pile).withColumn("number", numbers(max(1, groups)))
+    spread = anchors.join(number, "g").withColumn("pile", numbers(piles))
+    return dealt.join(spread, ["number", "pile"]).drop("number")
 
 
 def best(scores: np.ndarray, allowed: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
