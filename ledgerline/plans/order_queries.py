@@ -48,10 +48,11 @@ def order_line_flags(spark, d):
     )
 
 
-@query("SELECT l_orderkey, round(sum(l_extendedprice), 2) AS total FROM lineitem GROUP BY 1 HAVING round(sum(l_extendedprice), 0)::BIGINT % 100 = 0")
+@query("SELECT l_orderkey, round(sum(l_extendedprice::DECIMAL(18,4)), 2)::DOUBLE AS total FROM lineitem GROUP BY 1 HAVING round(sum(l_extendedprice::DECIMAL(18,4)), 0)::BIGINT % 100 = 0")
 def lines_having_total(spark, d):
-    total = F.sum("l_extendedprice")
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.round(total, 2).alias("total"), F.round(total, 0).cast("long").alias("r")).filter("r % 100 = 0").drop("r")
+    """Orders whose lines come to a whole hundred. Prices are summed as decimals: a sum of floats that ends in a half is rounded up or down by the order in which it was added."""
+    total = F.sum(F.col("l_extendedprice").cast("decimal(18,4)"))
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.round(total, 2).cast("double").alias("total"), F.round(total, 0).cast("long").alias("r")).filter("r % 100 = 0").drop("r")
 
 
 @query("""WITH l AS (SELECT l_orderkey, bool_and(l_returnflag <> 'N') AS received, count(*) AS n, sum(l_extendedprice * (1 - l_discount)) AS net FROM lineitem GROUP BY 1)
