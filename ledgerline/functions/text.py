@@ -15,19 +15,22 @@ def same_id(a: Column, b: Column) -> Column:
     return (flat(a) != "") & (flat(a) == flat(b))
 
 
-def amount(text: Column) -> Column:
-    """The number in a printed amount. With both marks the last is the decimal mark; a single kind of mark
-    separates thousands if it occurs more than once or has exactly three digits behind it."""
-    kept = F.regexp_replace(F.regexp_replace(text, "[^0-9.,]", ""), "^[.,]+|[.,]+$", "")
-    marks = F.regexp_replace(kept, "[0-9]", "")
+def _number(kept: Column) -> Column:
+    marks, digits = F.translate(kept, "0123456789", ""), F.translate(kept, ".,", "")
     both = F.contains(marks, F.lit(".")) & F.contains(marks, F.lit(","))
-    tail = F.length(F.regexp_extract(kept, "[.,]([0-9]*)$", 1))
+    tail = F.length(F.substring_index(F.translate(kept, ",", "."), ".", -1))
     thousands = ~both & ((F.length(marks) > 1) | (tail == 3))
-    digits = F.regexp_replace(kept, "[.,]", "")
     decimals = F.when((F.length(marks) == 0) | thousands, 0).otherwise(tail)
     return F.when(digits == "", None).otherwise(F.try_divide(digits.try_cast("double"), F.pow(F.lit(10.0), decimals)))
 
 
+def amount(text: Column) -> Column:
+    """The number in a printed amount. With both marks the last is the decimal mark; a single kind of mark
+    separates thousands if it occurs more than once or has exactly three digits behind it. The text is cleaned once, not for each use."""
+    kept = F.btrim(F.regexp_replace(text, "[^0-9.,]", ""), F.lit(".,"))
+    return F.get(F.transform(F.array(kept), _number), F.lit(0))
+
+
 def ean_check_digit(twelve: Column) -> Column:
     """The 13th digit of an EAN-13 whose first twelve are given as text."""
     at = lambda i: F.substring(twelve, i, 1).cast("int")
