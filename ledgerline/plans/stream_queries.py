@@ -95,40 +95,45 @@ def stream_redelivery(spark, d):
 SPANS = """s AS (SELECT event_id // 2 AS span, event_id % 2 = 0 AS opens, CASE WHEN event_id % 2 = 1 AND event_id // 2 % 4 = 1 THEN ts + INTERVAL 3 HOUR ELSE ts END AS moment FROM events WHERE event_id % 8 <> 1),
 o AS (SELECT span, moment AS opened FROM s WHERE opens), c AS (SELECT span, moment AS closed FROM s WHERE NOT opens)"""
 
+#: Spans that share a state, neighbours by number, as a state a span costs more than what is done with it.
+SPANS_A_KEY = 1024
+
 
 @query(f"""WITH {SPANS}, b AS (SELECT span, opened, closed, coalesce(closed - opened <= INTERVAL 2 HOUR, false) AS fine FROM o LEFT JOIN c USING (span))
 SELECT span, opened, CASE WHEN fine THEN closed ELSE opened + INTERVAL 2 HOUR END AS ended, CASE WHEN fine THEN 'ok' ELSE 'cut' END AS status FROM b
 WHERE closed IS NOT NULL OR opened + INTERVAL 2 HOUR < (SELECT max(moment) FROM s) - INTERVAL 10 MINUTE""")
 def stream_spans(spark, d):
-    """Spans that open and close; one that has not closed two hours after it opened is cut off then, by a timer on the events' own time. A close that comes later, or without an open, changes nothing."""
+    """Spans that open and close; one that has not closed two hours after it opened is cut off then, by a timer on the events' own time. A close that comes later, or without an open, changes nothing.
+    Neighbouring spans share a state of at most SPANS_A_KEY open spans, and its timer is that of the span that ends first."""
     half = F.expr("event_id div 2")
     at = F.when((F.col("event_id") % 2 == 1) & (half % 4 == 1), F.expr("ts + interval 3 hours")).otherwise(F.col("ts")).cast("timestamp")
-    e = stream(spark, d, "events").filter("event_id % 8 <> 1").select(half.alias("span"), (F.col("event_id") % 2 == 0).alias("opens"), at.alias("at")).withWatermark("at", "10 minutes")
-    limit = pd.Timedelta(hours=2)
-
-    def row(span: int, opened: pd.Timestamp, closed: pd.Timestamp | None) -> pd.DataFrame:
-        fine = closed is not None and closed - opened <= limit
-        return pd.DataFrame({"span": [span], "opened": [opened], "ended": [closed if fine else opened + limit], "status": ["ok" if fine else "cut"]})
+    e = stream(spark, d, "events").filter("event_id % 8 <> 1").select(F.expr(f"event_id div 2 div {SPANS_A_KEY}").alias("spans"), half.alias("span"), (F.col("event_id") % 2 == 0).alias("opens"), at.alias("at")).withWatermark("at", "10 minutes")
+    e = e.withColumn("us", F.unix_micros("at"))
+    limit = 2 * 3600 * 1_000_000
 
     def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        opened, closed = (pd.Timestamp(x, unit="us") if x is not None else None for x in state.get) if state.exists else (None, None)
-        if state.hasTimedOut:
+        span, opened, closed = state.get if state.exists else ([], [], [])
+        held = pd.DataFrame({"opened": pd.array(opened, "Int64"), "closed": pd.array(closed, "Int64")}, index=pd.Index(span, dtype="int64"))
+        for batch in [] if state.hasTimedOut else batches:
+            for opens, name in ((True, "opened"), (False, "closed")):  # the last that came stands
+                last = batch[batch["opens"] == opens].drop_duplicates("span", keep="last").set_index("span")["us"].astype("Int64")
+                held = held.reindex(held.index.union(last.index))
+                held.loc[last.index, name] = last
+        whole = held["opened"].notna() & held["closed"].notna()
+        end = held["opened"].fillna(held["closed"]) + limit
+        over = ~whole & (end // 1000 < state.getCurrentWatermarkMs())
+        told, left = held[whole | (over & held["opened"].notna())], held[~whole & ~over]
+        if len(left):
+            some = lambda c: [None if pd.isna(x) else int(x) for x in left[c]]
+            state.update((left.index.tolist(), some("opened"), some("closed")))
+            state.setTimeoutTimestamp(max(int(end[left.index].min() // 1000), state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
             state.remove()
-            if opened is not None:
-                yield row(key[0], opened, None)
-            return
-        for batch in batches:
-            for opens, at in zip(batch["opens"], batch["at"], strict=True):
-                opened, closed = (at, closed) if opens else (opened, at)
-        if opened is not None and closed is not None:
-            if state.exists:
-                state.remove()
-            yield row(key[0], opened, closed)
-            return
-        micros = lambda x: None if x is None else int(x.value // 1000)
-        state.update((micros(opened), micros(closed)))
-        end = (opened if opened is not None else closed) + limit
-        state.setTimeoutTimestamp(max(int(end.value // 1_000_000), state.getCurrentWatermarkMs() + 1))
-
-    told = e.groupBy("span").applyInPandasWithState(follow, "span long, opened timestamp, ended timestamp, status string", "opened long, closed long", "append", GroupStateTimeout.EventTimeTimeout)
-    return finished(told).select("span", F.col("opened").cast("timestamp_ntz").alias("opened"), F.col("ended").cast("timestamp_ntz").alias("ended"), "status")
+        if len(told):
+            fine = (told["closed"] - told["opened"] <= limit).fillna(False).astype(bool)
+            ended = told["closed"].where(fine, told["opened"] + limit)
+            yield pd.DataFrame({"span": told.index, "opened": told["opened"].astype("int64"), "ended": ended.astype("int64"), "status": fine.map({True: "ok", False: "cut"})}).reset_index(drop=True)
+
+    told = e.groupBy("spans").applyInPandasWithState(follow, "span long, opened long, ended long, status string", "span array<long>, opened array<long>, closed array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    moment = lambda c: F.timestamp_micros(c).cast("timestamp_ntz").alias(c)
+    return finished(told).select("span", moment("opened"), moment("ended"), "status")
