@@ -1,8 +1,8 @@
-"""Whether what was read from a page stands on it: values against what they say is printed, and that against the page's text by an index of its letters."""
+"""Whether what was read from a page stands on it: values against what they say is printed, and that against the page's text, line by line."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.text import amount, flat
@@ -63,18 +63,25 @@ def places(value: Column) -> Column:
     return F.concat(F.when(value.rlike("^[0-9]"), "(^|[^0-9])").otherwise(""), inner, F.when(value.rlike("[0-9]$"), "([^0-9]|$)").otherwise(""))
 
 
+def windows(text: Column) -> Column:
+    """Each line of a page that has letters or digits with the one after it, ``spaced``, and the same without blanks."""
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\r\n|\r|\n"), lambda l: flat(l) != "")
+    both = F.transform(F.arrays_zip(lines.alias("a"), F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))).alias("b")), lambda x: spaced(F.concat_ws("\n", x["a"], x["b"])))
+    return F.transform(both, lambda w: F.struct(w.alias("spaced"), F.replace(w, F.lit(" "), F.lit("")).alias("bare")))
+
+
+def stands(on: Column, value: Column) -> Column:
+    """Whether a flat value of LEAST letters or more stands in one of a page's ``windows``. Only one whose letters hold it is held against the pattern."""
+    return F.coalesce((F.length(value) >= LEAST) & F.exists(on, lambda w: F.contains(w["bare"], value) & F.rlike(w["spaced"], places(value))), F.lit(False))
+
+
 def found(values: DataFrame, pages: DataFrame, value: str) -> DataFrame:
     """(page_id, value), each once: the values that stand on their page, in one of its lines or over two that follow each other. ``values`` (page_id, value as flat text), ``pages`` (page_id, text).
 
-    Every LEAST letters of a line, going on into the next, are a key, and so are a value's first: a value meets the lines that have its beginning and no others. Values of fewer letters are not looked for.
+    Values of fewer than LEAST letters are not looked for. A page's lines stay in one row, bounded by the paper.
     """
-    lines = pages.select("page_id", F.filter(F.split(F.coalesce("text", F.lit("")), "\r\n|\r|\n"), lambda l: flat(l) != "").alias("lines"))
-    pairs = lines.select("page_id", F.posexplode("lines").alias("at", "line"), "lines")
-    own = pairs.select("page_id", F.length(flat(F.col("line"))).alias("n"), spaced(F.concat_ws("\n", "line", F.get("lines", F.col("at") + 1))).alias("window"))
-    keys = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.substring("flat", i, F.lit(LEAST)))
-    index = own.withColumn("flat", F.replace("window", F.lit(" "), F.lit(""))).select("page_id", "window", F.explode(F.array_distinct(F.filter(keys, lambda k: F.length(k) == LEAST))).alias("key"))
-    asked = values.select("page_id", F.col(value).alias(value)).filter(F.length(value) >= LEAST).distinct().withColumn("key", F.left(value, F.lit(LEAST)))
-    return asked.join(index, ["page_id", "key"]).filter(F.rlike("window", places(F.col(value)))).select("page_id", value).distinct()
+    asked = values.select("page_id", F.col(value).alias(value)).filter(F.length(value) >= LEAST).distinct()
+    return asked.join(pages.select("page_id", windows(F.col("text")).alias("on")), "page_id").filter(stands(F.col("on"), F.col(value))).select("page_id", value).distinct()
 
 
 def check_values(fields: DataFrame, pages: DataFrame) -> DataFrame:
@@ -84,26 +91,25 @@ def check_values(fields: DataFrame, pages: DataFrame) -> DataFrame:
     were usable and make sense together, adds_up. A page has a name once.
     """
     bare = flat(F.col("source"))
-    on_page = found(fields.select("page_id", bare.alias("flat source")), pages, "flat source").withColumn("on page", F.lit(True))
-    met = fields.join(pages.select("page_id", F.when(F.rlike("qr", F.lit(r"^SOR\d{11}$")), F.col("qr")).alias("qr")), "page_id", "left")
-    met = met.withColumn("flat source", bare).join(on_page, ["page_id", "flat source"], "left")
+    met = fields.join(pages.select("page_id", F.when(F.rlike("qr", F.lit(r"^SOR\d{11}$")), F.col("qr")).alias("qr"), windows(F.col("text")).alias("on")), "page_id", "left")
+    met = met.withColumn("flat source", bare).withColumn("on page", stands(F.col("on"), F.col("flat source")))
     some = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
     cut = (F.col("kind") == "amount") & F.rlike("source", F.lit(r"[.,][0-9]?\s*$"))
     coded = (F.col("name") == "sor") & F.col("qr").isNotNull()
     cases = [
         (~some("value"), "empty", None, None), (~some("source"), "check", None, "no source"), (~agrees(F.col("kind"), F.col("value"), F.col("source")), "check", None, "value and source differ"), (cut, "check", None, "cut"),
-        (coded & (flat(F.col("value")) == flat(F.col("qr"))), "ok", "qr", None), (coded, "check", None, "code differs"), (F.coalesce("on page", F.lit(False)), "ok", "text", None), (F.length("flat source") < LEAST, "check", None, "short"),
+        (coded & (flat(F.col("value")) == flat(F.col("qr"))), "ok", "qr", None), (coded, "check", None, "code differs"), (F.col("on page"), "ok", "text", None), (F.length("flat source") < LEAST, "check", None, "short"),
     ]
     out = F.struct(F.lit("check").alias("verdict"), F.lit(None).cast("string").alias("by"), F.lit("not on the page").alias("why"))
     for when, verdict, by, why in reversed(cases):
         out = F.when(when, F.struct(F.lit(verdict).alias("verdict"), F.lit(by).cast("string").alias("by"), F.lit(why).cast("string").alias("why"))).otherwise(out)
     told = met.withColumn("x", out).select("page_id", "doc_type", "name", "value", "x.*")
     usable = ~F.coalesce(F.col("why").isin("no source", "value and source differ", "cut"), F.lit(False)) & (F.col("verdict") != "empty")
-    value = lambda name: F.max(F.when((F.col("name") == name) & usable, F.col("value").try_cast("double")))
-    sums = told.filter("doc_type = 'FP' and name in ('dpp', 'ppn', 'total')").groupBy("page_id").agg(value("dpp").alias("d"), value("ppn").alias("p"), value("total").alias("t"))
+    page = Window.partitionBy("page_id")  # a page's values are together since they met its text
+    sums = {"d": "dpp", "p": "ppn", "t": "total"}
+    both = told.withColumns({c: F.max(F.when((F.col("doc_type") == "FP") & (F.col("name") == name) & usable, F.col("value").try_cast("double"))).over(page) for c, name in sums.items()})
     rate = F.greatest(*[(F.abs(F.col("d") * r - F.col("p")) <= SUM_SLACK).cast("int") for r in RATES]) == 1
-    right = sums.filter((F.col("d") > 0) & (F.abs(F.col("d") + F.col("p") - F.col("t")) <= SUM_SLACK) & rate).select("page_id", F.lit(True).alias("adds"))
-    saved_by_sum = F.coalesce("adds", F.lit(False)) & F.col("name").isin("dpp", "ppn", "total") & (F.col("verdict") == "check")
-    both = told.join(right, "page_id", "left")
+    adds = F.col("page_id").isNotNull() & (F.col("d") > 0) & (F.abs(F.col("d") + F.col("p") - F.col("t")) <= SUM_SLACK) & rate
+    saved_by_sum = F.coalesce(adds, F.lit(False)) & F.col("name").isin("dpp", "ppn", "total") & (F.col("verdict") == "check")
     pick = lambda c, instead: F.when(saved_by_sum, F.lit(instead)).otherwise(F.col(c)).alias(c)
     return both.select("page_id", "name", pick("verdict", "ok"), pick("by", "adds_up"), pick("why", None))
