@@ -48,12 +48,14 @@ def fingerprints(parts: dict[str, DataFrame], key: str) -> DataFrame:
 
 def flips(a: DataFrame, b: DataFrame, key: list[str], row: str) -> DataFrame:
     """(key, cells, rows): how many cells two readings of a page read differently, and by how many rows they differ. ``a`` and ``b`` (key, row, name, value); a cell that one of them lacks counts, null and missing are the same."""
-    one, two = (df.groupBy(*key, row, "name").agg(F.max("value").alias(c)) for df, c in ((a, "a"), (b, "b")))
-    both = one.join(two, [*key, row, "name"], "full")
-    sizes = [df.groupBy(*key).agg(F.count_distinct(row).alias(c)) for df, c in ((a, "n_a"), (b, "n_b"))]
-    cells = both.groupBy(*key).agg(F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("cells"))
-    out = cells.join(sizes[0], key, "left").join(sizes[1], key, "left")
-    return out.select(*key, "cells", F.abs(F.coalesce("n_a", F.lit(0)) - F.coalesce("n_b", F.lit(0))).alias("rows"))
+    side = lambda df, a: df.select(*key, row, "name", "value", F.lit(a).alias("in a"))
+    both = side(a, True).unionByName(side(b, False)).repartition(*key)  # the three sums below are taken where a page's cells are
+    null = lambda *names: F.greatest(*(F.col(c).isNull() for c in names), F.lit(False))  # noqa: E731  such cells are like no other
+    value = lambda of: F.max(F.when(F.col("in a") == of, F.col("value")))
+    each = both.withColumn("apart", F.when(null(*key, row, "name"), F.col("in a"))).groupBy(*key, row, "name", "apart").agg(value(True).alias("a"), value(False).alias("b"), F.bool_or("in a").alias("in a"), F.bool_or(~F.col("in a")).alias("in b"))
+    rows = each.groupBy(*key, row).agg(F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("cells"), F.bool_or("in a").alias("in a"), F.bool_or("in b").alias("in b"))
+    there = lambda c: F.count_if(F.col(c) & ~null(*key, row))
+    return rows.groupBy(*key).agg(F.sum("cells").alias("cells"), F.abs(there("in a") - there("in b")).alias("rows"))
 
 
 def paired(a: DataFrame, b: DataFrame, key: list[str], block: str, at: str) -> DataFrame:

@@ -64,3 +64,15 @@ def test_places_of_a_key_over_many_ranges(spark):
         assert [r.n for r in sorted((r for r in found if r.k == k), key=lambda r: r.place)] == sorted(r.n for r in found if r.k == k)
         assert sorted(r.place for r in found if r.k == k) == list(range(1, sum(r.k == k for r in found) + 1))
     assert sorted(r.place for r in keys.ranked(rows, [], ["n"], "place").collect()) == list(range(1, 501))
+
+
+def test_readings_are_dealt_once(spark):
+    from ledgerline.operators import upkeep
+
+    a = [(1, 1, "x", "p"), (1, 1, "y", "q"), (1, 2, "x", None), (2, 1, "x", "p"), (2, None, "x", "p"), (None, 1, "x", "p")]
+    b = [(1, 1, "x", "p"), (1, 1, "y", "r"), (2, 1, "x", "p"), (2, 3, "x", "p"), (2, None, "x", "p"), (3, 1, "x", None), (3, 1, "y", "s"), (None, 1, "x", "p")]
+    df = lambda rows: spark.createDataFrame(rows, "k int, row int, name string, value string")
+    out = upkeep.flips(df(a), df(b), ["k"], "row")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert {r.k: (r.cells, r.rows) for r in out.collect()} == {1: (1, 1), 2: (3, 1), 3: (1, 1), None: (2, 0)}
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
