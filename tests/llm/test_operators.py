@@ -471,6 +471,15 @@ def test_media_meets_all_of_a_bucket(spark):
     assert [tuple(r) for r in media.copy_links(found).distinct().collect()] == [(3, 4)]
 
 
+def test_media_copies_no_corner_more_than_fan_times(spark):
+    n = 40_000
+    rooted = spark.range(n).selectExpr("7L AS key", "0L AS s", "id AS p", "id % 2 AS root", "array(id) AS bits").union(spark.range(50).selectExpr("9L", "0L", "id", "id", "array(id)"))
+    cells = media.dealt(rooted).cache()
+    assert n * 8 < cells.filter("key = 7").count() <= n * media.FAN and cells.filter("key = 9").count() == 50
+    seen = cells.filter("key = 7").groupBy("i", "j").agg(F.count_distinct("block").alias("n")).collect()
+    assert len(seen) == media.FAN * (media.FAN + 1) // 2 and all(r.n == (1 if r.i == r.j else 2) for r in seen)
+
+
 def test_pii_learns_long_chains(spark):
     """Forms of each level stand in contexts with those of the level before; only the first are seeds."""
     rows = [("phone", f"f{level}n{n}", level == 0, f"c{max(at, 1)}n{c}") for level in range(7) for at in (level, level + 1) for c in range(5) for n in range(12)]
