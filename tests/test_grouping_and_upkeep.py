@@ -76,3 +76,36 @@ def test_readings_are_dealt_once(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert {r.k: (r.cells, r.rows) for r in out.collect()} == {1: (1, 1), 2: (3, 1), 3: (1, 1), None: (2, 0)}
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_documents_take_one_sort_and_no_sums(spark):
+    kind = "batch_id long, page_no int, doc_type string, type_status string, sor string, po_no string, key_by string"
+    pages = [(1, 1, "FP"), (1, 2, "CONTINUATION"), (1, 3, "CONTINUATION"), (1, 5, "CONTINUATION"), (1, 6, "PO"), (2, 4, "CONTINUATION"), (3, None, "FP"), (3, 1, "PO"), (3, 2, "CONTINUATION")]
+    p = spark.createDataFrame([(b, n, t, "decided", None, None, None) for b, n, t in pages], kind)
+    docs = grouping.documents(p)
+    plan = plan_of(docs)  # before it runs, when it has the final plan as well
+    assert sorted((tuple(r)[:4] for r in docs.collect()), key=str) == sorted([(1, 1, 3, "FP"), (1, 5, 5, "CONTINUATION"), (1, 6, 6, "PO"), (2, 4, 4, "CONTINUATION"), (3, None, None, "FP"), (3, 1, 2, "PO")], key=str)
+    assert "Aggregate" not in plan and plan.count("Sort [") == 1
+
+
+def test_links_keep_what_suggestions_ask(spark):
+    docs = spark.createDataFrame([(1, 1, 1, "FP", None, "P1234567", "qr", None), (1, 2, 2, "PO", "S1", "P1234568", "qr", None)], "batch_id long, page_from int, page_to int, doc_type string, sor string, po_no string, key_by string, hold string")
+    so = spark.createDataFrame([("S1", "P1234568")], "sor_no string, cpo_no string")
+    links = grouping.linked(docs, so, keep=("sor", "po_no"))
+    assert [tuple(r) for r in grouping.suggested(links, links, so).collect()] == [tuple(r) for r in grouping.suggested(docs, grouping.linked(docs, so), so).collect()] == [(1, 1, "S1", 1)]
+
+
+def test_an_upload_is_counted_without_meeting_every_page(spark):
+    docs = spark.createDataFrame([(1, "A"), (1, "A"), (2, "A"), (3, "B"), (3, None)], "batch_id long, order_no string")
+    files = spark.createDataFrame([(7, 1), (7, 2), (8, 3), (9, 4)], "upload long, batch_id long")
+    pages = spark.createDataFrame([(1,), (1,), (2,), (3,)], "batch_id long")
+    orders = spark.createDataFrame([("A", "reviewed"), ("B", "auto_ok")], "order_no string, status string")
+    got = upkeep.impact(files, pages, docs, orders, pages.limit(1), pages.filter("batch_id = 3"))
+    assert plan_of(got).count("Join") == 4  # files meet what is counted once, not once a kind
+    assert sorted(tuple(r) for r in got.collect()) == [(7, 2, 3, 1, 0, 1, 1, 0), (8, 1, 1, 1, 0, 0, 0, 1), (9, 1, 0, 0, 0, 0, 0, 0)]
+    left, kept = upkeep.without(docs, orders, files.filter("upload = 8").select("batch_id"))
+    assert sorted(tuple(r) for r in kept.collect()) == [("A", "reviewed")] and left.count() == 3
