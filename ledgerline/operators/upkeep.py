@@ -16,22 +16,23 @@ def impact(files: DataFrame, pages: DataFrame, documents: DataFrame, orders: Dat
     ``files`` (upload, batch_id), ``pages``, ``labels`` and ``confirmations`` (batch_id), ``documents`` (batch_id, order_no), ``orders`` (order_no, status). orders: those that have documents of this upload only; shared: those that would lose
     documents and stay; approved: of either, those that were reviewed. How many uploads an order draws on is counted once, so the sums cost one pass for all uploads together. An upload without anything has zeros.
     """
-    held = documents.filter("order_no is not null").join(files, "batch_id").select("upload", "order_no").distinct()
-    uses = held.groupBy("order_no").agg(F.count("*").alias("uploads"))
-    of = held.join(uses, "order_no").join(orders.select("order_no", "status"), "order_no", "left")
+    held = documents.filter("order_no is not null").join(files, "batch_id").select("upload", "order_no").repartition("order_no").distinct()
+    of = held.withColumn("uploads", F.count("*").over(Window.partitionBy("order_no"))).join(orders.select("order_no", "status"), "order_no", "left")
     by_order = of.groupBy("upload").agg(F.count_if(F.col("uploads") == 1).alias("orders"), F.count_if(F.col("uploads") > 1).alias("shared"), F.count_if(F.col("status") == "reviewed").alias("approved"))
-    counted = [files.groupBy("upload").agg(F.count("*").alias("files")), by_order]
-    counted += [df.join(files, "batch_id").groupBy("upload").agg(F.count("*").alias(name)) for name, df in (("pages", pages), ("labels", labels), ("confirmations", confirmations))]
-    out = reduce(lambda a, b: a.join(b, "upload", "left"), counted)
+    kinds = {"pages": pages, "labels": labels, "confirmations": confirmations}
+    each = reduce(DataFrame.unionByName, [df.select("batch_id", F.lit(name).alias("kind")) for name, df in kinds.items()])
+    batches = each.groupBy("batch_id").agg(*(F.count_if(F.col("kind") == name).alias(name) for name in kinds))  # a scan is counted before it meets its files
+    counted = files.join(batches, "batch_id", "left").groupBy("upload").agg(F.count("*").alias("files"), *(F.sum(name).alias(name) for name in kinds))
+    out = counted.join(by_order, "upload", "left")
     return out.select("upload", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("files", "pages", "orders", "shared", "approved", "labels", "confirmations")))
 
 
 def without(documents: DataFrame, orders: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``documents`` and ``orders`` after the files of ``gone`` (batch_id) are deleted: their documents go; an order that has none left goes; one that lost some is open again (grouping), whatever was said of it; others stay as they are, also those that never had any."""
     left = documents.join(gone, "batch_id", "left_anti")
-    lost = documents.join(gone, "batch_id", "left_semi").select("order_no").filter("order_no is not null").distinct().withColumn("lost", F.lit(True))
-    still = left.select("order_no").filter("order_no is not null").distinct().withColumn("still", F.lit(True))
-    met = orders.join(lost, "order_no", "left").join(still, "order_no", "left").filter("lost is null or still")
+    marked = documents.filter("order_no is not null").join(gone.select("batch_id").distinct().withColumn("gone", F.lit(True)), "batch_id", "left")
+    told = marked.groupBy("order_no").agg(F.bool_or(F.coalesce("gone", F.lit(False))).alias("lost"), F.bool_or(F.col("gone").isNull()).alias("still"))
+    met = orders.join(told, "order_no", "left").filter("lost is null or not lost or still")
     return left, met.withColumn("status", F.when(F.col("lost"), "grouping").otherwise(F.col("status"))).drop("lost", "still")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerline.operators import grouping, upkeep
+from ledgerline.operators.written import written
 from ledgerline.plans.evidence_queries import PAPER_TEXT
 from ledgerline.plans.paper_queries import LINKED
 from ledgerline.sources import paperwork
@@ -28,7 +29,7 @@ FILES = """fi AS (SELECT DISTINCT batch_id // 3 AS upload, batch_id FROM pg), od
 
 def _filed(spark, d):
     p = pages(spark, d)
-    docs = grouping.linked(grouping.documents(p), headers(spark, d)).select("batch_id", "page_from", "order_no")
+    docs = written(grouping.linked(grouping.documents(p), headers(spark, d)).select("batch_id", "page_from", "order_no"), "links")
     files = p.select(F.floor(F.col("batch_id") / 3).alias("upload"), "batch_id").distinct()
     status = F.when(F.expr("substr(order_no, 4)").cast("long") % 4 == 0, "reviewed").otherwise("auto_ok")
     orders = docs.filter("order_no is not null").select("order_no").distinct().withColumn("status", status)
