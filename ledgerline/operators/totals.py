@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.printed import NOT_PRINTED
-from ledgerline.operators.settle import ROUNDING, SLACK, settle
+from ledgerline.operators.settle import ROUNDING, SLACK, readings, told
+from ledgerline.operators.written import written
 
 
 def last_read(spans: DataFrame, fields: DataFrame, key: list[str]) -> DataFrame:
@@ -40,13 +41,17 @@ def rows_hold_lines(rows: DataFrame, lines: DataFrame, allow: float = ROUNDING)
 
     def step(state: Column, line: Column) -> Column:
         near = lambda x: F.least(F.abs(x["a"] - line["net"]), F.abs(x["a"] - line["gross"]))
-        best = F.array_min(F.transform(state["pool"], lambda x: F.struct(near(x).alias("gap"), x["k"].alias("k"))))
-        hit = F.coalesce(best["gap"] <= allow + SLACK, F.lit(False))
-        return F.struct(
-            F.when(hit, F.filter(state["pool"], lambda x: x["k"] != best["k"])).otherwise(state["pool"]).alias("pool"),
-            F.when(hit, state["missing"]).otherwise(F.array_append(state["missing"], line["line_no"])).alias("missing"),
-            F.when(best.isNotNull(), F.greatest(state["gap"], best["gap"])).otherwise(state["gap"]).alias("gap"),
-        )
+        nearest = F.array_min(F.transform(state["pool"], lambda x: F.struct(near(x).alias("gap"), x["k"].alias("k"))))
+
+        def taken(best: Column) -> Column:
+            hit = F.coalesce(best["gap"] <= allow + SLACK, F.lit(False))
+            return F.struct(
+                F.when(hit, F.filter(state["pool"], lambda x: x["k"] != best["k"])).otherwise(state["pool"]).alias("pool"),
+                F.when(hit, state["missing"]).otherwise(F.array_append(state["missing"], line["line_no"])).alias("missing"),
+                F.when(best.isNotNull(), F.greatest(state["gap"], best["gap"])).otherwise(state["gap"]).alias("gap"),
+            )
+
+        return F.get(F.transform(F.array(nearest), taken), F.lit(0))  # looked for once a line, not for each amount that is left
 
     start = F.struct(F.col("pool").alias("pool"), F.array().cast("array<int>").alias("missing"), F.lit(None).cast("double").alias("gap"))
     return both.select("sor_no", F.aggregate("wants", start, step).alias("s")).select("sor_no", "s.missing", (F.floor(F.col("s.gap") * 100 + 0.5) / 100.0).alias("gap"))
@@ -60,17 +65,20 @@ def order_side(docs: DataFrame, rows: DataFrame, orders: DataFrame, lines: DataF
     being enough, the rows decide (by = rows): pass if every line is among their amounts; if not, ask while a paper that has no total has not been looked at again, else unknown.
     """
     full = lambda c, cut: F.bool_and(F.col(c).isNotNull() & ~F.coalesce(cut, F.lit(False)))
-    flags = docs.groupBy("sor_no").agg(full("total", "cut").alias("usable"), full("ppn", "ppn_cut").alias("taxed"), F.bool_or(F.col("total").isNull() & ~F.coalesce("asked", F.lit(False))).alias("open"))
-    met = docs.join(flags, "sor_no").join(orders.select("sor_no", "order_dpp", "order_ppn", "order_total"), "sor_no")
-    totals = settle(met.filter("usable").withColumn("num", F.col("total")), ["sor_no"], ["order_dpp", "order_total"], allow)
-    tax = met.filter("usable and taxed").select("sor_no", F.col("ppn").alias("num"), F.col("ppn_printed").alias("printed"), F.col("ppn_asked").alias("asked"), F.col("ppn_second").alias("second"), "order_ppn")
-    taxes = settle(tax, ["sor_no"], ["order_ppn"], allow).select("sor_no", F.col("status").alias("tax status"))
-    sums = totals.join(taxes, "sor_no", "left")
-    tax_fails = (F.col("status") == "pass") & F.coalesce(F.col("tax status") != "pass", F.lit(False))
-    nothing = lambda kind: F.lit(None).cast(kind)
-    by_sum = sums.select("sor_no", F.when(tax_fails, F.col("tax status")).otherwise(F.col("status")).alias("status"), F.when(tax_fails, "tax").otherwise("total").alias("by"), "got", "ref", nothing("int").alias("n_missing"), nothing("double").alias("gap"))
-    rest = met.filter("not usable").select("sor_no", "open").distinct()
-    held = rows_hold_lines(rows.join(rest.select("sor_no"), "sor_no", "left_semi"), lines.join(rest.select("sor_no"), "sor_no", "left_semi"), allow)
+    refs = ["order_dpp", "order_total", "order_ppn"]
+    known = orders.select("sor_no", *refs, F.lit(True).alias("known"))  # papers and their order go where the order's sums are taken, once
+    papers = docs.select("sor_no", "total", "cut", "printed", "asked", "second", "ppn", "ppn_cut", "ppn_printed", "ppn_asked", "ppn_second").join(known, "sor_no")
+    sums = papers.groupBy("sor_no").agg(
+        *readings("total"), *readings("ppn", "ppn_printed", "ppn_asked", "ppn_second", "tax "), *[F.max(r).alias(r) for r in refs],
+        full("total", "cut").alias("usable"), full("ppn", "ppn_cut").alias("taxed"), F.bool_or(F.col("total").isNull() & ~F.coalesce("asked", F.lit(False))).alias("open"),
+    )
+    one = told(told(sums, ["order_dpp", "order_total"], allow), ["order_ppn"], allow, "tax ")
+    tax_fails = (F.col("status") == "pass") & F.coalesce(F.col("taxed") & (F.col("tax status") != "pass"), F.lit(False))
+    status = F.when(tax_fails, F.col("tax status")).otherwise(F.col("status")).alias("status")
+    one = written(one.select("sor_no", "usable", "open", status, F.when(tax_fails, "tax").otherwise("total").alias("by"), "got", "ref"), "order-sums")  # read where rows, lines and the result ask for it
+    rest = one.filter("not usable").select("sor_no")
+    held = rows_hold_lines(rows.join(rest, "sor_no", "left_semi"), lines.join(rest, "sor_no", "left_semi"), allow)
     n = F.coalesce(F.size("missing"), F.lit(0))
-    by_rows = rest.join(held, "sor_no", "left").select("sor_no", F.when(n == 0, "pass").when(F.col("open"), "ask").otherwise("unknown").alias("status"), F.lit("rows").alias("by"), nothing("double").alias("got"), nothing("string").alias("ref"), n.alias("n_missing"), "gap")
-    return by_sum.unionByName(by_rows)
+    by_rows = F.when(n == 0, "pass").when(F.col("open"), "ask").otherwise("unknown")
+    summed = lambda c: F.when(F.col("usable"), F.col(c))
+    return one.join(held, "sor_no", "left").select("sor_no", summed("status").otherwise(by_rows).alias("status"), summed("by").otherwise("rows").alias("by"), summed("got").alias("got"), summed("ref").alias("ref"), F.when(~F.col("usable"), n).alias("n_missing"), "gap")
