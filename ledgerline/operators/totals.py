@@ -18,12 +18,14 @@ def last_read(spans: DataFrame, fields: DataFrame, key: list[str]) -> DataFrame:
     A page belongs to one document of a scan, so documents meet their pages by scan and number.
     """
     pages = spans.select(*key, "batch_id", "page_from", F.explode(F.sequence("page_from", "page_to")).alias("page_no"))
-    met = pages.join(fields.withColumn("own", F.coalesce("own", F.lit(False))), ["batch_id", "page_no"])
-    looked = F.bool_or((F.col("page_no") == F.col("page_from")) & F.coalesce("asked", F.lit(False))).alias("asked")
-    page = met.filter(F.col("value") != "").groupBy(*key, "name", "page_no").agg(F.bool_or(F.col("own") & (F.col("value") == NOT_PRINTED)).alias("none"), F.max(F.struct("own", "value")).alias("v"))
-    last = page.filter("not none").groupBy(*key, "name").agg(F.max(F.struct("page_no", "v")).alias("l"))
-    asked = met.groupBy(*key, "name").agg(looked)
-    return last.join(asked, [*key, "name"]).select(*key, "name", F.col("l.v.value").alias("value"), F.col("l.page_no").alias("page_no"), F.col("l.v.own").alias("own"), "asked")
+    asked, read = F.coalesce("asked", F.lit(False)), F.coalesce(F.col("value") != "", F.lit(False))
+    some = fields.select("batch_id", "page_no", "name", F.when(read, F.col("value")).alias("value"), F.coalesce("own", F.lit(False)).alias("own"), asked.alias("asked")).filter("value is not null or asked")  # others say nothing
+    met = pages.join(some, ["batch_id", "page_no"]).withColumn("asked", F.col("asked") & (F.col("page_no") == F.col("page_from"))).filter("value is not null or asked")
+    met = met.select(*key, "name", "page_no", "own", "value", "asked").repartition(*key)  # a page's and a document's values are told by one sort
+    page = met.groupBy(*key, "name", "page_no").agg(F.bool_or(F.col("own") & (F.col("value") == NOT_PRINTED)).alias("none"), F.max(F.when(F.col("value").isNotNull(), F.struct("own", "value"))).alias("v"), F.bool_or("asked").alias("asked"))
+    shown = F.when(~F.coalesce("none", F.lit(False)) & F.col("v").isNotNull(), F.struct("page_no", "v"))
+    last = page.groupBy(*key, "name").agg(F.max(shown).alias("l"), F.bool_or("asked").alias("asked")).filter("l is not null")
+    return last.select(*key, "name", F.col("l.v.value").alias("value"), F.col("l.page_no").alias("page_no"), F.col("l.v.own").alias("own"), "asked")
 
 
 def rows_hold_lines(rows: DataFrame, lines: DataFrame, allow: float = ROUNDING) -> DataFrame:

@@ -56,3 +56,21 @@ def test_an_orders_papers_are_summed_once(spark):
     out = totals.order_side(papers, no[0], orders, no[2])
     assert len(re.findall("ppn_second", plan_of(out))) == 0  # the sums were taken before
     assert [tuple(r) for r in out.collect()] == [("S1", "pass", "rows", None, None, 0, None)]
+
+
+def test_last_read_equals_going_through_pages(spark):
+    rng = random.Random(8)
+    spans = [(f"D{b}-{i}", b, lo, hi) for b in range(40) for i, (lo, hi) in enumerate([(1, 3), (4, 4), (6, 8)])]
+    fields = [(b, p, name, rng.choice([None, "", "(not printed)", "a", "b", "c"]), rng.choice([None, True, False]), rng.choice([None, True, False])) for b in range(41) for p in range(1, 9) for name in ("total", "number") for _ in range(rng.randrange(3))]
+    want = {}
+    for key, b, lo, hi in spans:
+        for name in ("total", "number"):
+            mine = [(p, bool(own), value, bool(asked)) for b_, p, n, value, own, asked in fields if b_ == b and n == name and lo <= p <= hi]
+            for p in range(lo, hi + 1):
+                at = [(own, value) for q, own, value, _ in mine if q == p and value]
+                if at and (True, "(not printed)") not in at:
+                    want[key, name] = (max(at)[1], p, max(at)[0], any(asked and q == lo for q, _, _, asked in mine))
+    given = spark.createDataFrame(spans, "key string, batch_id int, page_from int, page_to int"), spark.createDataFrame(fields, "batch_id int, page_no int, name string, value string, own boolean, asked boolean")
+    out = totals.last_read(*given, ["key"])
+    assert plan_of(out).count("Join") == 1  # pages meet what was read on them once
+    assert {(r.key, r.name): (r.value, r.page_no, r.own, r.asked) for r in out.collect()} == want
