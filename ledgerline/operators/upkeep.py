@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.functions.text import amount
+from ledgerline.functions.text import amount, to_hundredth
 
 
 def impact(files: DataFrame, pages: DataFrame, documents: DataFrame, orders: DataFrame, labels: DataFrame, confirmations: DataFrame) -> DataFrame:
@@ -69,7 +69,8 @@ def paired(a: DataFrame, b: DataFrame, key: list[str], block: str, at: str) -> D
 
 def normal_amounts(fields: DataFrame) -> DataFrame:
     """``fields`` (kind, value, source, read) with amounts as what their source says, to the hundredth; the value before is kept as read where it differs and nothing was kept yet. Doing it again changes nothing; other kinds and sources without a number stay."""
-    says = amount(F.col("source"))
-    new = F.when((F.col("kind") == "amount") & says.isNotNull(), F.format_string("%.2f", says))
-    changed = new.isNotNull() & ~new.eqNullSafe(F.col("value"))
-    return fields.withColumn("read", F.when(changed, F.coalesce("read", "value")).otherwise(F.col("read"))).withColumn("value", F.coalesce(new, "value"))
+    says = F.when(F.col("kind") == "amount", amount(F.col("source")))  # a source is read once, and only an amount's
+    new = F.when(F.col("says").isNotNull(), to_hundredth(F.col("says")))
+    changed = F.col("new").isNotNull() & ~F.col("new").eqNullSafe(F.col("value"))
+    told = fields.withColumn("says", says).withColumn("new", new)
+    return told.withColumn("read", F.when(changed, F.coalesce("read", "value")).otherwise(F.col("read"))).withColumn("value", F.coalesce("new", "value")).drop("says", "new")

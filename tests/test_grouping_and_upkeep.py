@@ -109,3 +109,14 @@ def test_an_upload_is_counted_without_meeting_every_page(spark):
     assert sorted(tuple(r) for r in got.collect()) == [(7, 2, 3, 1, 0, 1, 1, 0), (8, 1, 1, 1, 0, 0, 0, 1), (9, 1, 0, 0, 0, 0, 0, 0)]
     left, kept = upkeep.without(docs, orders, files.filter("upload = 8").select("batch_id"))
     assert sorted(tuple(r) for r in kept.collect()) == [("A", "reviewed")] and left.count() == 3
+
+
+def test_amounts_as_printed_are_dealt_and_keep_their_text(spark):
+    from ledgerline.functions.text import to_hundredth
+    from ledgerline.plans import catalogue
+
+    numbers = [0.0, 0.005, 0.015, 1.005, 2.675, 1234567.125, 0.0004, 99999999999.995, 9e14, 1e15, 1.5e22, None]
+    both = spark.createDataFrame([(x,) for x in numbers], "x double").select(to_hundredth(F.col("x")), F.format_string("%.2f", "x"))
+    assert all(a == b for (a, b), x in zip([tuple(r) for r in both.collect()], numbers, strict=True) if x is not None)
+    plan = catalogue.QUERIES["amounts_as_printed"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(k") == 1 and plan.count("FORMAT_STRING") + plan.count("format_string") <= 1
