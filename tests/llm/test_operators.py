@@ -471,6 +471,30 @@ def test_media_meets_all_of_a_bucket(spark):
     assert [tuple(r) for r in media.copy_links(found).distinct().collect()] == [(3, 4)]
 
 
+def test_media_links_by_one_table_in_either_step(spark):
+    """Images 3 and 4 share four corners by one table's key alone: all other bits differ, which the first step never asked. Image 5 shares three with 3 and 4, which are too few."""
+    images = {i: [] for i in (1, 2, 3, 4, 5, 8, 9)}
+    corner = lambda key, at, own: (1, at, at, 0, [key * 4, *([2**32 - 1 if own else 0] * 3)])
+    for n, others in enumerate([(1, 9), (1, 9), (2, 8), (2, 8)]):
+        images[3].append(corner(n, 20 + 10 * n, False))
+        images[4].append(corner(n, 20 + 10 * n, True))
+        if n:
+            images[5].append((1, 20 + 10 * n, 20 + 10 * n, 0, [n * 4, 1, 1, 1]))
+        for i in others:
+            images[i].append((1, 20 + 17 * n * i, 20 + 17 * n * i, 0, [n * 4, i * 7, i * 7, i * 7]))
+    found = spark.createDataFrame(list(images.items()), f"uid long, corners array<{media.CORNER}>")
+    assert [tuple(r) for r in media.copy_links(found).distinct().collect()] == [(3, 4)]
+
+
+def test_media_sees_each_component_once(spark):
+    """A corner meets a component in one row, however many images that has: no rows grow with the product of two components' images."""
+    n = 500
+    rooted = spark.range(2 * n).selectExpr("7L AS key", "0L AS s", f"shiftleft(id, {media._SPOT_BITS}) AS p", "id % 2 AS root")
+    assert media.seen(rooted).count() == 0  # one corner an image is no link
+    four = rooted.union(spark.range(2 * n).crossJoin(spark.range(3)).toDF("id", "c").selectExpr("8L + c", "0L", f"shiftleft(id, {media._SPOT_BITS}) + c + 1", "id % 2"))
+    assert media.seen(four).count() == 4 * 2 * n
+
+
 def test_media_copies_no_corner_more_than_fan_times(spark):
     n = 40_000
     rooted = spark.range(n).selectExpr("7L AS key", "0L AS s", "id AS p", "id % 2 AS root", "array(id) AS bits").union(spark.range(50).selectExpr("9L", "0L", "id", "id", "array(id)"))
